@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality, toxicity
 from .minhash_dedup import near_duplicates
 from .mixing import ORACLE_MIX, mix_sources
+from .sharding import balanced_shards
 from .suffix_dedup import remove_repeats
 
 
@@ -15,10 +17,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced_shards(_table(spark, sf_dir, "documents"))
+
+
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -27,10 +38,18 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
+    "op3_shards": op3_shards,
     "op6_suffix": op6_suffix,
     "op8_mix": op8_mix,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {"op8_mix": ORACLE_MIX}

@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import quality, toxicity
+from .embedding_dedup import embedding_groups
+from .inner_product_search import nearest_by_product
 from .minhash_dedup import near_duplicates
 from .mixing import ORACLE_MIX, mix_sources
 from .sharding import balanced_shards
 from .suffix_dedup import remove_repeats
+from .tokenstore import token_table
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file on this machine and its executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +40,18 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(_table(spark, sf_dir, "documents"))
 
 
+def op5_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_by_product(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -43,13 +61,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
     "op3_shards": op3_shards,
+    "op5_inner_product": op5_inner_product,
     "op6_suffix": op6_suffix,
+    "op7_embeddings": op7_embeddings,
     "op8_mix": op8_mix,
     "op9_toxicity": op9_toxicity,
+    "op10_tokens": op10_tokens,
 }
 
 ORACLES: dict[str, str] = {"op8_mix": ORACLE_MIX}

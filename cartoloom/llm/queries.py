@@ -11,6 +11,7 @@ from .embedding_dedup import embedding_groups
 from .inner_product_search import nearest_by_product
 from .minhash_dedup import near_duplicates
 from .mixing import ORACLE_MIX, mix_sources
+from .pieces import encode_pieces
 from .sharding import balanced_shards
 from .suffix_dedup import remove_repeats
 from .tokenstore import token_table
@@ -40,6 +41,10 @@ def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(_table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_by_product(_table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
     "op3_shards": op3_shards,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_inner_product": op5_inner_product,
     "op6_suffix": op6_suffix,
     "op7_embeddings": op7_embeddings,

@@ -46,17 +46,22 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def mark() -> int:
-    """Position to pass to :func:`release` once everything staged later is no longer needed."""
+def staged_since(position: int) -> list[tuple[SparkSession, str]]:
+    """Folders made after :func:`position` was asked for."""
+    return _live[position:]
+
+
+def position() -> int:
     return len(_live)
 
 
-def release(since: int = 0) -> None:
-    """Delete the tables staged after ``since``; results that read them become invalid."""
-    while len(_live) > since:
-        spark, path = _live.pop()
+def release(folders: list[tuple[SparkSession, str]] | None = None) -> None:
+    """Delete staged folders (default: all); results that still read them become invalid."""
+    for own in list(_live if folders is None else folders):
+        if own in _live:
+            _live.remove(own)
         try:
-            drop(spark, path)
+            drop(*own)
         except Exception:  # noqa: BLE001  the session may have ended
             pass
 

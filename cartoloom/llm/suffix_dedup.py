@@ -181,18 +181,19 @@ def _pack_texts(buckets: int):
                 at = np.flatnonzero(bucket == b)
                 sizes = texts.offsets[at + 1] - texts.offsets[at]
                 body = np.concatenate([texts.data[texts.offsets[i] : texts.offsets[i + 1]] for i in at])
-                rows.append((int(b), TEXTS, pack(own[at], known[at], sizes, body)))
+                more, ends = column_bytes(texts.rows.column(2).take(pa.array(at)))
+                rows.append((int(b), TEXTS, pack(own[at], known[at], sizes, body, np.diff(ends), more)))
             yield cells_batch(rows)
 
     return run
 
 
-def _texts_of(cells: list[bytes]) -> Iterator[tuple[int | None, np.ndarray]]:
+def _texts_of(cells: list[bytes]) -> Iterator[tuple[int | None, np.ndarray, bytes]]:
     for cell in cells:
-        ids, known, sizes, body = unpack(cell)
-        ends = np.cumsum(sizes)
+        ids, known, sizes, body, carried, more = unpack(cell)
+        ends, stops = np.cumsum(sizes), np.cumsum(carried)
         for i in range(len(ids)):
-            yield (int(ids[i]) if known[i] else None), body[ends[i] - sizes[i] : ends[i]]
+            yield (int(ids[i]) if known[i] else None), body[ends[i] - sizes[i] : ends[i]], more[stops[i] - carried[i] : stops[i]].tobytes()
 
 
 def _fetch(length: int, gram: int, buckets: int):
@@ -204,7 +205,7 @@ def _fetch(length: int, gram: int, buckets: int):
         order = np.argsort(doc, kind="stable")
         h, doc, start, count, hot = (c[order] for c in (h, doc, start.astype(np.int64), count.astype(np.int64), hot))
         bodies, picked = [], []
-        for own, body in _texts_of(texts.column("cell").to_pylist() if len(h) else []):
+        for own, body, _ in _texts_of(texts.column("cell").to_pylist() if len(h) else []):
             if own is None:
                 continue
             a, b = np.searchsorted(doc, [own, own + 1])
@@ -325,8 +326,8 @@ def _decide(length: int, buckets: int, chunk: int = 150_000):
 def _cut(keep_text: bool):
     def run(texts: pa.Table, ranges: pa.Table) -> pa.Table:
         doc, start, end = united(*joined(ranges.column("cell").to_pylist(), [np.int64, np.uint32, np.uint32]))
-        ids, sizes, removed, spans, digests, kept_texts = [], [], [], [], [], []
-        for own, body in _texts_of(texts.column("cell").to_pylist()):
+        ids, sizes, removed, spans, digests, kept_texts, carried = [], [], [], [], [], [], []
+        for own, body, more in _texts_of(texts.column("cell").to_pylist()):
             a, b = np.searchsorted(doc, [own, own + 1]) if own is not None else (0, 0)
             lo, hi = np.minimum(start[a:b], len(body)), np.minimum(end[a:b], len(body))
             some = hi > lo
@@ -342,19 +343,22 @@ def _cut(keep_text: bool):
             if keep_text:
                 # Whole characters only: one that a cut would split stays out with the removed passage.
                 kept_texts.append(kept.decode("utf-8", "ignore"))
+                carried.append(more.decode())
         out = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if keep_text:
             out["kept_text"] = pa.array(kept_texts, pa.string())
+            out["carried"] = pa.array(carried, pa.string())
         return pa.table(out)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT_STRETCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, carry: tuple[str, ...] = (), bucket_bytes: int = BUCKET_BYTES, hot: int = HOT_STRETCHES) -> DataFrame:
     """Cut bytes covered by a ``length``-byte string that also starts earlier (smaller id, or same document and earlier start).
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``keep_text``,
-    ``kept_text`` (remaining bytes as text; a character of which only a part remains is dropped).
+    ``kept_text`` (remaining bytes as text; a character of which only a part remains is dropped) and
+    the columns named in ``carry``, which travel with their row.
     Strings are judged on the input and never cross documents. A null text counts as empty. Texts
     shorter than ``length`` stay whole. Rows with a null id have no place in the order: they stay
     whole and remove nothing. Rows that repeat an id are one document: they do not remove each
@@ -364,16 +368,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 < gram <= length <= 255 + gram - 1:
         raise ValueError("gram must be between 1 and length, and length - gram at most 254")
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    carried = docs.select(*carry)
+    extra = F.to_json(F.struct(*(F.col(c) for c in carry)), {"ignoreNullFields": "false"}) if carry else F.lit("")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), extra.alias("carried"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(max(64, total // bucket_bytes), 1 << 30))
 
-    cells = source.where("doc_id is not null").mapInArrow(_scan(length, gram, buckets), CELL)
+    cells = source.select("doc_id", "text").where("doc_id is not null").mapInArrow(_scan(length, gram, buckets), CELL)
     compared = staged(cells.groupBy("bucket").applyInArrow(_compare(length, buckets, hot), CELL), "compared")
     texts = source.mapInArrow(_pack_texts(buckets), CELL)
     wanted = compared.where(F.col("kind") == WANTED)
     fetched = texts.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch(length, gram, buckets), CELL)
     decided = fetched.groupBy("bucket").applyInArrow(_decide(length, buckets), CELL)
     ranges = compared.where(F.col("kind") == COVERED).unionByName(decided)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return texts.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(_cut(keep_text), schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, carried string" * keep_text
+    out = texts.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(_cut(keep_text), schema)
+    if keep_text:
+        own = F.from_json("carried", carried.schema) if carry else None
+        out = out.select(*(c for c in out.columns if c != "carried"), *(own[c].alias(c) for c in carry))
+    return out

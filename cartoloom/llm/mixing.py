@@ -29,10 +29,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: tuple[int, int] = BUDGET, epochs: int = EPOCHS, seed: str = SEED, bin_digits: int = 3, fills: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: tuple[int, int] = BUDGET, epochs: int = EPOCHS, seed: str = SEED, bin_digits: int = 3, fills: int = 2, rows: bool = False) -> DataFrame:
     """Decide how many words of each document the mix takes.
 
-    Returns ``doc_id, size, source_size, target, taken, repeats`` and the columns named in ``keep``.
+    Returns ``doc_id, size, source_size, target, taken, repeats`` and, with ``rows``, a struct ``row`` of all columns.
     Size counts words (a null text has none). Sources are put in code-point order, null last, and get
     ``weights`` in turn; together they take ``budget`` (a fraction) of all words. A source of no words has
     target 0 and its documents are taken 0 words. ``repeats`` is the whole number of times a document
@@ -43,7 +43,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Sources are a dimension: their totals (one row each) are ordered in one task.
     """
     rank = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), rank.alias("rank"), *(F.col(c) for c in keep))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), rank.alias("rank"), *([F.struct(*docs.columns).alias("row")] if rows else []))
     sized = staged(sized.withColumn("bin", F.substring("rank", 1, bin_digits)), "sized")
 
     sums = sized.groupBy("src", "bin").agg(F.sum("size").alias("bin_size"))
@@ -70,18 +70,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bins = sums.withColumn("before", F.coalesce(F.sum("bin_size").over(along), F.lit(0)))
     bins = bins.join(plan.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).select("s", F.col("bin").alias("b"), "before", "source_size", "target", "whole", "part")
     inside = Window.partitionBy("src", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = sized.withColumn("own", F.sum("size").over(inside)).join(bins, F.col("src").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
+    placed = sized.withColumn("own", F.sum("size").over(inside)).join(bins, F.col("src").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
     can = (F.col("size") > 0) & (F.col("whole") < epochs)
-    rows = rows.withColumn("extra", F.when(can & (F.col("before") + F.col("own") <= F.col("part")), 1).otherwise(0)).drop("s", "b", "own", "before")
+    placed = placed.withColumn("extra", F.when(can & (F.col("before") + F.col("own") <= F.col("part")), 1).otherwise(0)).drop("s", "b", "own", "before")
     for _ in range(fills):
-        room = rows.groupBy("src").agg((F.first("part") - F.sum(F.col("extra") * F.col("size"))).alias("room"))
-        fits = rows.where(can & (F.col("extra") == 0)).join(room.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).where("size <= room")
+        room = placed.groupBy("src").agg((F.first("part") - F.sum(F.col("extra") * F.col("size"))).alias("room"))
+        fits = placed.where(can & (F.col("extra") == 0)).join(room.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).where("size <= room")
         best = fits.groupBy("s").agg(F.max(F.struct("size", "rank")).alias("best"))
-        rows = rows.join(best, F.col("src").eqNullSafe(F.col("s")), "left")
+        placed = placed.join(best, F.col("src").eqNullSafe(F.col("s")), "left")
         picked = (F.col("best.size") == F.col("size")) & (F.col("best.rank") == F.col("rank"))
-        rows = rows.withColumn("extra", F.when(picked & can & (F.col("extra") == 0), 1).otherwise(F.col("extra"))).drop("s", "best")
+        placed = placed.withColumn("extra", F.when(picked & can & (F.col("extra") == 0), 1).otherwise(F.col("extra"))).drop("s", "best")
     repeats = F.col("whole") + F.col("extra")
-    return rows.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"), *keep)
+    return placed.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"), *(["row"] if rows else []))
 
 
 ORACLE_MIX = """

@@ -140,15 +140,15 @@ def _score(model: Model, threshold: float):
     return run
 
 
-def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` (and the columns in ``keep``) of every document.
+def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD, rows: bool = False) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document; with ``rows``, ``text`` and a struct ``row`` of the other columns.
 
     A null text scores as an empty one, which has no n-grams and gets the intercept's score. Ids are
     not read by the score; a null id counts as not held out. Repeated rows score alike; an empty table
     gives an empty result.
     """
-    extra = [c for c in keep if c not in ("doc_id", "text")]
-    source = docs.select("doc_id", "text", *extra)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    source = docs.select("doc_id", "text", *([F.struct(*others).alias("row")] if rows and others else []))
     schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     scored = source.mapInArrow(_score(model, threshold), schema)
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", *(c for c in keep if c != "doc_id"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", *(source.columns[1:] if rows else []))

@@ -41,15 +41,15 @@ def _stage(work: Stage) -> Stage:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold; null texts score as empty ones."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score_toxicity(docs, model, keep=tuple(docs.columns))
-    return scored.where("predicted = 0").select(docs.columns)
+    scored = toxicity.score_toxicity(docs, model, rows=True).where("predicted = 0")
+    return scored.select(*(c if c in ("doc_id", "text") else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 @_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near-duplicates; rows without id cannot be grouped and stay."""
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi")
+    known = docs.join(kept.hint("merge"), docs["doc_id"] == kept["kept_id"], "left_semi")
     return known.unionByName(docs.where("doc_id is null"))
 
 
@@ -64,9 +64,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 @_stage
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it (0, 1 or 2 rows)."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    mixed = mix_sources(docs, keep=others)
-    return mixed.where("repeats > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select(docs.columns)
+    mixed = mix_sources(docs, rows=True).where("repeats > 0")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))).select("row.*")
 
 
 @_stage

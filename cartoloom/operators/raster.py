@@ -113,14 +113,14 @@ def bilinear(points: DataFrame, cells: DataFrame, value: str, rows: int, columns
     """Sample at fractional ``f_row, f_col`` (clipped to the grid) from the four cells around, by four hash joins in one: corners meet their cell, then add up."""
     r = F.greatest(F.lit(0.0), F.least(F.col("f_row"), F.lit(float(rows - 1))))
     c = F.greatest(F.lit(0.0), F.least(F.col("f_col"), F.lit(float(columns - 1))))
-    at = points.withColumn("_r", r).withColumn("_c", c).withColumn("_id", F.monotonically_increasing_id())
-    r0, c0 = F.floor("_r").cast("int"), F.floor("_c").cast("int")
-    tr, tc = F.col("_r") - F.floor("_r"), F.col("_c") - F.floor("_c")
+    at = points.withColumn("_bl_r", r).withColumn("_bl_c", c)
+    r0, c0 = F.floor("_bl_r").cast("int"), F.floor("_bl_c").cast("int")
+    tr, tc = F.col("_bl_r") - F.floor("_bl_r"), F.col("_bl_c") - F.floor("_bl_c")
     corner = lambda i, j, w: F.struct(F.least(r0 + i, F.lit(rows - 1)).alias("row"), F.least(c0 + j, F.lit(columns - 1)).alias("col"), w.alias("w"))
     four = F.array(corner(0, 0, (1 - tr) * (1 - tc)), corner(0, 1, (1 - tr) * tc), corner(1, 0, tr * (1 - tc)), corner(1, 1, tr * tc))
-    spread = at.withColumn("_k", F.explode(four)).select("*", F.col("_k.row").alias("row"), F.col("_k.col").alias("col"), F.col("_k.w").alias("_w"))
-    met = spread.join(cells.select("grid_id", "row", "col", F.col(value).alias("_v")), ["grid_id", "row", "col"])
-    return met.groupBy(*points.columns).agg(F.sum(F.col("_w") * F.col("_v")).alias(out))
+    spread = at.withColumn("_bl_k", F.explode(four)).select("*", F.col("_bl_k.row").alias("row"), F.col("_bl_k.col").alias("col"), F.col("_bl_k.w").alias("_bl_w"))
+    met = spread.join(cells.select("grid_id", "row", "col", F.col(value).alias("_bl_v")), ["grid_id", "row", "col"])
+    return met.groupBy(*points.columns).agg(F.sum(F.col("_bl_w") * F.col("_bl_v")).alias(out))
 
 
 def resample_classes(targets: DataFrame, source: DataFrame, box: tuple[float, float, float, float], rows: int, columns: int) -> DataFrame:

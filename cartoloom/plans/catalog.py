@@ -510,3 +510,112 @@ def safe_names(spark, d):
 def embedded_features(spark, d):
     e = frames.embedded(F.lit(2.0), F.expr("p_size / 1e1"), F.lit(0.2))
     return i.table(spark, d, "part").select("p_partkey", F.round(e["height"], 6).alias("height"), F.round(e["bottom"], 6).alias("bottom"))
+
+
+@query(f"""WITH {SEGMENTS}, {SPOTS}, s AS (SELECT *, x1-x0 AS dx, y1-y0 AS dy, seq = min(seq) OVER (PARTITION BY route_id) AS f, seq = max(seq) OVER (PARTITION BY route_id) AS l FROM segs),
+p AS (SELECT point_id, x / 5 AS x, y / 4 AS y FROM spots),
+j AS (SELECT point_id, route_id, x, y, x0, y0, dx, dy, f, l, CASE WHEN dx*dx+dy*dy > 0 THEN ((x-x0)*dx + (y-y0)*dy) / (dx*dx+dy*dy) END AS raw FROM p, s WHERE x BETWEEN least(x0, x1) - 0.6e0 AND greatest(x0, x1) + 0.6e0 AND y BETWEEN least(y0, y1) - 0.6e0 AND greatest(y0, y1) + 0.6e0),
+t AS (SELECT *, coalesce(greatest(0e0, least(1e0, raw)), 0e0) AS t FROM j)
+SELECT DISTINCT point_id, route_id FROM t WHERE sqrt((x-x0-t*dx)*(x-x0-t*dx) + (y-y0-t*dy)*(y-y0-t*dy)) <= 0.6e0 AND NOT (coalesce(raw < 0 AND f, false) OR coalesce(raw > 1 AND l, false))""")
+def route_membership(spark, d):
+    at = i.spots(spark, d).selectExpr("point_id", "x / 5 AS x", "y / 4 AS y")
+    return spatial.route_membership(at, spatial.segments(i.lines(spark, d)), 1.2, cell=16.0).select("point_id", "route_id")
+
+
+@query("SELECT o_custkey AS body_id, greatest(-0.8e0, min(o_orderkey % 50 / 1e1) - 0.4e0) AS level_mm FROM orders GROUP BY o_custkey")
+def body_levels(spark, d):
+    return profile.body_levels(i.table(spark, d, "orders").selectExpr("o_custkey AS body_id", "o_orderkey % 50 / 1e1 AS h_mm"))
+
+
+def _faces(spark, d):
+    t = i.table(spark, d, "orders")
+    return t.selectExpr("string(o_orderkey % 4) AS layer", "o_orderkey AS fid", "o_custkey % 97 AS a", "o_orderkey % 89 + 100 AS b", "o_orderkey * 7 % 83 + 200 AS c", "int(o_orderkey % 256) AS r", "int(o_custkey % 256) AS g", "int(o_orderkey * 3 % 256) AS b_")
+
+
+FACES = """faces AS (SELECT (o_orderkey % 4)::VARCHAR AS layer, o_orderkey AS fid, o_custkey % 97 AS a, o_orderkey % 89 + 100 AS b, o_orderkey * 7 % 83 + 200 AS c, o_orderkey % 256 AS r, o_custkey % 256 AS g, o_orderkey * 3 % 256 AS b_ FROM orders)"""
+
+
+@query(f"WITH {FACES}, v AS (SELECT layer, unnest([a, b, c]) AS vid, r, g, b_ FROM faces) SELECT layer, vid, round_even(avg(r), 0)::INT AS r, round_even(avg(g), 0)::INT AS g, round_even(avg(b_), 0)::INT AS b FROM v GROUP BY layer, vid")
+def vertex_colours(spark, d):
+    f = _faces(spark, d)
+    return mesh.vertex_colours(f.select("layer", "fid", "a", "b", "c"), f.select("layer", "fid", "r", "g", F.col("b_").alias("b")))
+
+
+@query(f"""WITH {FACES}, e AS (SELECT layer, unnest([a, b, c]) AS p, unnest([b, c, a]) AS q FROM faces), n AS (SELECT layer, least(p, q) AS lo, greatest(p, q) AS hi, count(*) AS n, count(*) FILTER (p < q) AS up FROM e GROUP BY ALL)
+SELECT layer, count(*) AS edges, count(*) FILTER (n = 1) AS open_edges, count(*) FILTER (n > 2) AS overused_edges, count(*) FILTER (n = 2 AND up <> 1) AS winding_defects FROM n GROUP BY layer""")
+def edge_defects(spark, d):
+    return mesh.edge_defects(_faces(spark, d).select("layer", "fid", "a", "b", "c"))
+
+
+@query(f"WITH RECURSIVE {FACES}, e AS (SELECT layer, a AS p, b AS q FROM faces UNION SELECT layer, b, c FROM faces), u AS (SELECT layer, p, q FROM e UNION SELECT layer, q, p FROM e), r AS (SELECT layer, p AS root, p AS v FROM u UNION SELECT r.layer, r.root, u.q FROM r JOIN u ON u.layer = r.layer AND u.p = r.v), m AS (SELECT layer, v, min(root) AS component FROM r GROUP BY ALL) SELECT f.layer, fid, component FROM faces f JOIN m ON m.layer = f.layer AND m.v = f.a")
+def mesh_shells(spark, d):
+    return mesh.shells(_faces(spark, d).select("layer", "fid", "a", "b", "c"))
+
+
+@query("SELECT 'terrain' AS layer, round(min(v.x) + (190e0 - 63e0) / 2, 6) AS x0, round(max(v.x) + (190e0 - 63e0) / 2, 6) AS x1, round(min(v.y) + (240e0 - 99e0) / 2, 6) AS y0, round(max(v.y) + (240e0 - 99e0) / 2, 6) AS y1 FROM (VALUES (0e0, 0e0), (63e0, 99e0)) v(x, y)")
+def centred_mesh(spark, d):
+    v, _ = _solid(spark, d)
+    return mesh.centred(v, 190.0, 240.0).groupBy("layer").agg(*(F.round(f(c), 6).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.min), (1, F.max))))
+
+
+@query("""WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS fid, (l_partkey % 10)::DOUBLE AS ax, (l_suppkey % 10)::DOUBLE AS ay, (l_partkey % 7)::DOUBLE AS az, (l_partkey % 10 + 5)::DOUBLE AS bx, (l_suppkey % 9)::DOUBLE AS "by", 1e0 AS bz, (l_partkey % 8)::DOUBLE AS cx, (l_suppkey % 10 + 6)::DOUBLE AS cy, 2e0 AS cz, (l_orderkey % 15)::DOUBLE AS x, (l_linenumber * 2)::DOUBLE AS y FROM lineitem),
+w AS (SELECT *, (("by" - cy) * (x - cx) + (cx - bx) * (y - cy)) / (("by" - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS w0, ((cy - ay) * (x - cx) + (ax - cx) * (y - cy)) / (("by" - cy) * (ax - cx) + (cx - bx) * (ay - cy)) AS w1 FROM t WHERE abs(("by" - cy) * (ax - cx) + (cx - bx) * (ay - cy)) > 1e-12)
+SELECT fid, round(w0 * az + w1 * bz + (1 - w0 - w1) * cz, 6) AS height FROM w WHERE least(w0, w1, 1 - w0 - w1) >= -1e-7""")
+def triangle_heights(spark, d):
+    t = i.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS fid", "double(l_partkey % 10) AS ax", "double(l_suppkey % 10) AS ay", "double(l_partkey % 7) AS az", "double(l_partkey % 10 + 5) AS bx", "double(l_suppkey % 9) AS by", "1e0 AS bz", "double(l_partkey % 8) AS cx", "double(l_suppkey % 10 + 6) AS cy", "2e0 AS cz", "double(l_orderkey % 15) AS x", "double(l_linenumber * 2) AS y")
+    return mesh.triangle_height(t).where("height is not null").select("fid", *r6("height"))
+
+
+@query(f"""WITH {CELLS}, t AS (SELECT grid_id, row, col, unnest([0, 1]) AS half, unnest([wc BETWEEN 1 AND 6, io BETWEEN 1 AND 6]) AS wet FROM cells WHERE row < 99 AND col < 63),
+v AS (SELECT grid_id, row + unnest(CASE WHEN half = 0 THEN [0, 1, 0] ELSE [0, 1, 1] END) AS row, col + unnest(CASE WHEN half = 0 THEN [0, 0, 1] ELSE [1, 0, 1] END) AS col, wet FROM t),
+w AS (SELECT grid_id, row, col FROM v GROUP BY ALL HAVING bool_and(wet))
+SELECT c.grid_id, c.row, c.col, c.elev - CASE WHEN w.row IS NULL THEN 0 ELSE 0.5e0 END AS elev FROM cells c LEFT JOIN w ON w.grid_id = c.grid_id AND w.row = c.row AND w.col = c.col""")
+def recessed_terrain(spark, d):
+    c = i.cells(spark, d)
+    t = c.where("row < 99 AND col < 63").selectExpr("grid_id", "row", "col", "posexplode(array(wc BETWEEN 1 AND 6, io BETWEEN 1 AND 6)) AS (half, wet)")
+    return raster.recess(c.select("grid_id", "row", "col", "elev"), raster.water_vertices(100, 64, t, "wet"), 0.5, "elev")
+
+
+@query("SELECT 24000e0 AS print_area_mm2, 2400e0 AS vegetation_area_mm2, 960e0 AS exposed_area_mm2, 0e0 AS water_area_mm2, 0.1e0 AS vegetation_fraction, 0.04e0 AS exposed_fraction, 0e0 AS water_fraction")
+def cover_signature(spark, d):
+    areas = spark.createDataFrame([("vegetation", 2400.0), ("exposed", 960.0)], "layer string, area_mm2 double")
+    return mesh.cover_signature(areas, 160.0, 150.0)
+
+
+def _ground(spark, d):
+    c = i.cells(spark, d).where("grid_id = 0").select("grid_id", "row", "col", "elev")
+    return lambda p: raster.bilinear(p.withColumn("grid_id", F.lit(0)).withColumn("f_row", F.col("y") * (99 / 240)).withColumn("f_col", F.col("x") * (63 / 190)), c, "elev", 100, 64).drop("grid_id", "f_row", "f_col")
+
+
+@query()
+def route_profile(spark, d):
+    """Cross-sections of every line over the terrain, smoothed along it and held to a slope."""
+    pairs = spatial.segments(i.lines(spark, d))
+    support = profile.smoothed_support(pairs.select("route_id", "station"), pairs, 1.2, 1.5, _ground(spark, d))
+    return profile.slope_limited(support.withColumn("height", F.greatest("smooth", "local") + 2.0), 0.3)
+
+
+@query()
+def draped_route(spark, d):
+    ln = i.lines(spark, d)
+    pairs = spatial.segments(ln)
+    v = pairs.select("route_id", F.explode(F.array(*(F.struct((F.col("seq") * 2 + k).alias("vid"), F.lit(float(k)).alias("z")) for k in (0, 1)))).alias("v"), "station")
+    v = v.select("route_id", "v.vid", "v.z", "station")
+    return profile.drape_route(v.select("route_id", "vid", "z"), v.select("route_id", "vid", "station"), pairs, _ground(spark, d), 1.2, 1.0)
+
+
+@query()
+def draped_markers(spark, d):
+    m = frames.markers(i.lines(spark, d)).selectExpr("concat(route_id, '/', marker) AS marker_id", "x_mm AS x", "y_mm AS y")
+    return profile.marker_mesh(_ground(spark, d)(profile.marker_samples(m, plate=(0.0, 0.0, 190.0, 240.0))))
+
+
+@query()
+def smoothed_tops(spark, d):
+    at = i.lines(spark, d).selectExpr("point_id AS vid", "x_mm AS x", "y_mm AS y", "1e0 AS z")
+    return profile.smoothed_tops(at, _ground(spark, d), 2.0, 0.4)
+
+
+@query()
+def restored_land(spark, d):
+    return raster.restore_land(i.cells(spark, d).withColumn("h_mm", F.expr("CASE WHEN water OR (row * col) % 4 = 0 THEN 1e0 ELSE elev END")))

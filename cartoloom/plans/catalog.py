@@ -490,7 +490,7 @@ def printability_audit(spark, d):
     return mesh.audit(*_solid(spark, d))
 
 
-@query("SELECT s_nationkey, count(*) AS faces, greatest(4, CAST(round_even(50e0 * count(*) / sum(count(*)) OVER (), 0) AS BIGINT)) AS budget FROM supplier GROUP BY s_nationkey")
+@query("SELECT s_nationkey, count(*) AS faces, CASE WHEN sum(count(*)) OVER () <= 50 THEN count(*) ELSE greatest(4, CAST(round_even(50e0 * count(*) / sum(count(*)) OVER (), 0) AS BIGINT)) END AS budget FROM supplier GROUP BY s_nationkey")
 def preview_budget(spark, d):
     s = i.table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("faces"))
     return mesh.face_budget(s, 50)

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import staged
+from .scratch import bounded, staged
 
 
 def held_out(doc_id) -> F.Column:
@@ -21,6 +21,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Held-out rows, null ids, null labels and ids that carry several labels are left out.
     """
+    bounded(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other")
     classes = sorted(r[0] for r in known.select("label").distinct().limit(64).collect())

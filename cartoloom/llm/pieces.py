@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import bounded
 from .textbytes import slices
-from .tokenstore import CACHE, Pieces, code_points
+from .tokenstore import Pieces, code_points
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+PARTS, PAIRS = 2_000_000, 150_000  # entries of the caches a worker may hold
 _engines: dict[str, "PieceCodec"] = {}
 
 
@@ -108,7 +110,7 @@ class PieceCodec:
             self.joined[own[:-1], own[1:]] = True
         # The mark never follows anything but itself in most vocabularies, rarer characters included.
         self.joined[1025, 1024] = any(a != MARK and ord(a) > 1023 and b == MARK for p in model.ids for a, b in zip(p, p[1:], strict=False))
-        self.cache = Pieces(lambda parts: [self.encode_part(p) for p in parts], CACHE // 2)
+        self.cache = Pieces(lambda parts: [self.encode_part(p) for p in parts], PARTS)
 
     @staticmethod
     def _row(c: str) -> int:
@@ -135,7 +137,7 @@ class PieceCodec:
         key = (before, piece)
         found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) > 1 << 19:
+            if len(self._pairs) > PAIRS:
                 self._pairs.clear()
             found = self._pairs[key] = self.merged(before + piece) == [before, piece] if before else self.merged(piece) == [piece]
         return found
@@ -143,49 +145,62 @@ class PieceCodec:
     def path(self, text: str, window: int | None = None) -> Iterator[str]:
         """Pieces of the best path, each as soon as it is settled."""
         model, longest = self.model, self.model.longest
-        bpe, endings, scores = model.kind == BPE, model.endings, model.scores
-        every = window or 4 * longest
-        back: dict[int, tuple[int, float]] = {0: (0, 0.0)}
+        bpe, endings, scores, pairs = model.kind == BPE, model.endings, model.scores, self._pairs
+        every, size = window or 4 * longest, len(text)
+        back, total = {0: 0}, {0: 0.0}
         done = 0
-        for end in range(1, len(text) + 1):
-            best = None
+        for end in range(1, size + 1):
+            best, top = -1, 0.0
             # Walk back as long as some piece ends in what was passed.
             for start in range(end - 1, max(done, end - longest) - 1, -1):
                 piece = text[start:end]
                 known = endings.get(piece)
-                if known is None and end - start > 1:
-                    break
-                own = back.get(start)
-                if own is None or (known == -1 and end - start > 1):
+                if known is None:
+                    if end - start > 1:
+                        break
+                    known = -1
+                if start not in back or (known == -1 and end - start > 1):
                     continue
                 if bpe:
-                    if self.admissible(text[own[0] : start] if start else "", piece):
-                        best = (start, 0.0)
+                    before = text[back[start] : start]
+                    fits = pairs.get((before, piece))
+                    if fits or (fits is None and self.admissible(before, piece)):
+                        best = start
                         break
                 else:
-                    score = own[1] + (self.penalty if known is None or known == -1 else scores[known])
-                    if best is None or score >= best[1]:
-                        best = (start, score)
-            if best is not None:
+                    score = total[start] + (self.penalty if known == -1 else scores[known])
+                    if best < 0 or score >= top:
+                        best, top = start, score
+            if best >= 0:
                 back[end] = best
-            if end % every == 0 or end == len(text):
-                alive = [end] if end == len(text) else [p for p in range(end - longest + 1, end + 1) if p in back]
+                if not bpe:
+                    total[end] = top
+            if end == size:
+                cut = []
+                while end > done:
+                    cut.append(text[back[end] : end])
+                    end = back[end]
+                yield from reversed(cut)
+            elif end % every == 0:
                 common = None
-                for p in alive:
+                for p in range(end - longest + 1, end + 1):
+                    if p not in back:
+                        continue
                     trail = set()
                     while p > done:
                         trail.add(p)
-                        p = back[p][0]
+                        p = back[p]
                     common = trail if common is None else common & trail
                 if common:
                     stop, cut = max(common), []
                     p = stop
                     while p > done:
-                        cut.append(text[back[p][0] : p])
-                        p = back[p][0]
+                        cut.append(text[back[p] : p])
+                        p = back[p]
                     yield from reversed(cut)
                     # Keep the state behind the settled boundary: BPE asks which piece led to it.
                     back = {p: b for p, b in back.items() if p >= stop}
+                    total = {p: t for p, t in total.items() if p >= stop}
                     done = stop
 
     def encode_part(self, part: str) -> list[int]:
@@ -276,6 +291,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     has no ids. Ids of rows are passed through, null ones too; repeated rows are encoded alike;
     other columns are ignored; an empty table gives an empty result.
     """
+    bounded(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(source.dtypes)["doc_id"]
     return source.mapInArrow(_encode(model), f"doc_id {kind}, n_pieces long, round_trip boolean, ids array<int>")

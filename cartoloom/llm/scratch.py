@@ -25,6 +25,13 @@ def root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def bounded(spark: SparkSession, rows: int = 2048) -> None:
+    """Let Arrow batches hold fewer rows than Spark's default: texts are long, and both ends hold a batch at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, rows)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{root(spark)}/{label}-{uuid.uuid4().hex}"
     _live.append((spark, path))

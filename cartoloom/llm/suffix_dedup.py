@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import CELL, cells_batch, dealt, joined, pack, unpack
-from .scratch import staged
+from .scratch import bounded, staged
 from .textbytes import column_bytes, merged, mix, powers, prefix_hash, slices, span_hash
 
 LENGTH, GRAM = 100, 24
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 0 < gram <= length <= 255 + gram - 1:
         raise ValueError("gram must be between 1 and length, and length - gram at most 254")
-    spark = docs.sparkSession
+    bounded(docs.sparkSession)
     carried = docs.select(*carry)
     extra = F.to_json(F.struct(*(F.col(c) for c in carry)), {"ignoreNullFields": "false"}) if carry else F.lit("")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), extra.alias("carried"))

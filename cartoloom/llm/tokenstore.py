@@ -23,10 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import new_path
+from .scratch import bounded, new_path
 from .textbytes import mix, powers, slices
 
-CACHE = 1_000_000
+CACHE = 2_000_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 _classes: list[np.ndarray] = []
 _engines: dict[str, "Pieces"] = {}
@@ -100,16 +100,46 @@ _points = mix(np.arange(1, 0x3001, dtype=np.uint64))
 
 
 class Pieces:
-    """Ids of distinct pieces of text, kept in a pool of bounded size."""
+    """Ids of distinct pieces of text, kept in flat arrays of bounded size (some 50 bytes a piece)."""
 
     def __init__(self, encode, most: int = CACHE):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.pool = np.zeros(0, np.int32)
-        self.at = np.zeros(1, np.int64)
+        self.names, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # sorted by name
+        self.recent: dict[int, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.at, self.count = np.zeros(1 << 14, np.int64), 0
+
+    def _slots(self, unique: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.names, unique), max(len(self.names) - 1, 0))
+        found = np.full(len(unique), -1, np.int64)
+        if len(self.names):
+            hit = self.names[place] == unique
+            found[hit] = self.slots[place[hit]]
+        for i in np.flatnonzero(found < 0).tolist() if self.recent else ():
+            found[i] = self.recent.get(int(unique[i]), -1)
+        return found
+
+    def _add(self, names: np.ndarray, fresh: list) -> np.ndarray:
+        sizes = np.array([len(x) for x in fresh], np.int64)
+        ids = np.concatenate([np.asarray(x, np.int32) for x in fresh])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.int32)])
+        while self.count + len(sizes) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros(len(self.at), np.int64)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[self.count + 1 : self.count + 1 + len(sizes)] = self.used + np.cumsum(sizes)
+        slots = np.arange(self.count, self.count + len(sizes))
+        self.used, self.count = self.used + len(ids), self.count + len(sizes)
+        self.recent.update(zip(names.tolist(), slots.tolist(), strict=True))
+        if len(self.recent) > 1 << 15:
+            every = np.concatenate([self.names, np.fromiter(self.recent, np.uint64, len(self.recent))])
+            own = np.concatenate([self.slots, np.fromiter(self.recent.values(), np.int32, len(self.recent))])
+            order = np.argsort(every)
+            self.names, self.slots, self.recent = every[order], own[order], {}
+        return slots
 
     def ids(self, whole: str, cp: np.ndarray, starts: np.ndarray, stop: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive pieces end to end, and the bounds of each piece's ids."""
@@ -123,20 +153,16 @@ class Pieces:
         np.cumsum(value * power[: len(cp)], out=p[1:])
         name = mix((p[ends] - p[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
         code, unique = pd.factorize(name)
-        if len(self.slot) + len(unique) > self.most:
+        if self.count + len(unique) > self.most:
             self.clear()
-        known = [self.slot.get(u, -1) for u in unique.tolist()]
-        missing = np.flatnonzero(np.array(known) < 0) if known else np.zeros(0, np.int64)
+        known = self._slots(unique)
+        missing = np.flatnonzero(known < 0)
         if len(missing):
             first = np.zeros(len(unique), np.int64)
             first[code[::-1]] = np.arange(len(code))[::-1]
-            fresh = self.encode([whole[starts[first[i]] : ends[first[i]]] for i in missing])
-            base = len(self.slot)
-            for k, i in enumerate(missing):
-                self.slot[int(unique[i])] = known[i] = base + k
-            self.pool = np.concatenate([self.pool, *(np.asarray(x, np.int32) for x in fresh)])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in fresh])])
-        slot = np.array(known, np.int64)[code]
+            at = first[missing]
+            known[missing] = self._add(unique[missing], self.encode([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]))
+        slot = known[code]
         size = self.at[slot + 1] - self.at[slot]
         bounds = np.concatenate([[0], np.cumsum(size)])
         index = np.repeat(self.at[slot] - bounds[:-1], size) + np.arange(bounds[-1])
@@ -207,6 +233,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     Null texts count as empty and consist of the end id alone. Null ids come first; rows that
     share an id are ordered by text. Other columns are ignored; an empty table writes no rows.
     """
+    bounded(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (

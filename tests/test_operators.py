@@ -40,6 +40,11 @@ def test_classes(spark, given, want):
     assert one(spark, tags.classify(tag_map(given)))[0] == want
 
 
+def test_missing_tag_values_do_not_hide_others(spark):
+    f = spark.createDataFrame([({"shop": None, "building": "church"},), ({"shop": None},), (None,)], "tags map<string,string>")
+    assert [r[0] for r in f.select(tags.classify(F.col("tags"))).collect()] == ["religious", "unknown", "unknown"]
+
+
 def dims(spark, rows):
     names = "feature_id string, building_class string, height_source string, building_type string, levels double, min_height_m double, total_height_m double, eave_height_m double, footprint_area_m2 double"
     return spark.createDataFrame([(str(k), *r) for k, r in enumerate(rows)], names)

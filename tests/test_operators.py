@@ -34,7 +34,7 @@ def test_real_height(spark, given, want):
 
 @pytest.mark.parametrize(
     "given,want",
-    [({"building": "apartments", "amenity": "parking"}, "parking"), ({"building": "cathedral", "landmark": "yes"}, "landmark"), ({"office": "Government;Company"}, "commercial_office"), ({"memorymap:class": "Arena"}, "stadium_arena"), ({"shop": "no", "building": "house"}, "residential"), ({"tourism": "attraction", "wikidata": "Q1"}, "landmark"), ({}, "unknown")],
+    [({"building": "apartments", "amenity": "parking"}, "parking"), ({"building": "cathedral", "landmark": "yes"}, "landmark"), ({"office": "Government;Company"}, "commercial_office"), ({"somemap:class": "Arena"}, "stadium_arena"), ({"shop": "no", "building": "house"}, "residential"), ({"tourism": "attraction", "wikidata": "Q1"}, "landmark"), ({}, "unknown")],
 )
 def test_classes(spark, given, want):
     assert one(spark, tags.classify(tag_map(given)))[0] == want

@@ -5,7 +5,8 @@ that is parallel to a vector, which moves its large products, costs more than th
 ``h_par * <r, x/|x|>^2 + h_orth * |r_orth|^2``. Codebooks of 16 words for pairs of dimensions
 are fitted on a bounded sample under that loss, codes are chosen by coordinate descent. A query's
 products with all words make one 16-entry table a pair; scanning 4-bit codes through byte-quantised tables gives
-approximate scores, and the best of each block are scored again in double precision.
+approximate scores. The best of each block are scored again in double precision, and so is every other
+row that could still be among the best: the angle between a vector and its code bounds what the code hides.
 
 Queries and candidates are dealt into blocks of fixed sizes, and each pair of blocks is one group. All
 candidates are indexed and scanned.
@@ -91,30 +92,70 @@ def _leaning(parts: np.ndarray, unit: np.ndarray, words: np.ndarray, codes: np.n
     return ((parts - coded) * unit).sum(axis=(1, 2))
 
 
-def scan(book: Codebook, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
-    """Approximate scores (candidates by queries) up to an offset and scale of each query, from byte tables."""
+def byte_tables(book: Codebook, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Products of queries and words as bytes (subspaces by words by queries), and the offset and step of each query."""
     tables = np.einsum("qmd,mwd->mwq", book.parts(queries), book.words)
     low = tables.min(axis=1, keepdims=True)
     step = np.maximum((tables - low).max(axis=(0, 1)), 1e-300) / 255
-    tables = np.rint((tables - low) / step).astype(np.uint8)
-    total = np.zeros((len(codes), len(queries)), np.uint16)
+    return np.rint((tables - low) / step).astype(np.uint8), low.sum(axis=(0, 1)), step
+
+
+def table_sums(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    total = np.zeros((len(codes), tables.shape[2]), np.uint16)
     for m in range(codes.shape[1]):
         total += tables[m][codes[:, m]]
     return total
 
 
+def scan(book: Codebook, codes: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Approximate scores (candidates by queries) up to an offset and scale of each query, from byte tables."""
+    return table_sums(byte_tables(book, queries)[0], codes)
+
+
+def exact_scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
+    # Not by BLAS: its sums depend on the place of a row, and equal rows must tie.
+    return (x * query).sum(axis=1)
+
+
 def search_block(book: Codebook, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: int, rerank: int) -> list[list[tuple[float, int]]]:
-    """The best of one candidate block for each query: ``(score, id)``, best first."""
-    total = scan(book, book.encode(x), queries).T
+    """The best of one candidate block for each query: ``(score, id)``, best first.
+
+    The ``rerank`` rows of the best approximate scores give a score that ``top`` rows reach. The angle of query and
+    code is at most that of query and vector plus that of vector and code, so a row whose approximate
+    score, with the rounding of the tables added, is too low for this cannot reach that score; all others are scored.
+    """
+    codes = book.encode(x)
+    tables, base, step = byte_tables(book, queries)
+    total = np.ascontiguousarray(table_sums(tables, codes).T)
+    subspaces, count = codes.shape[1], len(ids)
+    coded = book.words[np.arange(subspaces)[None, :], codes].reshape(count, -1)
+    size, coded_size, asked_size = (np.linalg.norm(v, axis=1) for v in (x, coded, queries))
+    # Slack for floating point: 1e-6 of the largest product of a query and any code.
+    longest = np.sqrt((book.words**2).sum(-1).max(1).sum())
     # One more than asked for, because a query's own row is no candidate.
-    take = min(max(rerank, top) + 1, len(ids))
+    take = min(max(rerank, top) + 1, count)
     out = []
-    near = np.argpartition(total, len(ids) - take, axis=1)[:, len(ids) - take :] if take < len(ids) else np.tile(np.arange(len(ids)), (len(queries), 1))
-    for q in range(len(queries)):
-        at = near[q][ids[near[q]] != query_ids[q]]
-        score = x[at] @ queries[q]
-        best = np.lexsort((ids[at], -score))[:top]
-        out.append([(float(s), int(i)) for s, i in zip(score[best], ids[at][best], strict=True)])
+    # What is not a number in the bounds (overflow, a code of zeros) rules no row out.
+    with np.errstate(all="ignore"):
+        cos = np.clip((coded * x).sum(1) / size / coded_size, -1, 1)
+        sin = np.sqrt(1 - cos**2)
+        for q, query in enumerate(queries):
+            at = np.arange(count)
+            if take < count:
+                near = np.argpartition(total[q], count - take)[count - take :]
+                score = exact_scores(x[near[ids[near] != query_ids[q]]], query)
+                floor = np.partition(score, len(score) - top)[len(score) - top] if len(score) >= top else -np.inf
+                least = np.clip(floor / asked_size[q] / size, -1, 1)
+                need = asked_size[q] * (coded_size * (least * cos - np.sqrt(1 - least**2) * sin) - 1e-6 * longest)
+                most = base[q] + step[q] * (total[q] + 0.51 * subspaces)
+                at = np.flatnonzero(~((most < need) & (least > -cos)))
+                if len(at) > count // 8:
+                    slack = 16 * x.shape[1] * np.finfo(float).eps * asked_size[q] * size
+                    at = at[~(x @ query < floor - slack)[at]]
+            at = at[ids[at] != query_ids[q]]
+            score = exact_scores(x[at], query)
+            best = np.lexsort((ids[at], -score))[:top]
+            out.append([(float(s), int(i)) for s, i in zip(score[best], ids[at][best], strict=True)])
     return out
 
 
@@ -139,7 +180,7 @@ def nearest_by_product(table: DataFrame, query_every: int = 20, id_col: str = "v
     as one. Other columns are ignored. Without queries or candidates the result is empty.
 
     Codebooks are fitted on at most ``sample`` rows, chosen by hash; every row is indexed. In every
-    candidate block ``rerank`` rows a query are scored exactly.
+    candidate block ``rerank`` rows a query, and all others that can reach the best of these, are scored exactly.
     """
     rows = valid_vectors(table, id_col, vector_col)
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()

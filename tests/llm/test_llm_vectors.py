@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cartoloom.llm.components import components
 from cartoloom.llm.embedding_dedup import Quantised, embedding_groups, tile_links
-from cartoloom.llm.inner_product_search import fit_codebook, nearest_by_product, scan
+from cartoloom.llm.inner_product_search import fit_codebook, nearest_by_product, scan, search_block
 
 SCHEMA = "vec_id long, embedding array<float>, label int, v int, tile int, u string"
 
@@ -97,6 +97,21 @@ def test_anisotropic_codes_keep_near_scores(spark):
     assert err[8.0] < err[1.0]
 
 
+@pytest.mark.parametrize("copies", [0.0, 0.02])
+def test_search_is_exact_in_a_large_group_of_copies(copies):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    x[:1200] = x[0] + copies * rng.normal(size=(1200, 32))
+    order = rng.permutation(3000)
+    x, ids = np.ascontiguousarray(x[order]), np.arange(3000)
+    asked = np.concatenate([np.flatnonzero(order < 1200)[::100], np.flatnonzero(order >= 1200)[::200]])
+    found = search_block(fit_codebook(x[:1000]), ids, x, ids[asked], x[asked], 20, 256)
+    for q, rows in zip(asked, found, strict=True):
+        score = (x * x[q]).sum(1)
+        want = [int(j) for j in np.lexsort((ids, -score)) if j != q][:20]
+        assert [i for _, i in rows] == want
+
+
 def test_few_vectors_and_none(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert embedding_groups(none).count() == 0 and nearest_by_product(none).count() == 0

@@ -205,7 +205,7 @@ def match_landmarks(features: DataFrame, registry: DataFrame, strict: bool = Fal
     return features.join(found, "feature_id", "left").withColumn("landmark", F.when(F.col("_n") > 1, clash).otherwise(F.col("landmark"))).drop("_n")
 
 
-def supported_parts(parts: DataFrame, overlaps: DataFrame, rounds: int = 32) -> DataFrame:
+def supported_parts(parts: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Parts with a path of overlapping, high enough supports to the ground.
 
     ``parts``: ``part_id, min_height_m, total_height_m``; ``overlaps``: ``a, b`` pairs whose footprints share
@@ -218,7 +218,7 @@ def supported_parts(parts: DataFrame, overlaps: DataFrame, rounds: int = 32) ->
     carries = carries.join(top, "a").join(foot, "b").where("top >= foot - 0.5").select("a", "b")
     known = parts.where("min_height_m <= 1e-9").select("part_id")
     size = known.count()
-    for _ in range(rounds):
+    while True:
         more = carries.join(known, F.col("a") == F.col("part_id"), "left_semi").select(F.col("b").alias("part_id"))
         known = known.unionByName(more).distinct().checkpoint()
         now = known.count()

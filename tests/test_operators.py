@@ -192,6 +192,18 @@ def test_membership_has_flat_ends(spark):
     assert got == {(5.0, 0.9), (10.5, -0.5)}
 
 
+def test_support_reaches_the_top_of_long_stacks(spark, monkeypatch):
+    spark.sparkContext.setCheckpointDir("/tmp/cartoloom-test-checkpoints")
+    parts = spark.createDataFrame([(k, 5.0 * k, 5.0 * k + 5) for k in range(36)], "part_id long, min_height_m double, total_height_m double").coalesce(1)
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(35)], "a long, b long").coalesce(1)
+    assert {r[0] for r in buildings.supported_parts(parts, pairs).collect()} == set(range(36))
+    chain = [("base", 0), *(("top", k) for k in range(1, 68))]
+    graph = spark.createDataFrame([(*upper, *lower) for lower, upper in zip(chain, chain[1:], strict=False)], "layer string, component long, s_layer string, s_component long").coalesce(1)
+    monkeypatch.setattr(mesh, "supports", lambda *_, **__: graph)
+    monkeypatch.setattr(mesh, "shells", lambda _: spark.createDataFrame([*chain, ("top", 99)], "layer string, component long").coalesce(1))
+    assert [(r["layer"], r["component"]) for r in mesh.floating_shells(None, None).collect()] == [("top", 99)]
+
+
 def test_polygon_holes_and_borders(spark):
     ring = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
     p = spark.createDataFrame([(1, [ring(0.0, 10.0), ring(4.0, 6.0)])], "poly int, rings array<array<struct<x: double, y: double>>>")

@@ -101,7 +101,7 @@ def byte_tables(book: Codebook, queries: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def table_sums(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(codes), tables.shape[2]), np.uint16)
+    total = np.zeros((len(codes), tables.shape[2]), np.uint16 if 255 * codes.shape[1] <= 65535 else np.uint32)
     for m in range(codes.shape[1]):
         total += tables[m][codes[:, m]]
     return total

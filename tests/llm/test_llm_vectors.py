@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cartoloom.llm.components import components
 from cartoloom.llm.embedding_dedup import Quantised, embedding_groups, tile_links
-from cartoloom.llm.inner_product_search import fit_codebook, nearest_by_product, scan, search_block
+from cartoloom.llm.inner_product_search import Codebook, fit_codebook, nearest_by_product, scan, search_block
 
 SCHEMA = "vec_id long, embedding array<float>, label int, v int, tile int, u string"
 
@@ -112,6 +112,13 @@ def test_search_is_exact_in_a_large_group_of_copies(copies):
         assert [i for _, i in rows] == want
 
 
+def test_table_sums_of_many_subspaces_do_not_wrap():
+    words = np.zeros((300, 2, 2))
+    words[:, 1] = 1
+    codes = np.array([[0] * 300, [1] * 300], np.uint8)
+    assert scan(Codebook(words, 4.0), codes, np.ones((1, 600)))[:, 0].tolist() == [0, 300 * 255]
+
+
 def test_few_vectors_and_none(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert embedding_groups(none).count() == 0 and nearest_by_product(none).count() == 0

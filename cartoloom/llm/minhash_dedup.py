@@ -9,7 +9,8 @@ as all its places hold values below the next rank, usually after one or two rank
 Plan: one scan makes signatures; documents with equal shingle sets collapse to one
 representative; bands of the representatives' signatures give buckets; every bucket is a star
 around its smallest member. A star's members meet, in blocks of bounded size that all contain
-the centre, for verification on full shingle sets, and verified links go to union-find.
+the centre, for verification on full shingle sets, and verified links go to union-find. In a star of
+several blocks, members that are then not joined to the centre meet the members of the other blocks as well.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ WORDS, SIMILAR = 5, (75, 100)
 BANDS, ROWS = 24, 4
 BLOCK = 192
 SALTS = 16
+SLOTS = 65536
 
 
 def shingle_sets(texts: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -120,6 +122,17 @@ def _signatures(words: int, bands: int, rows: int):
     return run
 
 
+def shared_counts(sets: list[np.ndarray], i: int, js: np.ndarray) -> np.ndarray:
+    """How many elements set ``i`` has in common with each set of ``js``."""
+    joined = np.concatenate([sets[j] for j in js])
+    at = np.searchsorted(sets[i], joined)
+    at[at == len(sets[i])] = 0
+    hit = sets[i][at] == joined
+    ends = np.cumsum([len(sets[j]) for j in js])
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return total[ends] - total[np.concatenate([[0], ends[:-1]])]
+
+
 def similar_pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links ``(i, j)`` within one block of sorted distinct sets that connect it as all its links would.
 
@@ -127,15 +140,6 @@ def similar_pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
     all others. Sizes and counts of shared elements decide exactly.
     """
 
-    def shared(i: int, js: np.ndarray) -> np.ndarray:
-        joined = np.concatenate([sets[j] for j in js])
-        at = np.searchsorted(sets[i], joined)
-        at[at == len(sets[i])] = 0
-        hit = sets[i][at] == joined
-        ends = np.cumsum([len(sets[j]) for j in js])
-        total = np.concatenate([[0], np.cumsum(hit)])
-        return total[ends] - total[np.concatenate([[0], ends[:-1]])]
-
     sizes = np.array([len(s) for s in sets])
     links: list[tuple[int, int]] = []
     pending = [0]
@@ -148,7 +152,7 @@ def similar_pairs(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int,
         low, high = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
         js = js[den * low >= num * high]
         if len(js):
-            common = shared(i, js)
+            common = shared_counts(sets, i, js)
             linked = den * common >= num * (sizes[i] + sizes[js] - common)
             links += [(i, int(j)) for j in js[linked]]
         else:
@@ -177,6 +181,41 @@ def _verify(words: int, num: int, den: int):
     return run
 
 
+def joining_pairs(sets: list[np.ndarray], root: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links between ``left`` and ``right`` (or within ``left`` if they are the same) that join sets of different ``root``.
+
+    Pairs that roots or earlier links join already are passed over.
+    """
+    sizes, root = np.array([len(s) for s in sets]), root.copy()
+    within = np.array_equal(left, right)
+    links: list[tuple[int, int]] = []
+    for k, i in enumerate(left):
+        js = right[k + 1 :] if within else right
+        js = js[root[js] != root[i]]
+        js = js[den * np.minimum(sizes[js], sizes[i]) >= num * np.maximum(sizes[js], sizes[i])]
+        if len(js):
+            common = shared_counts(sets, i, js)
+            for j in js[den * common >= num * (sizes[i] + sizes[js] - common)]:
+                if root[j] != root[i]:
+                    links.append((int(i), int(j)))
+                    root[root == root[j]] = root[i]
+    return links
+
+
+def _across(words: int, num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids, own = table.column("doc_id").to_numpy(), table.column("own").to_numpy()
+        sets = []
+        for texts in slices(table.select(["text"]).combine_chunks().to_batches()):
+            elements, bounds = shingle_sets(texts, words)
+            sets += [elements[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        left, right = (np.flatnonzero(own == table.column(c)[0].as_py()) for c in ("low", "high"))
+        pairs = joining_pairs(sets, table.column("component").to_numpy(), left, right, num, den)
+        return pa.table({"u": np.array([ids[i] for i, _ in pairs], np.int64), "v": np.array([ids[j] for _, j in pairs], np.int64)})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similar: tuple[int, int] = SIMILAR, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``similar`` (a fraction) or more.
 
@@ -190,7 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A pair at the threshold itself is missed by the bands with probability
     ``(1 - s**rows)**bands`` (1.0e-4 at 0.75, 3e-6 at 0.8); no bucket is capped. Stars of more
-    than ``block`` members are verified in blocks that each contain the centre.
+    than ``block`` members are verified in blocks that each contain the centre; then members that links have not
+    joined to the centre are compared, block against block, with all others of the star.
     """
     num, den = similar
     bounded(docs.sparkSession)
@@ -223,6 +263,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = met.groupBy("centre", "part").applyInArrow(_verify(words, num, den), "u long, v long")
 
     found = components(links.unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
+    found = _join_blocks(source, spokes, dealt.where("blocks > 1").select("centre"), found, block, _across(words, num, den))
     out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def _join_blocks(source: DataFrame, spokes: DataFrame, crowded: DataFrame, found: DataFrame, block: int, across) -> DataFrame:
+    """Components after links between different blocks of crowded stars.
+
+    Members in the centre's component are joined already. The loose ones are dealt into blocks anew, and
+    each of their blocks meets every block of the star, so a star of n members makes at most ``(n / block + 1)**2`` groups.
+    """
+    names = found.select(F.col("node").alias("doc_id"), "component")
+    hubs = crowded.join(names.withColumnRenamed("doc_id", "centre"), "centre", "left").select("centre", F.coalesce("component", "centre").alias("hub"))
+    placed = spokes.join(hubs, "centre").join(names, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = staged(placed.select("centre", "doc_id", "component", (F.col("component") != F.col("hub")).alias("loose")), "placed")
+    if placed.where("loose").isEmpty():
+        return found
+    parts = lambda which: F.ceil(F.count_if(which) / block).cast("int")
+    sizes = placed.groupBy("centre").agg(parts(F.col("loose")).alias("loose_parts"), parts(~F.col("loose")).alias("other_parts")).where("loose_parts > 0")
+    # Blocks of loose members have the numbers below loose_parts, those of others the numbers from there on.
+    dealt = placed.join(sizes, "centre").withColumn("own", F.when(F.col("loose"), F.pmod(F.xxhash64("doc_id"), F.col("loose_parts"))).otherwise(F.col("loose_parts") + F.pmod(F.xxhash64("doc_id"), F.greatest("other_parts", F.lit(1)))).cast("int"))
+    last = F.col("loose_parts") + F.when(F.col("loose"), F.col("other_parts")).otherwise(0) - 1
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
+    to = F.struct("centre", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "component")
+    asked = dealt.groupBy("doc_id").agg(F.collect_list(to).alias("to"))
+    # Texts of ids whose hash slot nobody asks for are not shuffled again; there are at most SLOTS slots.
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+    slots = placed.join(sizes, "centre", "left_semi").select(slot.alias("slot")).distinct()
+    wanted = source.join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
+    met = wanted.join(asked.hint("merge"), "doc_id").select("doc_id", "text", F.explode("to").alias("to")).select("doc_id", "text", "to.*")
+    links = met.groupBy("centre", "low", "high").applyInArrow(across, "u long, v long")
+    return components(links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))

@@ -81,6 +81,20 @@ def test_near_duplicates_equal_brute_force(docs, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_in_different_blocks_of_a_crowded_star(spark):
+    # One template with own endings: similarity 96/132 for most, 99/129 for 100 pairs; the centre links with none but its partner.
+    template, pairs = " ".join(f"t{k}" for k in range(100)), 100
+    rows = []
+    for k in range(600):
+        shared = k % 300 if k % 300 < pairs else k
+        rows.append((k, " ".join([template, *(f"p{shared}x{j}" for j in range(3)), *(f"o{k}x{j}" for j in range(15))])))
+    sets = [shingles(text) for _, text in rows]
+    linked = [(a, b) for a in range(600) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert sorted(linked) == [(k + 300, k) for k in range(pairs)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [k for k in range(600) if got[k] != (k - 300 if 300 <= k < 300 + pairs else k)] == []
+
+
 def test_superminhash_estimates_and_uses_every_rank():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)

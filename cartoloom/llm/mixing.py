@@ -6,15 +6,18 @@ shared again by weight among the rest until nobody is above its cap. With the so
 cap / weight the capped ones are a prefix of that order, so the fixed point follows from running
 sums instead of a loop.
 
-A source then repeats all its documents ``floor(target / size)`` times; the fractional repetition goes
-to the documents whose seeded hash comes first, as long as they fit into the fraction of the source's
-words; a few more single documents, each the largest that fits, fill what the straddling document
-left open. Running sums over the seeded order are made in two levels (hash bins, then documents
-within a bin), so a source that holds a third of all rows is spread over all bins.
+A source then repeats all its documents ``floor(target / size)`` times. The fractional repetition takes
+its documents in seeded order up to the first that does not fit, and fills the room which that one leaves
+with the smallest others, as far as they fit. Either end is found by running sums level by level (bins of
+the order, pieces of one bin, rows of one piece), so neither a source nor a group of rows alike meets in
+one task. What is decided is a row a source; documents are held against it where they lie, and texts are
+never shuffled.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,31 +26,20 @@ from .scratch import staged
 WEIGHTS = (3, 1, 2)
 BUDGET, EPOCHS, SEED = (3, 2), 2, "mix-1"
 WORD = "[^\\x20\\x09-\\x0D]+"
+DIMENSION = 10_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: tuple[int, int] = BUDGET, epochs: int = EPOCHS, seed: str = SEED, bin_digits: int = 3, fills: int = 2, rows: bool = False) -> DataFrame:
-    """Decide how many words of each document the mix takes.
-
-    Returns ``doc_id, size, source_size, target, taken, repeats`` and, with ``rows``, a struct ``row`` of all columns.
-    Size counts words (a null text has none). Sources are put in code-point order, null last, and get
-    ``weights`` in turn; together they take ``budget`` (a fraction) of all words. A source of no words has
-    target 0 and its documents are taken 0 words. ``repeats`` is the whole number of times a document
-    enters the mix, at most ``epochs``; a document of no words is repeated as often as its source
-    repeats whole. Order within a source is by md5 of seed and id, then id, then size; rows alike in all of these
-    go together. A null id has a hash of its own. Reruns agree. An empty table gives an empty result.
+def small(side: DataFrame, rows: int) -> DataFrame:
+    """A side of few rows is broadcast; a larger one is left to the shuffle."""
+    return F.broadcast(side) if rows <= DIMENSION else side.hint("merge")
 
-    Sources are a dimension: their totals (one row each) are ordered in one task.
-    """
-    rank = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), rank.alias("rank"), *([F.struct(*docs.columns).alias("row")] if rows else []))
-    sized = staged(sized.withColumn("bin", F.substring("rank", 1, bin_digits)), "sized")
 
-    sums = sized.groupBy("src", "bin").agg(F.sum("size").alias("bin_size"))
-    totals = sums.groupBy("src").agg(F.sum("bin_size").alias("source_size"))
+def water_fill(totals: DataFrame, weights: tuple[int, ...], budget: tuple[int, int], epochs: int) -> DataFrame:
+    """``src, n, source_size, target, whole, part`` from ``src, n, source_size``, one row a source; part is what whole repetitions leave."""
     order = Window.orderBy(F.col("src").asc_nulls_last())
     turn = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1).cast("int"))
     plan = totals.withColumn("weight", turn).withColumn("cap", F.lit(epochs) * F.col("source_size"))
@@ -64,33 +56,90 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     plan = plan.withColumn("target", F.least(F.col("target"), F.col("cap").cast("double")))
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(epochs))).otherwise(0).cast("long"))
-    plan = plan.withColumn("part", F.col("target") - F.col("whole") * F.col("source_size")).select("src", "source_size", "target", "whole", "part")
-
-    along = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = sums.withColumn("before", F.coalesce(F.sum("bin_size").over(along), F.lit(0)))
-    bins = bins.join(plan.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).select("s", F.col("bin").alias("b"), "before", "source_size", "target", "whole", "part")
-    inside = Window.partitionBy("src", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("own", F.sum("size").over(inside)).join(bins, F.col("src").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
-    can = (F.col("size") > 0) & (F.col("whole") < epochs)
-    placed = placed.withColumn("extra", F.when(can & (F.col("before") + F.col("own") <= F.col("part")), 1).otherwise(0)).drop("s", "b", "own", "before")
-    for _ in range(fills):
-        room = placed.groupBy("src").agg((F.first("part") - F.sum(F.col("extra") * F.col("size"))).alias("room"))
-        fits = placed.where(can & (F.col("extra") == 0)).join(room.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).where("size <= room")
-        best = fits.groupBy("s").agg(F.max(F.struct("size", "rank")).alias("best"))
-        placed = placed.join(best, F.col("src").eqNullSafe(F.col("s")), "left")
-        picked = (F.col("best.size") == F.col("size")) & (F.col("best.rank") == F.col("rank"))
-        placed = placed.withColumn("extra", F.when(picked & can & (F.col("extra") == 0), 1).otherwise(F.col("extra"))).drop("s", "best")
-    repeats = F.col("whole") + F.col("extra")
-    return placed.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"), *(["row"] if rows else []))
+    part = F.when(F.col("whole") < epochs, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0)
+    return plan.select("src", "n", "source_size", "target", "whole", F.floor(part).cast("long").alias("part"))
+
+
+#: From coarse to fine: bins, pieces of a bin (rows alike of one task of the stored table), rows. Each list follows the order of its last level.
+SEEDED = (("bin",), ("rank", "task"), ("rank", "spot"))
+SMALLEST = (("size",), ("size", "bin"), ("size", "rank", "task"), ("size", "rank", "spot"))
+
+
+def _fitting(rows: DataFrame, levels: tuple[tuple[str, ...], ...], sources: int) -> DataFrame:
+    """``src, room, upto, left``: the last row (as a struct of the last level's keys) up to which all rows of a source fit its room.
+
+    Each level sums its pieces of a source; those that fit whole are taken, and the first that doesn't is looked at on the next level.
+    """
+    place, part, out, ends = F.struct(*levels[-1]), rows.withColumn("before", F.lit(0).cast("long")), None, []
+    own = F.col("src").eqNullSafe(F.col("s"))
+    for at, keys in enumerate(levels):
+        pieces = part.groupBy("src", *keys, "room", "before").agg(F.sum("size").alias("words"), F.max(place).alias("end"))
+        pieces = pieces.withColumn("sum", F.col("before") + F.sum("words").over(Window.partitionBy("src").orderBy(*keys)))
+        first = F.struct(*(F.col(k).alias(f"in_{k}") for k in keys), (F.col("sum") - F.col("words")).alias("before"))
+        found = pieces.groupBy("src", "room").agg(F.max(F.when(F.col("sum") <= F.col("room"), F.struct("end", "sum"))).alias(f"full{at}"), F.min(F.when(F.col("sum") > F.col("room"), first)).alias("first"))
+        state = found.where("first is not null").select(F.col("src").alias("s"), "first.*")
+        out = found.drop("first") if out is None else out.join(small(found.select(F.col("src").alias("s"), f"full{at}"), sources), own, "left").drop("s")
+        ends.insert(0, f"full{at}")
+        same = own
+        for k in keys:
+            same &= F.col(k) == F.col(f"in_{k}")
+        part = rows.join(small(state, sources), same)
+    full = F.coalesce(*ends)
+    return out.select("src", "room", full["end"].alias("upto"), (F.col("room") - full["sum"]).alias("left"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, budget: tuple[int, int] = BUDGET, epochs: int = EPOCHS, seed: str = SEED, rows: bool = False) -> DataFrame:
+    """Decide how many words of each document the mix takes.
+
+    Returns ``doc_id, size, source_size, target, taken, repeats`` and, with ``rows``, a struct ``row`` of all columns.
+    Size counts words (a null text has none). Sources are put in code-point order, null last, and get
+    ``weights`` in turn; together they take ``budget`` (a fraction) of all words. A source of no words has
+    target 0 and its documents are taken 0 words. ``repeats`` is the whole number of times a document
+    enters the mix, at most ``epochs``; a document of no words is repeated as often as its source
+    repeats whole. Documents enter whole, so a source's taken words never exceed its target, and no document that
+    could be repeated once more fits into what stays open.
+
+    Order within a source is by md5 of seed, id and text; rows alike in all of these are told apart by
+    their place in a stored table, so each counts for itself. A null id has a hash of its own. Reruns agree
+    in the rows they return. An empty table gives an empty result; other columns are ignored.
+
+    Sources are a dimension: their totals (one row each) are ordered in one task.
+    """
+    if epochs < 1 or min(weights) <= 0:
+        raise ValueError("weights and epochs must be positive")
+    ident, text = F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.coalesce(F.md5(F.col(text_col)), F.lit("null"))
+    rank = F.md5(F.concat(F.lit(seed + ":"), ident, F.lit(":"), text))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), rank.alias("rank"), F.monotonically_increasing_id().alias("spot"), *([F.struct(*docs.columns).alias("row")] if rows else []))
+    sized = staged(sized, "sized")
+    totals = sized.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    plan = staged(water_fill(totals, weights, budget, epochs), "plan")
+    sources, count = plan.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # As many bins as a bin has rows, about, so neither a source's bins nor a bin's rows are too many for a task.
+    digits = max(3, math.ceil(math.log(count + 1, 16) / 2))
+    narrow = sized.select("src", "size", "rank", "spot", F.substring("rank", 1, digits).alias("bin"), F.shiftright("spot", 33).alias("task")).where("size > 0")
+    # A document up to the room always fits, so each source with such documents gets an end.
+    asked = plan.where("part > 0").select(F.col("src").alias("s"), F.col("part").alias("room"))
+    own = F.col("src").eqNullSafe(F.col("s"))
+    seeded = staged(_fitting(narrow.join(small(asked, sources), own).where("size <= room").drop("s"), SEEDED, sources), "seeded")
+    ends = seeded.select(F.col("src").alias("s"), F.col("room").alias("part_room"), "upto", F.col("left").alias("room"))
+    in_order = (F.col("size") <= F.col("part_room")) & (F.struct("rank", "spot") <= F.col("upto"))
+    open_ = narrow.join(small(ends.where("room > 0"), sources), own).where((F.col("size") <= F.col("room")) & ~in_order).drop("s", "upto")
+    filled = staged(_fitting(open_, SMALLEST, sources), "filled").select(F.col("src").alias("f"), F.col("upto").alias("fill_upto"))
+    for side, key in ((ends.drop("room").withColumnRenamed("s", "e"), "e"), (filled, "f")):
+        plan = plan.join(small(side, sources), F.col("src").eqNullSafe(F.col(key)), "left").drop(key)
+    placed = sized.join(small(plan.withColumnRenamed("src", "s"), sources), own)
+    extra = F.coalesce(in_order, F.lit(False)) | F.coalesce(F.struct("size", "rank", "spot") <= F.col("fill_upto"), F.lit(False))
+    repeats = F.col("whole") + F.when((F.col("size") > 0) & extra, 1).otherwise(0)
+    return placed.select("doc_id", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.cast("long").alias("repeats"), *(["row"] if rows else []))
 
 
 ORACLE_MIX = """
 WITH sized AS (
   SELECT doc_id, source AS src, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END::BIGINT AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS rank
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')) AS rank
   FROM documents),
 totals AS (SELECT src, sum(size)::BIGINT AS source_size FROM sized GROUP BY src),
-turns AS (SELECT src, source_size, 2 * source_size AS cap,
+turns AS (SELECT src, source_size, 2 * source_size AS cap, row_number() OVER (ORDER BY src NULLS LAST) AS k,
                  CASE (row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight
           FROM totals),
 needs AS (SELECT *, CAST((sum(source_size) OVER () * 3) AS DOUBLE) / 2 AS asked,
@@ -100,17 +149,13 @@ needs AS (SELECT *, CAST((sum(source_size) OVER () * 3) AS DOUBLE) / 2 AS asked,
 levels AS (SELECT *, (asked - CAST(given AS DOUBLE)) / CAST(sharing AS DOUBLE) AS level FROM needs),
 settled AS (SELECT *, level * weight <= cap AS fits FROM levels),
 shares AS (SELECT *, first_value(level) OVER (ORDER BY CASE WHEN fits THEN 0 ELSE 1 END, given ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS share FROM settled),
-plan AS (SELECT src, source_size, least(CASE WHEN fits THEN share * weight ELSE CAST(cap AS DOUBLE) END, CAST(cap AS DOUBLE)) AS target FROM shares),
+plan AS (SELECT k, src, source_size, least(CASE WHEN fits THEN share * weight ELSE CAST(cap AS DOUBLE) END, CAST(cap AS DOUBLE)) AS target FROM shares),
 parts AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS whole FROM plan),
-ordered AS (SELECT s.doc_id, s.src, s.rank, s.size, p.source_size, p.target, p.whole, p.target - p.whole * p.source_size AS part,
-                   sum(s.size) OVER (PARTITION BY s.src ORDER BY s.rank, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS upto
-            FROM sized s JOIN parts p ON s.src IS NOT DISTINCT FROM p.src),
-first AS (SELECT *, CASE WHEN size > 0 AND whole < 2 AND upto <= part THEN 1 ELSE 0 END AS e0 FROM ordered),
-room1 AS (SELECT *, part - sum(e0 * size) OVER (PARTITION BY src) AS room FROM first),
-best1 AS (SELECT *, max(CASE WHEN e0 = 0 AND size > 0 AND whole < 2 AND size <= room THEN lpad(size::VARCHAR, 19, '0') || rank END) OVER (PARTITION BY src) AS best FROM room1),
-second AS (SELECT * EXCLUDE (room, best), CASE WHEN e0 = 0 AND size > 0 AND whole < 2 AND lpad(size::VARCHAR, 19, '0') || rank = best THEN 1 ELSE e0 END AS e1 FROM best1),
-room2 AS (SELECT *, part - sum(e1 * size) OVER (PARTITION BY src) AS room FROM second),
-best2 AS (SELECT *, max(CASE WHEN e1 = 0 AND size > 0 AND whole < 2 AND size <= room THEN lpad(size::VARCHAR, 19, '0') || rank END) OVER (PARTITION BY src) AS best FROM room2),
-third AS (SELECT *, CASE WHEN e1 = 0 AND size > 0 AND whole < 2 AND lpad(size::VARCHAR, 19, '0') || rank = best THEN 1 ELSE e1 END AS e2 FROM best2)
-SELECT doc_id, size, source_size, target, ((whole + e2) * size)::BIGINT AS taken, (whole + e2)::BIGINT AS repeats FROM third
+rows_ AS (SELECT s.doc_id, s.size, p.k, p.source_size, p.target, p.whole, CASE WHEN p.whole < 2 THEN floor(p.target - p.whole * p.source_size)::BIGINT ELSE 0 END AS part,
+                 row_number() OVER (PARTITION BY p.k ORDER BY s.rank) AS n
+          FROM sized s JOIN parts p ON s.src IS NOT DISTINCT FROM p.src),
+seeded AS (SELECT *, size BETWEEN 1 AND part AND sum(CASE WHEN size <= part THEN size ELSE 0 END) OVER (PARTITION BY k ORDER BY n ROWS UNBOUNDED PRECEDING) <= part AS chosen FROM rows_),
+rooms AS (SELECT *, part - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY k) AS room FROM seeded),
+filled AS (SELECT *, NOT chosen AND size BETWEEN 1 AND room AND sum(CASE WHEN NOT chosen AND size <= room THEN size ELSE 0 END) OVER (PARTITION BY k ORDER BY size, n ROWS UNBOUNDED PRECEDING) <= room AS more FROM rooms)
+SELECT doc_id, size, source_size, target, ((whole + (chosen OR more)::INT) * size)::BIGINT AS taken, (whole + (chosen OR more)::INT)::BIGINT AS repeats FROM filled
 """

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import staged
+from .workers import lean
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +62,7 @@ def components(links: DataFrame, a: str = "u", b: str = "v", rounds: int = 60) -
     node that has a link and is not its own smallest. Raises if ``rounds`` do not suffice.
     """
     edges = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    edges = edges.mapInArrow(_local, "u long, v long")
+    edges = edges.mapInArrow(lean(_local), "u long, v long")
     for _ in range(rounds):
         edges = staged(edges, "links")
         # Done once every node has one parent and no parent has one itself.

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .components import components, forest
 from .scratch import staged
 from .vectors import matrix, valid_vectors
+from .workers import lean_group
 
 COSINE = 0.95
 TILE = 8192
@@ -111,7 +112,7 @@ def embedding_groups(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     own = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(tiles)).cast("int")
     dealt = rows.select("vec_id", "v", own.alias("tile")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
     dealt = dealt.select("vec_id", "v", "tile", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
-    found = staged(dealt.groupBy("a", "b").applyInArrow(_compare(cosine), "u long, v long, n long"), "tiles")
+    found = staged(dealt.groupBy("a", "b").applyInArrow(lean_group(_compare(cosine)), "u long, v long, n long"), "tiles")
     links = found.where("v is null").groupBy("u").agg(F.sum("n").alias("n_links"))
     groups = components(found.where("v is not null").select("u", "v"))
     out = table.select(F.col(id_col).cast("long").alias("vec_id")).join(links, F.col("vec_id") == F.col("u"), "left").join(groups, F.col("vec_id") == F.col("node"), "left")

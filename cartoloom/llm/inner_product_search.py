@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .vectors import matrix, valid_vectors
+from .workers import lean_group
 
 TOP, RERANK = 20, 256
 SAMPLE, WORDS, DIMS = 8192, 16, 2
@@ -193,6 +194,6 @@ def nearest_by_product(table: DataFrame, query_every: int = 20, id_col: str = "v
     ask = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(asked)).cast("int")
     candidates = rows.select("vec_id", "v", F.lit(False).alias("ask"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("part"))
     queries = rows.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "v", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), ask.alias("part"))
-    met = candidates.unionByName(queries).groupBy("block", "part").applyInArrow(_search(book, top, rerank), "query_id long, best array<struct<down: double, vec_id: long>>")
+    met = candidates.unionByName(queries).groupBy("block", "part").applyInArrow(lean_group(_search(book, top, rerank)), "query_id long, best array<struct<down: double, vec_id: long>>")
     merged = met.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, top).alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.down")).alias("score"))

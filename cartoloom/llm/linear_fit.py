@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from .scratch import bounded, staged
 
+#: Labels that may differ, and rows of a training sample (the fit holds them as a dense matrix: 2,000 columns are 256 MB).
+CLASSES, MOST = 64, 32_000
+
 
 def held_out(doc_id) -> F.Column:
     """Rows that no fit may learn from: crc32 of the id as text, modulo 3, is 1."""
@@ -19,20 +22,23 @@ def held_out(doc_id) -> F.Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, tasks: int) -> DataFrame:
     """Texts of at most ``per_class`` labelled rows of each class, chosen by hash of the id; ``doc_id, text, label``.
 
-    Held-out rows, null ids, null labels and ids that carry several labels are left out.
+    Held-out rows, null ids, null labels and ids that carry several labels are left out. All classes together have at most
+    ``MOST`` rows, dealt evenly; over ``CLASSES`` different labels raise, because a class would be too thin to learn from.
     """
     bounded(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).alias("label"), F.max(label).alias("other")).where("label = other")
-    classes = sorted(r[0] for r in known.select("label").distinct().limit(64).collect())
+    classes = sorted(r[0] for r in known.select("label").distinct().limit(CLASSES + 1).collect())
+    if len(classes) > CLASSES:
+        raise ValueError(f"more than {CLASSES} different labels in {label!r}")
     picked = None
     for c in classes:
-        own = known.where(F.col("label") == c).select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(per_class)
+        own = known.where(F.col("label") == c).select("doc_id", F.col("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(min(per_class, MOST // len(classes)))
         picked = own if picked is None else picked.unionByName(own)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if picked is None:
         return texts.limit(0).withColumn("label", F.lit(0))
-    # At most 64 * per_class rows of 12 bytes: the bound makes the broadcast safe.
+    # At most MOST rows of 12 bytes: the bound makes the broadcast safe.
     return staged(texts.join(F.broadcast(picked), "doc_id").repartition(tasks, "doc_id"), "sample")
 
 

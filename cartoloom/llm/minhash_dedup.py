@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import bounded, staged
 from .textbytes import Texts, mix, prefix_hash, slices, span_hash
+from .workers import lean, lean_group
 
 WORDS, SIMILAR = 5, (75, 100)
 BANDS, ROWS = 24, 4
@@ -235,7 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     num, den = similar
     bounded(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(source.mapInArrow(_signatures(words, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
+    signed = staged(source.mapInArrow(lean(_signatures(words, bands, rows)), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures")
 
     live = signed.where("n_shingles > 0 and doc_id is not null")
     # Classes of several documents are repeated for each salt, so a class of any size is spread over tasks.
@@ -260,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     asked = asked.groupBy("doc_id").agg(F.collect_list("to").alias("to"))
     # Always by shuffle: what is asked for grows with the input, and one plan holds at every size.
     met = source.join(asked.hint("merge"), "doc_id").select("doc_id", "text", F.explode("to").alias("to")).select("doc_id", "text", "to.*")
-    links = met.groupBy("centre", "part").applyInArrow(_verify(words, num, den), "u long, v long")
+    links = met.groupBy("centre", "part").applyInArrow(lean_group(_verify(words, num, den)), "u long, v long")
 
     found = components(links.unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
     found = _join_blocks(source, spokes, dealt.where("blocks > 1").select("centre"), found, block, _across(words, num, den))
@@ -294,5 +295,5 @@ def _join_blocks(source: DataFrame, spokes: DataFrame, crowded: DataFrame, found
     slots = placed.join(sizes, "centre", "left_semi").select(slot.alias("slot")).distinct()
     wanted = source.join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
     met = wanted.join(asked.hint("merge"), "doc_id").select("doc_id", "text", F.explode("to").alias("to")).select("doc_id", "text", "to.*")
-    links = met.groupBy("centre", "low", "high").applyInArrow(across, "u long, v long")
+    links = met.groupBy("centre", "low", "high").applyInArrow(lean_group(across), "u long, v long")
     return components(links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))

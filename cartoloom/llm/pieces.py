@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .scratch import bounded
 from .textbytes import slices
 from .tokenstore import Pieces, code_points
+from .workers import lean
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -294,7 +295,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     bounded(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(source.dtypes)["doc_id"]
-    return source.mapInArrow(_encode(model), f"doc_id {kind}, n_pieces long, round_trip boolean, ids array<int>")
+    return source.mapInArrow(lean(_encode(model), "pieces"), f"doc_id {kind}, n_pieces long, round_trip boolean, ids array<int>")
 
 
 def _decode(path: str):
@@ -311,4 +312,4 @@ def decode_pieces(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_co
     """``doc_id, text`` from stored ids; null ids give a null text."""
     source = encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     kind = dict(source.dtypes)["doc_id"]
-    return source.mapInArrow(_decode(model), f"doc_id {kind}, text string")
+    return source.mapInArrow(lean(_decode(model), "pieces"), f"doc_id {kind}, text string")

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from .linear_fit import held_out, minimise, sigmoid, training_sample
 from .textbytes import LOWER, Texts, mix, prefix_hash, slices, span_hash
+from .workers import lean
 
 BITS, SELECTED = 18, 2000
 PER_GRADE = 4000
@@ -137,13 +138,17 @@ def ordinal_loss(x: np.ndarray, y: np.ndarray, levels: int, penalty: float):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rating: str = "quality", per_grade: int = PER_GRADE, bits: int = BITS, selected: int = SELECTED, penalty: float = 0.2, tasks: int = 8) -> OrdinalModel:
-    """Fit on at most ``per_grade`` training rows of each grade (any set of integers, up to 64)."""
+    """Fit on at most ``per_grade`` training rows of each grade, and as many of every grade as of any other.
+
+    Grades are any integers; over 64 different ones are an error, and the rows of all grades together are at most
+    ``linear_fit.MOST``.
+    """
     sample = training_sample(docs, labels, rating, per_grade, tasks)
     grades = sorted(r[0] for r in sample.select("label").distinct().collect())
     if len(grades) < 2:
         return OrdinalModel(grades or [0], np.zeros(0), np.zeros(0, np.int64), np.zeros(0), bits)
     total, squares, count = np.zeros((len(grades), 1 << bits)), np.zeros(1 << bits), np.zeros(len(grades))
-    for r in sample.mapInArrow(_sums(bits, grades), "at binary, total binary, squares binary, count binary").toLocalIterator():
+    for r in sample.mapInArrow(lean(_sums(bits, grades)), "at binary, total binary, squares binary, count binary").toLocalIterator():
         at = np.frombuffer(r["at"], np.uint32)
         total[:, at] += np.frombuffer(r["total"], np.float32).reshape(len(grades), -1)
         squares[at] += np.frombuffer(r["squares"], np.float32)
@@ -153,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, rating: str = "quality", per_grade:
     between = (count[:, None] * (means - mean) ** 2).sum(axis=0)
     within = np.maximum(squares - (count[:, None] * means**2).sum(axis=0), 1e-9)
     best = np.sort(np.argsort(-(between / (within + 1e-3)), kind="stable")[:selected])
-    rows = sample.mapInArrow(_chosen(bits, best), "label int, at binary, value binary").collect()
+    rows = sample.mapInArrow(lean(_chosen(bits, best)), "label int, at binary, value binary").collect()
     x = np.zeros((len(rows), len(best)), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["value"], np.float32)
@@ -187,5 +192,5 @@ def score_quality(docs: DataFrame, model: OrdinalModel, at_least: int | None = N
     """
     source = docs.select("doc_id", "text")
     more = [T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("kept", T.BooleanType())]
-    scored = source.mapInArrow(_score(model, tail, model.grades[-1] if at_least is None else at_least), T.StructType([*source.schema.fields, *more]))
+    scored = source.mapInArrow(lean(_score(model, tail, model.grades[-1] if at_least is None else at_least)), T.StructType([*source.schema.fields, *more]))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", "kept")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import staged
+from .workers import lean
 
 SHARDS = 16
 RANGES, ROWS_PER_RANGE, MOST_RANGES = 256, 100_000, 1 << 16
@@ -82,7 +83,7 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = total or 1
     keys = quantile_keys(_draw(rows, total, DRAWS * parts, 1), parts)
     for turn in range(rounds + 1):
-        placed = rows.mapInArrow(_place(keys), "doc_id long, size long, text_crc32 long, h long, range int")
+        placed = rows.mapInArrow(lean(_place(keys)), "doc_id long, size long, text_crc32 long, h long, range int")
         sums = {r[0]: (r[1], r[2]) for r in placed.groupBy("range").agg(F.sum("size"), F.count("*")).collect()}
         full = [k for k, (size, n) in sums.items() if n > 1 and size > 2 * total / parts]
         if not full or turn == rounds or len(keys) >= 2 * MOST_RANGES:

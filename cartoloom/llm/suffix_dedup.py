@@ -1,11 +1,9 @@
 """Removal of byte passages that already occurred earlier in the corpus.
 
 A byte goes if some ``length``-byte string that covers it also starts earlier: in a document
-of smaller id, or earlier in its own. That is the statement ``LPF[p] >= length`` for a start
-``p`` of such a string, where LPF is the longest-previous-factor array of the texts laid end to
-end with breaks between them. In suffix order a start has an earlier match of that length iff the
-run of suffixes that share the first ``length`` bytes with it holds a smaller position before it
-(previous smaller) or after it (next smaller).
+of smaller id, or earlier in its own. In terms of the longest-previous-factor array of the texts laid end to
+end with breaks between them: bytes ``p .. p + LPF[p]`` go for every ``p`` with ``LPF[p] >= length``. The
+earlier match of a suffix that is longest is, in suffix order, its previous or its next one of smaller position.
 
 One suffix array over the whole corpus would be one task. Instead every ``length``-byte string
 is dealt by its *anchor*, the leftmost minimum among the hashes of its ``gram``-byte pieces.
@@ -14,8 +12,8 @@ handled as a *stretch*:
 
 1. a scan finds the stretches of every document and deals (anchor hash, stretch hash, place) by
    anchor. A stretch that equals an earlier one is covered whole, without looking at its text;
-2. where an anchor has several different stretches, the first of each is fetched as text, and
-   suffix order with previous and next smaller positions decides string by string;
+2. where an anchor has several different stretches, the first of each is fetched as text; a suffix array
+   of what may repeat in it (by prefix doubling) and its previous and next smaller positions give LPF;
 3. the covered ranges of a document are united and cut out.
 
 Cells of packed columns move through the shuffles. Copies of one stretch within a task's slice
@@ -33,10 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .packing import CELL, cells_batch, dealt, joined, pack, unpack
 from .scratch import bounded, staged
-from .textbytes import column_bytes, merged, mix, powers, prefix_hash, slices, span_hash
+from .textbytes import merged, mix, powers, prefix_hash, slices, span_hash
+from .workers import lean, lean_group
 
 LENGTH, GRAM = 100, 24
 BUCKET_BYTES = 6 << 20
@@ -181,19 +182,34 @@ def _pack_texts(buckets: int):
                 at = np.flatnonzero(bucket == b)
                 sizes = texts.offsets[at + 1] - texts.offsets[at]
                 body = np.concatenate([texts.data[texts.offsets[i] : texts.offsets[i + 1]] for i in at])
-                more, ends = column_bytes(texts.rows.column(2).take(pa.array(at)))
-                rows.append((int(b), TEXTS, pack(own[at], known[at], sizes, body, np.diff(ends), more)))
+                rows.append((int(b), TEXTS, pack(own[at], known[at], sizes, body, _stored(texts.rows.slice(0, 0) if texts.rows.num_columns < 3 else texts.rows.select([2]).take(pa.array(at))))))
             yield cells_batch(rows)
 
     return run
 
 
-def _texts_of(cells: list[bytes]) -> Iterator[tuple[int | None, np.ndarray, bytes]]:
+def _stored(rows: pa.RecordBatch) -> np.ndarray:
+    """Carried columns as bytes that keep all Arrow types; nothing if there are none."""
+    if not rows.num_rows:
+        return np.zeros(0, np.uint8)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_batch(rows)
+    return np.frombuffer(sink.getvalue(), np.uint8)
+
+
+def _texts_of(cells: list[bytes]) -> Iterator[tuple[int | None, np.ndarray]]:
     for cell in cells:
-        ids, known, sizes, body, carried, more = unpack(cell)
-        ends, stops = np.cumsum(sizes), np.cumsum(carried)
+        ids, known, sizes, body, _ = unpack(cell)
+        ends = np.cumsum(sizes)
         for i in range(len(ids)):
-            yield (int(ids[i]) if known[i] else None), body[ends[i] - sizes[i] : ends[i]], more[stops[i] - carried[i] : stops[i]].tobytes()
+            yield (int(ids[i]) if known[i] else None), body[ends[i] - sizes[i] : ends[i]]
+
+
+def _carried(cells: list[bytes]) -> list[pa.Array]:
+    """Carried rows of all texts, in the order of :func:`_texts_of`."""
+    stored = [unpack(cell)[4] for cell in cells]
+    return [chunk for raw in stored if len(raw) for chunk in pa.ipc.open_stream(pa.py_buffer(raw.tobytes())).read_all().column(0).chunks]
 
 
 def _fetch(length: int, gram: int, buckets: int):
@@ -205,7 +221,7 @@ def _fetch(length: int, gram: int, buckets: int):
         order = np.argsort(doc, kind="stable")
         h, doc, start, count, hot = (c[order] for c in (h, doc, start.astype(np.int64), count.astype(np.int64), hot))
         bodies, picked = [], []
-        for own, body, _ in _texts_of(texts.column("cell").to_pylist() if len(h) else []):
+        for own, body in _texts_of(texts.column("cell").to_pylist() if len(h) else []):
             if own is None:
                 continue
             a, b = np.searchsorted(doc, [own, own + 1])
@@ -249,41 +265,85 @@ def _fetch(length: int, gram: int, buckets: int):
     return run
 
 
-def has_previous_factor(strings: np.ndarray, doc: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Which of the fixed-length suffix prefixes in ``strings`` (one row of bytes each) have an earlier equal one in their group.
+SYMBOLS = 7  # of 9 bits each in the first sorting key
 
-    Suffixes are put in order within their group; where neighbours share all bytes (longest
-    common prefix at least the length) they form a run, and a suffix has a previous factor of
-    that length iff a smaller position precedes it (PSV) or follows it (NSV) within the run.
+
+def suffix_ranks(text: np.ndarray, ends: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all suffixes by their first 7, 14, 28, ... bytes, until these reach the end of every piece.
+
+    ``ends`` gives, for each position, where its piece of the text ends; nothing is read beyond.
+    """
+    n = len(text)
+    at = np.arange(n)
+    key = np.zeros(n, np.int64)
+    for k in range(SYMBOLS):
+        key <<= 9
+        inside = at + k < ends
+        key[inside] += text[at[inside] + k].astype(np.int64) + 1
+    levels, width = [], SYMBOLS
+    longest = int((ends - at).max())
+    while True:
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int32)
+        levels.append((width, rank))
+        if width >= longest:
+            return levels
+        inside = at + width < ends
+        key = rank.astype(np.int64) * (n + 1)
+        key[inside] += rank[at[inside] + width] + 1
+        width *= 2
+
+
+def common_prefix(text: np.ndarray, ends: np.ndarray, levels: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bytes the suffixes at ``i`` and at ``j`` have in common, each within its piece; 0 where ``j`` is negative."""
+    a, b, last = i.copy(), np.maximum(j, 0), len(text) - 1
+    stop_a, stop_b = ends[i], np.where(j < 0, 0, ends[b])
+    for width, rank in reversed(levels):
+        same = (a < stop_a) & (b < stop_b) & (rank[np.minimum(a, last)] == rank[np.minimum(b, last)])
+        step = np.where(same, np.minimum(width, stop_a - a), 0)
+        a, b = a + step, b + step
+    for _ in range(SYMBOLS - 1):
+        same = (a < stop_a) & (b < stop_b) & (text[np.minimum(a, last)] == text[np.minimum(b, last)])
+        a, b = a + same, b + same
+    return a - i
+
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each entry the nearest one before it that is smaller, or -1: minima of blocks of 1, 2, 4, ... are skipped from large to small."""
+    n = len(values)
+    minima = [values]
+    while 2 ** len(minima) <= n:
+        half, last = 2 ** (len(minima) - 1), minima[-1]
+        both = last.copy()
+        both[half:] = np.minimum(last[half:], last[:-half])
+        minima.append(both)
+    at = np.arange(n) - 1
+    for k in range(len(minima) - 1, -1, -1):
+        skip = (at - 2**k + 1 >= 0) & (minima[k][np.maximum(at, 0)] >= values)
+        at[skip] -= 2**k
+    return at
+
+
+def longest_previous_factors(text: np.ndarray, ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """LPF: the longest common prefix of each suffix with one of a smaller place.
+
+    In suffix order the best earlier match of a suffix is its previous or its next one of smaller place (PSV, NSV).
+    Places may be equal; then neither is earlier.
     """
-    n, length = strings.shape
+    n = len(text)
     if not n:
-        return np.zeros(0, bool)
-    order = np.argsort(np.ascontiguousarray(strings).view(f"S{length}").ravel(), kind="stable")
-    order = order[np.argsort(group[order], kind="stable")]
-    sorted_ = strings[order]
-    same = np.zeros(n, bool)
-    same[1:] = (group[order][1:] == group[order][:-1]) & (sorted_[1:] == sorted_[:-1]).all(axis=1)
-    place = np.empty(n, np.int64)
-    distinct = np.lexsort((start, doc))
-    tie = np.concatenate([[False], (doc[distinct][1:] == doc[distinct][:-1]) & (start[distinct][1:] == start[distinct][:-1])])
-    place[distinct] = np.cumsum(~tie)
-    place = place[order]
-    run = np.cumsum(~same)
-    lift = n + 2
-    # Smallest position before and after each suffix inside its run, from running minima.
-    before = np.minimum.accumulate(place - run * lift)
-    after = np.minimum.accumulate((place + run * lift)[::-1])[::-1]
-    psv = np.zeros(n, bool)
-    psv[1:] = same[1:] & (before[:-1] + run[:-1] * lift < place[1:])
-    nsv = np.zeros(n, bool)
-    nsv[:-1] = same[1:] & (after[1:] - run[1:] * lift < place[:-1])
-    out = np.zeros(n, bool)
-    out[order] = psv | nsv
-    return out
-
-
-def _decide(length: int, buckets: int, chunk: int = 150_000):
+        return np.zeros(0, np.int64)
+    levels = suffix_ranks(text, ends)
+    order = np.argsort(levels[-1][1], kind="stable")
+    sorted_ = place[order]
+    before, after = previous_smaller(sorted_), previous_smaller(sorted_[::-1])[::-1]
+    after = np.where(after >= 0, n - 1 - after, -1)
+    best = np.zeros(n, np.int64)
+    for near in (before, after):
+        best[order] = np.maximum(best[order], common_prefix(text, ends, levels, order, np.where(near >= 0, order[near], -1)))
+    return best
+
+
+def _decide(length: int, buckets: int, chunk: int = 1 << 19):
     kinds = [np.uint64, np.int64, np.uint32, np.uint8, np.uint8]
 
     def run(table: pa.Table) -> pa.Table:
@@ -296,38 +356,52 @@ def _decide(length: int, buckets: int, chunk: int = 150_000):
             parent = np.repeat(np.arange(len(h)), count)
             rank = np.arange(len(parent)) - np.repeat(np.cumsum(count) - count, count)
             own = at[parent] + rank
-            # Strings that occur once here have no match; equal ones have equal hashes and stay together.
+            # A string that occurs once here has no match, and equal strings have equal hashes: only runs of others need an order.
             name = mix(span_hash(prefix_hash(body), own, own + length))
             order = np.argsort(name, kind="stable")
-            twin = np.zeros(len(name), bool)
+            twin = np.zeros(len(name) + 1, bool)
             equal = name[order][1:] == name[order][:-1]
             twin[order[1:][equal]] = True
             twin[order[:-1][equal]] = True
-            sel = np.flatnonzero(twin)
-            sel = sel[np.argsort(h[parent[sel]], kind="stable")]
-            anchor = h[parent[sel]]
-            edges = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(sel)]])
-            a, found = 0, []
+            opens = twin[:-1].copy()
+            opens[1:] &= ~twin[:-2] | (parent[1:] != parent[:-1])
+            closes = twin[:-1].copy()
+            closes[:-1] &= ~twin[1:-1] | (parent[1:] != parent[:-1])
+            first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+            # Runs of one anchor stay together; anchors are taken as far as a chunk goes.
+            by = np.argsort(h[parent[first]], kind="stable")
+            first, size = first[by], (last - first)[by] + length
+            anchor, upto = h[parent[first]], np.cumsum(size)
+            edges = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, [len(first)]])
+            a, late = 0, []
             while a < len(edges) - 1:
-                b = max(a + 1, int(np.searchsorted(edges, edges[a] + chunk, "right")) - 1)
-                part = sel[edges[a] : edges[b]]
-                strings = body[own[part][:, None] + np.arange(length)]
-                hit = has_previous_factor(strings, doc[parent[part]], start[parent[part]] + rank[part], anchor[edges[a] : edges[b]])
-                found.append(part[hit])
+                begin = upto[edges[a]] - size[edges[a]] if len(first) else 0
+                b = max(a + 1, int(np.searchsorted(upto[edges[1:] - 1], begin + chunk, "right"))) if len(first) else len(edges) - 1
+                lo, hi = edges[a], edges[b]
                 a = b
-            late = np.concatenate(found)
-            begin = start[parent[late]] + rank[late]
-            rows += _covered_cells(doc[parent[late]], begin, begin + length, buckets)
+                if hi == lo:
+                    continue
+                run_size, run_doc, run_start = size[lo:hi], doc[parent[first[lo:hi]]], start[parent[first[lo:hi]]] + rank[first[lo:hi]]
+                stop = np.cumsum(run_size)
+                which = np.repeat(np.arange(hi - lo), run_size)
+                inner = np.arange(stop[-1]) - (stop - run_size)[which]
+                place = np.unique(np.unique(run_doc, return_inverse=True)[1][which] * (1 << 33) + run_start[which] + inner, return_inverse=True)[1].astype(np.int32)
+                lpf = longest_previous_factors(body[own[first[lo:hi]][which] + inner], stop[which], place)
+                hit = np.flatnonzero(lpf >= length)
+                late.append((run_doc[which[hit]], run_start[which[hit]] + inner[hit], run_start[which[hit]] + inner[hit] + lpf[hit]))
+            if late:
+                rows += _covered_cells(*(np.concatenate(c) for c in zip(*late, strict=True)), buckets)
         return pa.Table.from_batches([cells_batch(rows)])
 
     return run
 
 
-def _cut(keep_text: bool):
+def _cut(rows: bool, kind: pa.DataType | None):
     def run(texts: pa.Table, ranges: pa.Table) -> pa.Table:
         doc, start, end = united(*joined(ranges.column("cell").to_pylist(), [np.int64, np.uint32, np.uint32]))
-        ids, sizes, removed, spans, digests, kept_texts, carried = [], [], [], [], [], [], []
-        for own, body, more in _texts_of(texts.column("cell").to_pylist()):
+        cells = texts.column("cell").to_pylist()
+        ids, sizes, removed, spans, digests, kept_texts = [], [], [], [], [], []
+        for own, body in _texts_of(cells):
             a, b = np.searchsorted(doc, [own, own + 1]) if own is not None else (0, 0)
             lo, hi = np.minimum(start[a:b], len(body)), np.minimum(end[a:b], len(body))
             some = hi > lo
@@ -340,25 +414,24 @@ def _cut(keep_text: bool):
             removed.append(int((hi - lo).sum()))
             spans.append(len(lo))
             digests.append(hashlib.sha256(kept).hexdigest())
-            if keep_text:
+            if rows:
                 # Whole characters only: one that a cut would split stays out with the removed passage.
                 kept_texts.append(kept.decode("utf-8", "ignore"))
-                carried.append(more.decode())
         out = {"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
-        if keep_text:
+        if rows:
             out["kept_text"] = pa.array(kept_texts, pa.string())
-            out["carried"] = pa.array(carried, pa.string())
+            out["row"] = pa.chunked_array([c.cast(kind) for c in _carried(cells)], kind)
         return pa.table(out)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, carry: tuple[str, ...] = (), bucket_bytes: int = BUCKET_BYTES, hot: int = HOT_STRETCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, rows: bool = False, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT_STRETCHES) -> DataFrame:
     """Cut bytes covered by a ``length``-byte string that also starts earlier (smaller id, or same document and earlier start).
 
-    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``keep_text``,
+    Returns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``rows``,
     ``kept_text`` (remaining bytes as text; a character of which only a part remains is dropped) and
-    the columns named in ``carry``, which travel with their row.
+    a struct ``row`` of all columns but id and text, unchanged.
     Strings are judged on the input and never cross documents. A null text counts as empty. Texts
     shorter than ``length`` stay whole. Rows with a null id have no place in the order: they stay
     whole and remove nothing. Rows that repeat an id are one document: they do not remove each
@@ -368,22 +441,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not 0 < gram <= length <= 255 + gram - 1:
         raise ValueError("gram must be between 1 and length, and length - gram at most 254")
     bounded(docs.sparkSession)
-    carried = docs.select(*carry)
-    extra = F.to_json(F.struct(*(F.col(c) for c in carry)), {"ignoreNullFields": "false"}) if carry else F.lit("")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), extra.alias("carried"))
+    others = [c for c in docs.columns if c not in (id_col, text_col)] if rows else []
+    carried = F.struct(*(F.col(c) for c in others)) if others else F.struct(F.lit(0).alias("none"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([carried.alias("row")] if rows else []))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(max(64, total // bucket_bytes), 1 << 30))
 
-    cells = source.select("doc_id", "text").where("doc_id is not null").mapInArrow(_scan(length, gram, buckets), CELL)
-    compared = staged(cells.groupBy("bucket").applyInArrow(_compare(length, buckets, hot), CELL), "compared")
-    texts = source.mapInArrow(_pack_texts(buckets), CELL)
+    cells = source.select("doc_id", "text").where("doc_id is not null").mapInArrow(lean(_scan(length, gram, buckets)), CELL)
+    compared = staged(cells.groupBy("bucket").applyInArrow(lean_group(_compare(length, buckets, hot)), CELL), "compared")
+    texts = source.mapInArrow(lean(_pack_texts(buckets)), CELL)
     wanted = compared.where(F.col("kind") == WANTED)
-    fetched = texts.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(_fetch(length, gram, buckets), CELL)
-    decided = fetched.groupBy("bucket").applyInArrow(_decide(length, buckets), CELL)
+    fetched = texts.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(lean_group(_fetch(length, gram, buckets)), CELL)
+    decided = fetched.groupBy("bucket").applyInArrow(lean_group(_decide(length, buckets)), CELL)
     ranges = compared.where(F.col("kind") == COVERED).unionByName(decided)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string, carried string" * keep_text
-    out = texts.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(_cut(keep_text), schema)
-    if keep_text:
-        own = F.from_json("carried", carried.schema) if carry else None
-        out = out.select(*(c for c in out.columns if c != "carried"), *(own[c].alias(c) for c in carry))
-    return out
+    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
+    kind = None
+    if rows:
+        schema = schema.add("kept_text", T.StringType()).add(source.schema["row"])
+        kind = to_arrow_type(source.schema["row"].dataType)
+    return texts.groupBy("bucket").cogroup(ranges.groupBy("bucket")).applyInArrow(lean_group(_cut(rows, kind)), schema)

@@ -31,6 +31,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def shrink(n: int = 1 << 20) -> None:
+    """Forget the powers that only very long texts need."""
+    if len(_powers[0]) > n:
+        _powers[:] = [x[:n].copy() for x in _powers]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(31))

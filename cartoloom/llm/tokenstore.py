@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .scratch import bounded, new_path
 from .textbytes import mix, powers, slices
+from .workers import lean
 
 CACHE = 2_000_000
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
@@ -237,7 +238,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (
-        ordered.mapInArrow(_encode(tokenizer, end_id), TOKENS)
+        ordered.mapInArrow(lean(_encode(tokenizer, end_id), "tokenstore"), TOKENS)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", str(bloom_fpp))
         .option("orc.create.index", "true")
@@ -276,5 +277,5 @@ def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0, path: str | No
     before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     parts = stored.groupBy(F.col("part").alias("p")).agg(F.sum("n_tokens").alias("total"))
     parts = parts.select("p", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    own = stored.mapInArrow(_digest, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    own = stored.mapInArrow(lean(_digest, "tokenstore"), "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
     return own.join(F.broadcast(parts), F.col("part") == F.col("p")).select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .linear_fit import held_out, minimise, sigmoid, training_sample
 from .textbytes import Texts, mix, slices
+from .workers import lean
 
 ORDERS = (3, 4, 5, 6)
 BITS, SELECTED = 20, 3000
@@ -93,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, orders:
     """Fit on at most ``per_class`` training rows of each class; without both classes, every score is the base rate."""
     sample = training_sample(docs, labels, "toxic", per_class, tasks)
     seen, total = np.zeros((2, 1 << bits)), np.zeros(2)
-    for r in sample.mapInArrow(_counts(orders, bits), "at binary, q binary, p binary, nq long, np long").toLocalIterator():
+    for r in sample.mapInArrow(lean(_counts(orders, bits)), "at binary, q binary, p binary, nq long, np long").toLocalIterator():
         at = np.frombuffer(r["at"], np.uint32)
         seen[0, at] += np.frombuffer(r["q"], np.uint32)
         seen[1, at] += np.frombuffer(r["p"], np.uint32)
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, orders:
     best = np.sort(np.argsort(-evidence, kind="stable")[:selected])
     best = best[evidence[best] > 3.0]
     ratio = np.log((seen[1, best] + 1) / (total[1] + 2)) - np.log((seen[0, best] + 1) / (total[0] + 2))
-    rows = sample.mapInArrow(_chosen(orders, bits, best), "label int, at binary").collect()
+    rows = sample.mapInArrow(lean(_chosen(orders, bits, best)), "label int, at binary").collect()
     x = np.zeros((len(rows), len(best)), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.int32)] = 1
@@ -150,5 +151,5 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD,
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     source = docs.select("doc_id", "text", *([F.struct(*others).alias("row")] if rows and others else []))
     schema = T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    scored = source.mapInArrow(_score(model, threshold), schema)
+    scored = source.mapInArrow(lean(_score(model, threshold)), schema)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", *(source.columns[1:] if rows else []))

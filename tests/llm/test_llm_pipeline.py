@@ -1,5 +1,6 @@
 """Each stage of the pipeline on a small table, judged on its own input."""
 
+import datetime
 import hashlib
 
 import numpy as np
@@ -9,14 +10,16 @@ from test_llm_text import corpus, covered, shingles
 import __spark_entry__
 import corpus_pipeline
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, kept_id string, row int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, kept_id string, row int, n_bytes timestamp, kept_text string, n_removed array<int>, n_spans map<string,double>, kept_sha256 binary"
+AT = datetime.datetime(2024, 2, 29, 12, 30, 15, 123456)
+MORE = (1, 2, "k", 3, AT, "kept", [1, None], {"a": 0.1}, b"\x00\xff")
 
 
 @pytest.fixture(scope="module")
 def staged(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("pipeline")
-    rows = [(*r[:4], 1, 2, "k", 3) for r in corpus()]
-    toxic = [(200 + k, f"{r[1]} vilegrumble", "en", "s1", 1, 2, "k", 3) for k, r in enumerate(corpus()[:40])]
+    rows = [(*r[:4], *MORE) for r in corpus()]
+    toxic = [(200 + k, f"{r[1]} vilegrumble", "en", "s1", *MORE) for k, r in enumerate(corpus()[:40])]
     docs = spark.createDataFrame(rows + toxic, SCHEMA)
     docs.write.parquet(f"{root}/documents.parquet")
     labels = [(r[0], 1, int(r[0] >= 200)) for r in [*rows, *toxic] if r[0] is not None]
@@ -67,6 +70,21 @@ def test_mix_repeats_at_most_twice_and_encoding_comes_back(staged):
     assert out["sentencepiece"].count() == len(mixed) and out["sentencepiece"].where("not round_trip").count() == 0
 
 
+def test_other_columns_come_through_unchanged(staged):
+    _, out = staged
+    for name in list(out)[1:-1]:
+        assert {(r["size"], r["kept_id"], r["row"], r["n_bytes"], r["kept_text"], tuple(r["n_removed"]), r["n_spans"]["a"], bytes(r["kept_sha256"])) for r in out[name].collect()} == {(2, "k", 3, AT, "kept", (1, None), 0.1, b"\x00\xff")}
+
+
+def test_stages_may_be_chained_without_writing(spark, staged):
+    root, out = staged
+    docs = out["documents"]
+    for _, work in corpus_pipeline.STAGES[:4]:
+        docs = work(spark, docs, str(root))
+    key = lambda df: sorted(str((r["doc_id"], r["text"])) for r in df.collect())
+    assert key(docs) == key(out["mix_sources"])
+
+
 def test_run_does_all_stages(spark, staged):
     root, out = staged
     assert sorted(map(str, corpus_pipeline.run(spark, str(root)).collect())) == sorted(map(str, out["sentencepiece"].collect()))

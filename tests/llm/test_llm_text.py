@@ -122,7 +122,7 @@ def covered(texts, length=100):
 def test_repeats_equal_brute_force(docs, empty, how):
     unique = docs.where("doc_id is not null and doc_id <> 70")
     want = covered(sorted((r[0], (r[1] or "").encode()) for r in corpus() if r[0] not in (None, 70)), how.get("length", 100))
-    got = {r["doc_id"]: r for r in remove_repeats(unique, keep_text=True, carry=("lang", "size"), **how).collect()}
+    got = {r["doc_id"]: r for r in remove_repeats(unique, rows=True, **how).collect()}
     texts = {r[0]: (r[1] or "").encode() for r in corpus()}
     assert set(got) == set(want)
     for own, mark in want.items():
@@ -130,7 +130,7 @@ def test_repeats_equal_brute_force(docs, empty, how):
         r = got[own]
         spans = int((np.diff(np.concatenate([[0], mark.astype(int)])) == 1).sum())
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(mark), int(mark.sum()), spans, hashlib.sha256(kept).hexdigest()), own
-        assert r["kept_text"] == kept.decode("utf-8", "ignore") and r["size"] == 2
+        assert r["kept_text"] == kept.decode("utf-8", "ignore") and r["row"]["size"] == 2
     everything = remove_repeats(docs).collect()
     assert len(everything) == len(corpus()) and all(r["n_removed"] == 0 for r in everything if r["doc_id"] is None)
     assert remove_repeats(empty).count() == 0
@@ -149,10 +149,27 @@ def test_mix_equals_sql_and_its_law(docs, empty):
         by.setdefault(r["row"]["source"], []).append(r)
     assert sum(v[0]["target"] for v in by.values()) == pytest.approx(1.5 * sum(r["size"] for r in got))
     for v in by.values():
-        assert 0 <= v[0]["target"] - sum(r["taken"] for r in v) <= max(r["size"] for r in v)
+        left = v[0]["target"] - sum(r["taken"] for r in v)
+        assert left >= 0 and not any(0 < r["size"] <= left and r["repeats"] < 2 and r["repeats"] == min(x["repeats"] for x in v if x["size"]) for r in v)
     assert mix_sources(empty).count() == 0
 
 
+def test_mix_with_rows_alike_and_a_straddling_giant(spark):
+    alike = [(None, "a b c d e f g h", "s0")] * 40 + [(7, "one two three", "s0")] * 30 + [(k, "w " * (1 + k % 9), "s1") for k in range(200)]
+    giant = [(1000 + k, "w " * (3000 if k == 3 else 17 + k % 31), "s2") for k in range(300)]
+    t = spark.createDataFrame(alike + giant, "doc_id long, text string, source string").repartition(4)
+    for epochs, budget in ((2, (7, 5)), (3, (11, 5))):
+        got = mix_sources(t, epochs=epochs, budget=budget).collect()
+        again = mix_sources(t.repartition(7), epochs=epochs, budget=budget).collect()
+        assert len(got) == 570 and sorted(map(str, got)) == sorted(map(str, again))
+        for target in {r["target"] for r in got}:
+            own = [r for r in got if r["target"] == target]
+            left = target - sum(r["taken"] for r in own)
+            least = min(r["repeats"] for r in own)
+            assert left >= 0 and all(r["repeats"] <= min(epochs, least + 1) for r in own)
+            assert left < 1 or not any(r["size"] <= left and r["repeats"] < min(epochs, least + 1) for r in own)
+
+
 def test_shards_balance_and_number(docs, empty, spark):
     for table, n in ((docs, 4), (spark.createDataFrame([(k, "same text") for k in range(500)] + [(k, str(k)) for k in range(500, 900)], "doc_id long, text string"), 16)):
         got = balanced_shards(table, shards=n).collect()

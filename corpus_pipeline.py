@@ -2,7 +2,7 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. Its result is
 written as Parquet and read again as the next stage's documents; that also is the moment when the
-stage's own intermediate tables are no longer needed.
+stage's own intermediate tables are no longer needed. Stages may as well be chained without writing.
 """
 
 from __future__ import annotations
@@ -20,18 +20,16 @@ from cartoloom.llm.queries import tokenizer_file
 from cartoloom.llm.suffix_dedup import remove_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_finished: list[tuple[SparkSession, str]] = []
 
 
 def _stage(work: Stage) -> Stage:
-    """Delete what the stage before left in the shared folder: its result has been written by now."""
+    """Note on the result which intermediate tables it reads; the stage that gets the written result deletes them."""
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        scratch.release(_finished)
-        before = scratch.position()
-        out = work(spark, docs, sf_dir)
-        _finished[:] = scratch.staged_since(before)
-        return out
+        scratch.settle(docs, "doc_id")
+        with scratch.scope() as folders:
+            out = work(spark, docs, sf_dir)
+        return scratch.marked(out, folders, "doc_id")
 
     run.__doc__, run.__name__ = work.__doc__, work.__name__
     return run
@@ -56,9 +54,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @_stage
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that an earlier document or place holds; documents left empty stay, as empty ones."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = remove_repeats(docs, keep_text=True, carry=others).withColumnRenamed("kept_text", "text")
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    cut = remove_repeats(docs, rows=True)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return cut.select(*(own.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 @_stage

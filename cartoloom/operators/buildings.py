@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tags import classify, first_value, number_m
+from ..sources.stage import staged
+from .quantiles import percentiles
+from .spatial import centroid, point_inside
+from .tags import OVERRIDE_KEY, classify, first_value, number_m
 
 # Per use, fallback storeys, storey height, least and greatest printed height, roofs, detail, parts may merge.
 PRESETS = (
@@ -58,10 +61,10 @@ def real_height(tags: Column, default: float = 6.0, per_level: float = 3.0, most
     )
 
 
-def dimensions(features: DataFrame, default: float = 6.0, per_level: float = 3.0, most: float = 400.0) -> DataFrame:
+def dimensions(features: DataFrame, default: float = 6.0, per_level: float = 3.0, most: float = 400.0, override_key: str = OVERRIDE_KEY) -> DataFrame:
     """Heights and roof of buildings and parts; ``features`` need ``tags``. Adds the dimension columns."""
     tags = F.col("tags")
-    out = features.withColumn("building_class", classify(tags))
+    out = features.withColumn("building_class", classify(tags, override_key))
     unknown = F.col("building_class") == "unknown"
     out = out.withColumn("_lh", F.when(unknown, F.lit(per_level)).otherwise(preset(F.col("building_class"), 2)))
     lh = F.col("_lh")
@@ -94,9 +97,17 @@ def storeys(real: Column) -> Column:
 
 
 def tier_references(dims: DataFrame, *group: str) -> DataFrame:
-    """High reference (90th percentile, at least 9 storeys) and exceptional one, from confident heights only."""
+    """High reference (90th percentile, at least 9 storeys) and exceptional one, from confident heights only.
+
+    Over a whole table the percentile comes from a histogram; for each of several groups it is an aggregate.
+    """
     sure = dims.where(F.col("height_source").isin("height", "levels"))
-    found = (sure.groupBy(*group) if group else sure).agg(F.percentile(storeys(F.col("total_height_m")), 0.9).alias("p"), F.max(storeys(F.col("total_height_m"))).alias("m"))
+    if not group:
+        sure = sure.select(storeys(F.col("total_height_m")).alias("s"))
+        (p,) = percentiles(sure, "s", [0.9])
+        found = sure.agg(F.lit(p).cast("double").alias("p"), F.max("s").alias("m"))
+    else:
+        found = sure.groupBy(*group).agg(F.percentile(storeys(F.col("total_height_m")), 0.9).alias("p"), F.max(storeys(F.col("total_height_m"))).alias("m"))
     high = F.greatest(F.coalesce("p", F.lit(9.0)), F.lit(9.0))
     return found.select(*group, high.alias("high_ref"), F.greatest(high, F.coalesce("m", F.lit(9.0))).alias("top_ref"))
 
@@ -138,7 +149,8 @@ def tiered_height(dims: DataFrame, area: Column, ceiling_mm: float = 30.0, map_s
 
 
 def rendered_heights(dims: DataFrame, ceiling_mm: float = 30.0, map_scale: float | None = None, area: str = "footprint_area_m2") -> DataFrame:
-    """Total, bottom, eave and embed heights in millimetres of each building or part. One row of references is broadcast."""
+    """Total, bottom and eave heights in millimetres of each building or part. The dimensions are stored once; one row of references is broadcast."""
+    dims = staged(dims, "dimensions")
     both = dims.crossJoin(F.broadcast(tier_references(dims)))
     both = tiered_height(both, F.col(area), ceiling_mm, map_scale, out="_tier")
     capped = F.when(F.col("height_source").isin("height", "levels"), F.col("_tier")).otherwise(F.least("_tier", preset(F.col("building_class"), 4)))
@@ -161,7 +173,8 @@ def adaptive_heights(table: DataFrame, height: str, scale: float, ceiling: float
     h = F.col(height)
     if scale <= 0:
         return table.withColumn("visible_mm", clip(h))
-    stats = table.agg(F.max(height).alias("_max"), F.percentile(height, 0.95).alias("_knee"))
+    (p95,) = percentiles(table, height, [0.95])
+    stats = table.agg(F.max(height).alias("_max"), F.lit(p95).cast("double").alias("_knee"))
     both = table.crossJoin(F.broadcast(stats))
     knee, peak = F.col("_knee"), F.col("_max")
     mark = F.least(knee * scale, F.lit(ceiling * 0.8))
@@ -173,10 +186,12 @@ def adaptive_heights(table: DataFrame, height: str, scale: float, ceiling: float
 
 def height_distribution(rendered: DataFrame, ceiling_mm: float = 30.0) -> DataFrame:
     """One row: counts by source, percentiles of real and printed heights, and how much of the ceiling is used."""
-    real, out = F.percentile("total_height_m", [0.5, 0.9, 0.99]), F.percentile("total_mm", [0.5, 0.9, 0.99])
+    rendered = staged(rendered.select("height_source", "total_height_m", "total_mm"), "rendered")
+    real, out = (F.array(*(F.lit(p).cast("double") for p in percentiles(rendered, c, [0.5, 0.9, 0.99]))) for c in ("total_height_m", "total_mm"))
     at = lambda share: F.coalesce(F.avg((F.col("total_mm") >= ceiling_mm * share).cast("double")), F.lit(0.0))
     counted = [F.count_if(F.col("height_source") == s).alias(f"n_{s}") for s in ("class", "fallback", "height", "levels")]
-    wide = rendered.agg(F.count("*").alias("n"), *counted, real.alias("r"), out.alias("p"), F.max("total_height_m").alias("real_max"), F.max("total_mm").alias("mm_max"), *(at(x / 100).alias(f"at_least_{x}") for x in (50, 75, 90)))
+    wide = rendered.agg(F.count("*").alias("n"), *counted, F.max("total_height_m").alias("real_max"), F.max("total_mm").alias("mm_max"), *(at(x / 100).alias(f"at_least_{x}") for x in (50, 75, 90)))
+    wide = wide.withColumn("r", real).withColumn("p", out)
     return wide.select("n", *(f"n_{s}" for s in ("class", "fallback", "height", "levels")), *(F.col("r")[i].alias(f"real_p{x}") for i, x in enumerate((50, 90, 99))), "real_max", *(F.col("p")[i].alias(f"mm_p{x}") for i, x in enumerate((50, 90, 99))), "mm_max", "at_least_50", "at_least_75", "at_least_90")
 
 
@@ -205,6 +220,14 @@ def match_landmarks(features: DataFrame, registry: DataFrame, strict: bool = Fal
     return features.join(found, "feature_id", "left").withColumn("landmark", F.when(F.col("_n") > 1, clash).otherwise(F.col("landmark"))).drop("_n")
 
 
+def corrected_tags(features: DataFrame, registry: DataFrame) -> DataFrame:
+    """Tags with the corrections of a feature's landmark put in; needs ``landmark`` of :func:`match_landmarks`."""
+    fixes = registry.select(F.col("key").alias("landmark"), F.col("tag_corrections").alias("_fix"))
+    both = features.join(fixes, "landmark", "left")
+    kept = F.map_filter(F.col("tags"), lambda k, v: ~F.coalesce(F.map_contains_key("_fix", k), F.lit(False)))
+    return both.withColumn("tags", F.when(F.col("_fix").isNull(), F.col("tags")).otherwise(F.map_concat(kept, "_fix"))).drop("_fix")
+
+
 def supported_parts(parts: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Parts with a path of overlapping, high enough supports to the ground.
 
@@ -215,14 +238,22 @@ def supported_parts(parts: DataFrame, overlaps: DataFrame) -> DataFrame:
     carries = overlaps.unionByName(overlaps.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     top = parts.select(F.col("part_id").alias("a"), F.col("total_height_m").alias("top"))
     foot = parts.select(F.col("part_id").alias("b"), F.col("min_height_m").alias("foot"))
-    carries = carries.join(top, "a").join(foot, "b").where("top >= foot - 0.5").select("a", "b")
+    carries = staged(carries.join(top, "a").join(foot, "b").where("top >= foot - 0.5").select("a", "b"), "carries")
     known = parts.where("min_height_m <= 1e-9").select("part_id")
     size = known.count()
     while True:
         more = carries.join(known, F.col("a") == F.col("part_id"), "left_semi").select(F.col("b").alias("part_id"))
-        known = known.unionByName(more).distinct().checkpoint()
+        known = staged(known.unionByName(more).distinct(), "supported")
         now = known.count()
         if now == size:
             break
         size = now
     return known
+
+
+def footprint_ground(footprints: DataFrame, sample, rings: str = "rings", key: str = "feature_id", out: str = "ground_mm") -> DataFrame:
+    """Lowest terrain at a footprint's corners, centroid and an inner point; ``sample`` adds ``sample`` to points ``x, y``."""
+    own = F.col(rings)
+    at = F.concat(F.flatten(own), F.array(centroid(own), point_inside(own)))
+    points = footprints.select(key, F.explode(at).alias("p")).where("p.x IS NOT NULL").select(key, "p.x", "p.y")
+    return sample(points).groupBy(key).agg(F.min("sample").alias(out))

@@ -201,3 +201,22 @@ def embedded(visible: Column, base: Column, embed: Column) -> Column:
     """Extrusion height, bottom and effective depth of a raised feature."""
     depth = F.least(base, embed)
     return F.struct((visible + depth).alias("height"), (-depth).alias("bottom"), depth.alias("embed"))
+
+
+def rings_on_plate(table: DataFrame, rings: str, plate: Plate, out: str = "rings_mm") -> DataFrame:
+    """Polygons in degrees (x longitude, y latitude) as millimetres, ring by ring; needs the frame's four columns."""
+
+    def moved(p: Column) -> Column:
+        x, y = project(p["y"], p["x"], F.col("center_lat"), F.col("center_lon"))
+        x_mm, y_mm = to_print(x, y, F.col("coverage_width_m"), F.col("coverage_height_m"), plate)
+        return F.struct(x_mm.alias("x"), y_mm.alias("y"))
+
+    return table.withColumn(out, F.transform(F.col(rings), lambda r: F.transform(r, moved)))
+
+
+def clipped_lines(printed: DataFrame, plate: Plate, key: str = "route_id") -> DataFrame:
+    """Segments of lines on the plate, cut to its printable box."""
+    from .spatial import clip_segments, segments
+
+    m = plate.margin
+    return clip_segments(segments(printed, key), m, m, plate.width - m, plate.height - m)

@@ -110,17 +110,22 @@ def axis(length: float, count: int, margin: float = 0.0, descending: bool = Fals
 
 
 def bilinear(points: DataFrame, cells: DataFrame, value: str, rows: int, columns: int, out: str = "sample") -> DataFrame:
-    """Sample at fractional ``f_row, f_col`` (clipped to the grid) from the four cells around, by four hash joins in one: corners meet their cell, then add up."""
+    """Sample at fractional ``f_row, f_col`` (clipped to the grid) from the four cells around.
+
+    Each cell is given its right, lower and lower right neighbours' values by two windows over the grid, so a point
+    meets one row by one equi-join. Every point is returned, repeated ones too; a sample that needs a missing cell is null.
+    """
+    along, down = Window.partitionBy("grid_id", "row").orderBy("col"), Window.partitionBy("grid_id", "col").orderBy("row")
+    wide = cells.select("grid_id", "row", "col", F.col(value).cast("double").alias("_bl_a"))
+    wide = wide.withColumn("_bl_b", F.when(F.lead("col").over(along) == F.col("col") + 1, F.lead("_bl_a").over(along)))
+    below = F.when(F.lead("row").over(down) == F.col("row") + 1, F.lead(F.struct("_bl_a", "_bl_b")).over(down))
+    wide = wide.withColumn("_bl_low", below).select("grid_id", F.col("row").alias("_bl_row"), F.col("col").alias("_bl_col"), "_bl_a", "_bl_b", F.col("_bl_low._bl_a").alias("_bl_c"), F.col("_bl_low._bl_b").alias("_bl_d"))
     r = F.greatest(F.lit(0.0), F.least(F.col("f_row"), F.lit(float(rows - 1))))
     c = F.greatest(F.lit(0.0), F.least(F.col("f_col"), F.lit(float(columns - 1))))
-    at = points.withColumn("_bl_r", r).withColumn("_bl_c", c)
-    r0, c0 = F.floor("_bl_r").cast("int"), F.floor("_bl_c").cast("int")
-    tr, tc = F.col("_bl_r") - F.floor("_bl_r"), F.col("_bl_c") - F.floor("_bl_c")
-    corner = lambda i, j, w: F.struct(F.least(r0 + i, F.lit(rows - 1)).alias("row"), F.least(c0 + j, F.lit(columns - 1)).alias("col"), w.alias("w"))
-    four = F.array(corner(0, 0, (1 - tr) * (1 - tc)), corner(0, 1, (1 - tr) * tc), corner(1, 0, tr * (1 - tc)), corner(1, 1, tr * tc))
-    spread = at.withColumn("_bl_k", F.explode(four)).select("*", F.col("_bl_k.row").alias("row"), F.col("_bl_k.col").alias("col"), F.col("_bl_k.w").alias("_bl_w"))
-    met = spread.join(cells.select("grid_id", "row", "col", F.col(value).alias("_bl_v")), ["grid_id", "row", "col"])
-    return met.groupBy(*points.columns).agg(F.sum(F.col("_bl_w") * F.col("_bl_v")).alias(out))
+    at = points.withColumn("_bl_row", F.floor(r).cast("int")).withColumn("_bl_col", F.floor(c).cast("int")).withColumn("_bl_tr", r - F.floor(r)).withColumn("_bl_tc", c - F.floor(c))
+    mixed = lambda p, q, t: F.when(F.col(t) > 0, F.col(p) * (1 - F.col(t)) + F.col(q) * F.col(t)).otherwise(F.col(p))
+    met = at.join(wide, ["grid_id", "_bl_row", "_bl_col"], "left").withColumn("_bl_top", mixed("_bl_a", "_bl_b", "_bl_tc")).withColumn("_bl_base", mixed("_bl_c", "_bl_d", "_bl_tc"))
+    return met.select(*points.columns, mixed("_bl_top", "_bl_base", "_bl_tr").alias(out))
 
 
 def resample_classes(targets: DataFrame, source: DataFrame, box: tuple[float, float, float, float], rows: int, columns: int) -> DataFrame:
@@ -157,22 +162,23 @@ def runs(cells: DataFrame, mask: str) -> DataFrame:
 def coastal_distance(cells: DataFrame, water: str, cell_x: float, cell_y: float, limit: float) -> DataFrame:
     """Cells within ``limit`` metres of water in an 8-way metric: adds ``coastal``.
 
-    Without obstacles the shortest way is diagonal steps, then straight ones. Water cells and others
-    meet in bins of the limit's size, three by three.
+    Without obstacles the shortest way over ``dr`` rows and ``dc`` columns is diagonal steps, then straight ones, and its
+    length is the larger of two linear forms of ``dr`` and ``dc``. So the nearest water of a row, found by two windows along
+    it, reaches a known number of rows up and down its column, and two windows along columns tell which cells are reached.
     """
     if cell_x <= 0 or cell_y <= 0 or limit < 0:
         raise ValueError("coastal distances and cell sizes must be non-negative")
-    br, bc = max(1, math.ceil(limit / cell_y)), max(1, math.ceil(limit / cell_x))
-    wet = cells.where(F.col(water)).select("grid_id", F.col("row").alias("wr"), F.col("col").alias("wc"))
-    # Of a straight stretch of water only its rim can be nearest to a dry cell.
-    wet = wet.withColumn("_b", F.explode(F.array(*(F.struct((F.floor(F.col("wr") / br) + i).alias("r"), (F.floor(F.col("wc") / bc) + j).alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
-    wet = wet.select("grid_id", "wr", "wc", F.col("_b.r").alias("_br"), F.col("_b.c").alias("_bc"))
-    dry = cells.where(~F.col(water)).select("grid_id", "row", "col", F.floor(F.col("row") / br).alias("_br"), F.floor(F.col("col") / bc).alias("_bc"))
-    dr, dc = F.abs(F.col("row") - F.col("wr")), F.abs(F.col("col") - F.col("wc"))
-    both = F.least(dr, dc)
-    way = both * math.hypot(cell_x, cell_y) + (dr - both) * cell_y + (dc - both) * cell_x
-    near = dry.join(wet, ["grid_id", "_br", "_bc"]).where(way <= limit).select("grid_id", "row", "col").distinct().withColumn("_near", F.lit(True))
-    return cells.join(near, ["grid_id", "row", "col"], "left").withColumn("coastal", F.coalesce("_near", F.col(water) & F.lit(True), F.lit(False))).drop("_near")
+    diagonal = math.hypot(cell_x, cell_y)
+    along, across = Window.partitionBy("grid_id", "row").orderBy("col"), Window.partitionBy("grid_id", "col").orderBy("row")
+    before, after = (Window.unboundedPreceding, Window.currentRow), (Window.currentRow, Window.unboundedFollowing)
+    wet = F.when(F.col(water), F.col("col"))
+    left, right = F.max(wet).over(along.rowsBetween(*before)), F.min(wet).over(along.rowsBetween(*after))
+    near = F.least(F.col("col") - left, right - F.col("col"))
+    reach = F.floor(F.least((limit - near * (diagonal - cell_y)) / cell_y, (limit - near * cell_x) / (diagonal - cell_x)) + 1e-9)
+    own = cells.withColumn("_reach", F.when(reach >= 0, reach))
+    low = F.max(F.col("row") + F.col("_reach")).over(across.rowsBetween(*before))
+    high = F.min(F.col("row") - F.col("_reach")).over(across.rowsBetween(*after))
+    return own.withColumn("coastal", F.coalesce(low >= F.col("row"), F.lit(False)) | F.coalesce(high <= F.col("row"), F.lit(False))).drop("_reach")
 
 
 def fuse_classes(source: Column, water: Column, osm: Column) -> Column:
@@ -258,11 +264,11 @@ def dense(pdf: pd.DataFrame, column: str, fill) -> np.ndarray:
     return out
 
 
-def components(cells: DataFrame, mask: str) -> DataFrame:
-    """``grid_id, row, col, component`` of set cells, 8-connected."""
+def components(cells: DataFrame, mask: str, diagonal: bool = True) -> DataFrame:
+    """``grid_id, row, col, component`` of set cells, connected 8 ways, or 4 ways without ``diagonal``."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = label(dense(pdf, mask, False).astype(bool))
+        own = label(dense(pdf, mask, False).astype(bool), diagonal)
         at = np.argwhere(own >= 0)
         return pd.DataFrame({"grid_id": pdf["grid_id"].iloc[0], "row": at[:, 0].astype("int32"), "col": at[:, 1].astype("int32"), "component": own[own >= 0]})
 
@@ -361,28 +367,49 @@ def repair_elevation(cells: DataFrame, value: str) -> DataFrame:
     return own.groupBy("grid_id").applyInPandas(run, own.schema.simpleString()[7:-1].replace(":", " "))
 
 
-def restore_flattened(heights: np.ndarray, water: np.ndarray) -> tuple[np.ndarray, int]:
-    """Land that a water level was spread over, filled from its four neighbours; how many cells."""
-    if water.sum() < max(16, heights.size // 200):
-        return heights, 0
-    levels, counts = np.unique(np.round(heights[water], 9), return_counts=True)
-    if counts.max() < max(16, int(water.sum()) // 20):
-        return heights, 0
-    repair = np.isclose(heights, levels[counts.argmax()], atol=5e-9, rtol=0.0) & ~water
-    if repair.sum() < max(16, heights.size // 2000):
-        return heights, 0
-    out = grow(heights, ~repair & ~water, repair, [(-1, 0), (0, -1), (0, 1), (1, 0)])
-    left = repair & np.isnan(out)
-    return np.where(repair & ~left, out, heights), int(repair.sum() - left.sum())
+#: Least water cells and least share of the grid, least share of the water on one level, least share of the grid to restore, tolerance.
+FLATTENED = (16, 200, 20, 2000, 5e-9)
+FOUR = [(-1, 0), (0, -1), (0, 1), (1, 0)]
+
+
+def flattened_land(cells: DataFrame, height: str = "h_mm", water: str = "water") -> DataFrame:
+    """Adds ``flattened``: dry cells on the level that a grid's water was flattened to, where that is more than chance.
+
+    A grid qualifies by the size of its water, of the most frequent level under it, and of the land on that level.
+    """
+    least, of_grid, of_water, of_land, tolerance = FLATTENED
+    counts = cells.groupBy("grid_id").agg(F.count("*").alias("_n"), F.count_if(F.col(water)).alias("_wet"))
+    most = plateau(cells, height, water).join(counts, "grid_id")
+    at_least = lambda total, share: F.greatest(F.lit(least), F.floor(F.col(total) / share))
+    sure = most.where((F.col("_wet") >= at_least("_n", of_grid)) & (F.col("n") >= at_least("_wet", of_water))).select("grid_id", "level", "_n")
+    marked = cells.join(sure, "grid_id", "left").withColumn("flattened", F.coalesce((F.abs(F.col(height) - F.col("level")) <= tolerance) & ~F.col(water), F.lit(False)))
+    enough = marked.where("flattened").groupBy("grid_id").agg(F.count("*").alias("_land"), F.first("_n").alias("_n")).where(F.col("_land") >= at_least("_n", of_land)).select("grid_id", F.lit(True).alias("_enough"))
+    return marked.drop("level", "_n").join(enough, "grid_id", "left").withColumn("flattened", F.col("flattened") & F.coalesce("_enough", F.lit(False))).drop("_enough")
 
 
 def restore_land(cells: DataFrame, height: str = "h_mm", water: str = "water") -> DataFrame:
+    """Land that a water level was spread over, filled from its four neighbours inwards; what no other land touches stays."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, _ = restore_flattened(dense(pdf, height, 0.0).astype(float), dense(pdf, water, False).astype(bool))
-        return pdf.assign(**{height: out[pdf["row"], pdf["col"]]})
+        if not pdf["flattened"].any():
+            return pdf.drop(columns="flattened")
+        values, wet, open_ = dense(pdf, height, 0.0).astype(float), dense(pdf, water, False).astype(bool), dense(pdf, "flattened", False).astype(bool)
+        filled = grow(values, ~open_ & ~wet, open_, FOUR)
+        out = np.where(np.isnan(filled) | ~open_, values, filled)
+        return pdf.drop(columns="flattened").assign(**{height: out[pdf["row"], pdf["col"]]})
 
     own = cells.select("grid_id", "row", "col", height, water)
-    return own.groupBy("grid_id").applyInPandas(run, own.schema.simpleString()[7:-1].replace(":", " "))
+    return flattened_land(own, height, water).groupBy("grid_id").applyInPandas(run, own.schema)
+
+
+def land_region(cells: DataFrame, width: float, depth: float, margin: float, *excluded: str) -> DataFrame:
+    """Adds ``land``: cells ``x, y`` inside the margin that none of the masks excludes."""
+    if min(width, depth) <= 2 * margin or margin < 0:
+        raise ValueError("the margin is too large for the print dimensions")
+    inside = F.col("x").between(margin, width - margin) & F.col("y").between(margin, depth - margin)
+    for mask in excluded:
+        inside = inside & ~F.coalesce(F.col(mask), F.lit(False))
+    return cells.withColumn("land", inside)
 
 
 def recess(surface: DataFrame, vertices: DataFrame, depth: float, height: str = "h_mm") -> DataFrame:

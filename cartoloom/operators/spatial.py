@@ -20,7 +20,47 @@ def signed_area(ring: Column) -> Column:
 def polygon_area(rings: Column) -> Column:
     """Outline less holes."""
     areas = F.transform(rings, lambda r: F.abs(signed_area(r)))
-    return F.aggregate(F.slice(areas, 2, F.greatest(F.size(areas) - 1, F.lit(0))), areas[0], lambda a, v: a - v)
+    return F.aggregate(F.slice(areas, 2, F.greatest(F.size(areas) - 1, F.lit(0))), F.get(areas, F.lit(0)), lambda a, v: a - v)
+
+
+def _turned(ring: Column) -> Column:
+    return F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+
+def centroid(rings: Column) -> Column:
+    """Centre of area of a polygon, holes counted out; null without area."""
+    cross = lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]
+    total = lambda ring, f: F.aggregate(F.zip_with(ring, _turned(ring), f), F.lit(0.0), lambda a, v: a + v)
+    # Each ring adds its moments with the sign that makes the outline positive and holes negative.
+    sign = lambda ring, k: F.signum(signed_area(ring)) * F.when(k == 0, 1.0).otherwise(-1.0)
+    moment = lambda c: F.aggregate(F.transform(rings, lambda r, k: sign(r, k) * total(r, lambda p, q: (p[c] + q[c]) * cross(p, q))), F.lit(0.0), lambda a, v: a + v)
+    area = F.aggregate(F.transform(rings, lambda r, k: sign(r, k) * total(r, cross)), F.lit(0.0), lambda a, v: a + v)
+    safe = F.when(area != 0, 3.0 * area)
+    return F.struct((moment("x") / safe).alias("x"), (moment("y") / safe).alias("y"))
+
+
+def point_inside(rings: Column) -> Column:
+    """A point within the polygon: the middle of the widest stretch on the line half way up its box."""
+    ys = F.transform(F.get(rings, F.lit(0)), lambda p: p["y"])
+    y = (F.array_min(ys) + F.array_max(ys)) / 2
+    crossing = lambda p, q: F.when((p["y"] > y) != (q["y"] > y), (q["x"] - p["x"]) * (y - p["y"]) / F.when(q["y"] != p["y"], q["y"] - p["y"]) + p["x"])
+    xs = F.array_sort(F.array_compact(F.flatten(F.transform(rings, lambda r: F.zip_with(r, _turned(r), crossing)))))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1), lambda k: F.struct((F.get(xs, 2 * k + 1) - F.get(xs, 2 * k)).alias("w"), ((F.get(xs, 2 * k) + F.get(xs, 2 * k + 1)) / 2).alias("m")))
+    return F.struct(F.when(F.size(xs) > 1, F.array_max(pairs)["m"]).alias("x"), y.alias("y"))
+
+
+def usable(features: DataFrame, kinds: tuple[str, ...], kind: str = "geom_type", rings: str = "rings") -> DataFrame:
+    """Features of the given types with a geometry: polygons of some area, lines of two points, points."""
+    own = F.col(rings)
+    fine = F.when(F.col(kind).contains("Polygon"), polygon_area(own) > 0).when(F.col(kind).contains("Line"), F.size(F.get(own, F.lit(0))) > 1).otherwise(F.size(F.get(own, F.lit(0))) > 0)
+    return features.where(F.col(kind).isin(*kinds) & own.isNotNull() & (F.size(own) > 0) & F.coalesce(fine, F.lit(False)))
+
+
+def repaired_rings(rings: Column) -> Column:
+    """Rings without repeated and closing points; holes without area go, and so does a polygon whose outline has none."""
+    once = F.transform(rings, lambda r: F.filter(F.zip_with(r, F.concat(F.slice(r, -1, 1), r), lambda p, q: F.when(p.isNotNull() & ((p["x"] != q["x"]) | (p["y"] != q["y"])), p)), lambda p: p.isNotNull()))
+    good = lambda r: (F.size(F.array_distinct(r)) > 2) & (signed_area(r) != 0)
+    return F.when(good(F.get(once, F.lit(0))), F.filter(once, good))
 
 
 POINTS = "array<struct<x:double,y:double>>"
@@ -105,7 +145,7 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float, closed: bo
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     """Pairs of points and polygons (``rings``) that strictly hold them."""
-    xs = lambda f, c: f(F.transform(F.col("rings")[0], lambda p: p[c]))
+    xs = lambda f, c: f(F.transform(F.get("rings", F.lit(0)), lambda p: p[c]))
     boxed = polygons.select("*", *(xs(f, c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.array_min), ("max", F.array_max))))
     both = points_in_boxes(points, boxed, cell, closed=True).drop("min_x", "max_x", "min_y", "max_y")
     return both.where(strictly_inside(F.col("x"), F.col("y"), F.col("rings"))).drop("rings")
@@ -189,3 +229,23 @@ def route_membership(cells: DataFrame, pairs: DataFrame, width: float, key: str
     beyond = ((raw < 0) & (F.col("seq") == F.col("_first"))) | ((raw > 1) & (F.col("seq") == F.col("_last")))
     kept = both.where(near & ~(F.lit(flat) & F.coalesce(beyond, F.lit(False))))
     return kept.select(*cells.columns, key).distinct()
+
+
+def roads_without_route(cells: DataFrame, roads: DataFrame, route: DataFrame, road_width: float, route_width: float, cell: float | None = None) -> DataFrame:
+    """Cells of roads (round ends) that no route (flat ends) covers; ``roads`` and ``route`` are segments."""
+    road = route_membership(cells, roads, road_width, flat=False, cell=cell).select(*cells.columns).distinct()
+    return road.join(route_membership(cells, route, route_width, cell=cell).select(*cells.columns).distinct(), list(cells.columns), "left_anti")
+
+
+def near_points(cells: DataFrame, points: DataFrame, distance: float) -> DataFrame:
+    """Cells ``x, y`` within a distance of any point ``px, py``; cells and points meet through grid bins of that size."""
+    if distance <= 0:
+        raise ValueError("the buffer must be positive")
+    discs = points.selectExpr("px", "py", f"px - {distance} AS min_x", f"px + {distance} AS max_x", f"py - {distance} AS min_y", f"py + {distance} AS max_y")
+    both = points_in_boxes(cells, discs, max(distance, 1.0), closed=True)
+    return both.where(F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")) <= distance).select(*cells.columns).distinct()
+
+
+def evidence_cells(cells: DataFrame, points: DataFrame, lines: DataFrame, distance: float, cell: float | None = None) -> DataFrame:
+    """Cells within ``distance`` of point features or of line features (segments); polygons are no evidence."""
+    return near_points(cells, points, distance).unionByName(route_membership(cells, lines, 2 * distance, flat=False, cell=cell).select(*cells.columns)).distinct()

@@ -2,35 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..operators import buildings, frames, mesh, profile, raster, spatial, tags
 from . import inputs as i
 from .inputs import BOXES, CELLS, LINES, SEGMENTS, SPOTS, TAGS, TRACKS
+from .registry import ORACLES, QUERIES, query, r6
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 PLATE = frames.Plate(190.0, 240.0, 5.0, 27.0)
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(*names: str):
-    return [F.round(n, 6).alias(n) for n in names]
-
-
 CENTRED = TRACKS + """,
 mid AS (SELECT route_id, (min(lat) + max(lat)) / 2 AS clat, (min(lon) + max(lon)) / 2 AS clon FROM tracks GROUP BY route_id),
 around AS (SELECT t.*, clat, clon, 6378137e0 * cos(radians(lat)) * sin(radians(lon) - radians(clon)) AS x_m,
@@ -87,9 +69,14 @@ def query_radius(spark, d):
     return frames.query_bounds(frames.fit_frames(i.tracks(spark, d), PLATE), PLATE).select("route_id", F.round("radius_m", 3).alias("radius_m"))
 
 
-@query()
+@query(f"""WITH {FRAMED}, corners AS (SELECT route_id, clat, clon, k, unnest([-90e0, -90e0, 90e0, 90e0]) AS ax, unnest([-115e0, 115e0, -115e0, 115e0]) AS ay FROM fitted),
+moved AS (SELECT *, (ax * k * cos(radians(27e0)) - ay * k * sin(radians(27e0))) / 6378137e0 AS u, (ax * k * sin(radians(27e0)) + ay * k * cos(radians(27e0))) / 6378137e0 AS v FROM corners),
+polar AS (SELECT *, sqrt(u * u + v * v) AS rho, asin(sqrt(u * u + v * v)) AS c FROM moved),
+degrees_ AS (SELECT route_id, k, degrees(asin(cos(c) * sin(radians(clat)) + v * sin(c) * cos(radians(clat)) / rho)) AS lat, clon + degrees(atan2(u * sin(c), rho * cos(radians(clat)) * cos(c) - v * sin(radians(clat)) * sin(c))) AS lon FROM polar)
+SELECT route_id, round(min(lat), 6) AS south, round(max(lat), 6) AS north, round(min(lon), 6) AS west, round(max(lon), 6) AS east, round(sqrt(any_value(k) * 180e0 * any_value(k) * 180e0 + any_value(k) * 230e0 * any_value(k) * 230e0) / 2, 3) AS radius_m FROM degrees_ GROUP BY route_id""")
 def query_bounds(spark, d):
-    return frames.query_bounds(frames.fit_frames(i.tracks(spark, d), PLATE), PLATE)
+    found = frames.query_bounds(frames.fit_frames(i.tracks(spark, d), PLATE), PLATE)
+    return found.select("route_id", *r6("south", "north", "west", "east"), F.round("radius_m", 3).alias("radius_m"))
 
 
 @query(f"""WITH {CENTRED}, s AS (SELECT route_id, clat, clon, greatest(max(x_m) - min(x_m), 10e0) * 1.12e0 AS w, greatest(max(y_m) - min(y_m), 10e0) * 1.12e0 AS h FROM around GROUP BY ALL),
@@ -110,7 +97,7 @@ def route_bounds(spark, d):
     return frames.extents(i.tracks(spark, d)).selectExpr("route_id", "min_lat AS south", "min_lon AS west", "max_lat AS north", "max_lon AS east", "n_points")
 
 
-@query()
+@query(f"""WITH {TRACKS} SELECT route_id, '{{"type":"Feature","geometry":{{"type":"LineString","coordinates":[' || string_agg('[' || lon::VARCHAR || ',' || lat::VARCHAR || ']', ',' ORDER BY seq) || ']}}}}' AS geojson FROM tracks GROUP BY route_id""")
 def route_geojson(spark, d):
     return frames.route_lines(i.tracks(spark, d)).select("route_id", "geojson")
 
@@ -194,9 +181,9 @@ def class_presets(spark, d):
     return c.groupBy("building_class").count().join(F.broadcast(buildings.presets(spark)), "building_class").select("building_class", F.col("count").alias("n"), *r6("fallback_height_m"))
 
 
-@query(f"WITH {TAGS} SELECT feature_id, source AS height_source, round(total, 6) AS total_height_m, round(roof_m, 6) AS roof_height_m, round(greatest(0, total - roof_m), 6) AS eave_height_m, btype AS building_type FROM dims")
+@query(f"WITH {TAGS} SELECT feature_id, source AS height_source, round(total, 6) AS total_height_m, round(roof_m, 6) AS roof_height_m, round(eave, 6) AS eave_height_m, round(minh, 6) AS min_height_m, btype AS building_type, part AS is_part, lean AS roof_orientation FROM dims")
 def building_dimensions(spark, d):
-    return buildings.dimensions(i.building_tags(spark, d)).select("feature_id", "height_source", *r6("total_height_m", "roof_height_m", "eave_height_m"), "building_type")
+    return buildings.dimensions(i.building_tags(spark, d)).select("feature_id", "height_source", *r6("total_height_m", "roof_height_m", "eave_height_m", "min_height_m"), "building_type", "is_part", "roof_orientation")
 
 
 TIERS = TAGS + """,
@@ -204,17 +191,20 @@ sig AS (SELECT *, CASE WHEN source = 'levels' THEN l WHEN source = 'class' THEN
 ref AS (SELECT greatest(9e0, coalesce(quantile_cont(st, 0.9), 9e0)) AS hi, greatest(9e0, quantile_cont(st, 0.9), max(st)) AS pk FROM sig WHERE source IN ('height', 'levels')),
 low AS (SELECT *, CASE WHEN btype IN ('garage', 'shed') THEN 1.2e0 WHEN kind = 'residential' AND btype IN ('house', 'detached') AND area <= 180 THEN 1.6e0 WHEN kind = 'unknown' AND area <= 40 THEN 1.2e0 WHEN kind = 'unknown' AND area <= 120 THEN 1.6e0 ELSE 2e0 END AS lo FROM sig, ref),
 tier AS (SELECT *, least(30e0, CASE WHEN btype IN ('garage', 'shed') THEN lo WHEN source = 'levels' AND l <= 1 THEN lo WHEN source = 'levels' AND l <= 2 THEN 2.8e0 WHEN source = 'levels' AND l <= 8 THEN 3 + (l - 3) / 5 * 6
-  WHEN (st <= 2 OR (source NOT IN ('height', 'levels') AND kind NOT IN ('commercial_office', 'civic_institutional', 'parking', 'religious', 'stadium_arena'))) AND source IN ('height', 'levels') AND st > 1 THEN lo + least(1e0, st - 1) * (2.8e0 - lo)
-  WHEN st <= 2 OR (source NOT IN ('height', 'levels') AND kind NOT IN ('commercial_office', 'civic_institutional', 'parking', 'religious', 'stadium_arena')) THEN lo
+  WHEN (st <= 2 OR (source NOT IN ('height', 'levels') AND kind NOT IN ('commercial_office', 'civic_institutional', 'landmark', 'parking', 'religious', 'stadium_arena'))) AND source IN ('height', 'levels') AND st > 1 THEN lo + least(1e0, st - 1) * (2.8e0 - lo)
+  WHEN st <= 2 OR (source NOT IN ('height', 'levels') AND kind NOT IN ('commercial_office', 'civic_institutional', 'landmark', 'parking', 'religious', 'stadium_arena')) THEN lo
   WHEN st < 3 THEN 2.8e0 + (st - 2) * 0.2e0 WHEN st <= 8 THEN 3 + (st - 3) / 5 * 6 WHEN st <= 9 THEN 9e0
   WHEN hi > 9 AND st <= hi THEN 9 + pow((st - 9) / (hi - 9), 0.85e0) * (30e0 * 0.58e0 - 9) WHEN pk <= hi + 1e-9 THEN 30e0 * 0.58e0
   ELSE 30e0 * 0.58e0 + pow(least(1e0, greatest(0e0, (st - hi) / (pk - hi))), 1.25e0) * (30e0 - 30e0 * 0.58e0) END) AS mm FROM low),
-rendered AS (SELECT *, CASE WHEN source IN ('height', 'levels') THEN mm ELSE least(mm, top) END AS total_mm FROM tier)"""
+full_ AS (SELECT *, CASE WHEN source IN ('height', 'levels') THEN mm ELSE least(mm, top) END AS total_mm FROM tier),
+feet AS (SELECT *, least(0.6e0, total_mm) AS body, least(CASE WHEN minh > 0 THEN total_mm * least(1e0, minh / greatest(total, 1e-9)) ELSE 0e0 END, greatest(0e0, total_mm - least(0.6e0, total_mm))) AS bottom_mm FROM full_),
+rendered AS (SELECT *, least(total_mm, greatest(bottom_mm + body, total_mm * greatest(0e0, least(1e0, eave / greatest(total, 1e-9))))) AS eave_mm FROM feet)"""
 
 
-@query(f"WITH {TIERS} SELECT feature_id, round(total_mm, 6) AS total_mm, round(least(total_mm, greatest(least(0.6e0, total_mm), total_mm * (greatest(0, total - roof_m) / greatest(total, 1e-9)))), 6) AS eave_mm FROM rendered")
+@query(f"WITH {TIERS} SELECT feature_id, round(total_mm, 6) AS total_mm, round(bottom_mm, 6) AS bottom_mm, round(eave_mm, 6) AS eave_mm, round(CASE WHEN bottom_mm <= 1e-9 THEN 0.2e0 ELSE least(0.2e0, bottom_mm) END, 6) AS embed_mm FROM rendered")
 def tiered_heights(spark, d):
-    return buildings.rendered_heights(buildings.dimensions(i.building_tags(spark, d))).select("feature_id", *r6("total_mm", "eave_mm"))
+    out = buildings.rendered_heights(buildings.dimensions(i.building_tags(spark, d)))
+    return out.select("feature_id", *r6("total_mm", "bottom_mm", "eave_mm"), F.round(buildings.embed_depth(F.col("bottom_mm")), 6).alias("embed_mm"))
 
 
 @query(f"""WITH {TIERS} SELECT count(*) AS n, count(*) FILTER (source = 'class') AS n_class, count(*) FILTER (source = 'fallback') AS n_fallback, count(*) FILTER (source = 'height') AS n_height, count(*) FILTER (source = 'levels') AS n_levels,
@@ -240,10 +230,15 @@ def printable_roads(spark, d):
     return tags.printable_roads(i.road_tags(spark, d), "urban", blocked_access=("private",)).select("feature_id", "road_class", "width_mm")
 
 
-@query("""SELECT l_orderkey % 8 AS k, least(l_linenumber, l_linenumber % 3) AS a, greatest(l_linenumber, l_linenumber % 3) AS b, 1::BIGINT AS n FROM lineitem GROUP BY ALL""")
+@query("""WITH r AS (SELECT (l_orderkey % 8)::VARCHAR AS road_class, l_linenumber * 10 + 1 AS a, (l_linenumber % 3) * 10 + l_suppkey % 2 AS b, (l_partkey % 3) * 10 + 1 AS c FROM lineitem)
+SELECT DISTINCT road_class, CASE WHEN (a, b, c) <= (c, b, a) THEN a ELSE c END AS a, b, CASE WHEN (a, b, c) <= (c, b, a) THEN c ELSE a END AS c FROM r""")
 def distinct_corridors(spark, d):
-    t = i.table(spark, d, "lineitem").selectExpr("string(l_orderkey % 8) AS road_class", "array(l_linenumber, l_linenumber % 3) AS line")
-    return tags.distinct_corridors(t).selectExpr("bigint(road_class) AS k", "array_min(line) AS a", "array_max(line) AS b").groupBy("k", "a", "b").agg(F.count("*").alias("n"))
+    point = lambda v: F.struct((F.floor(v / 10)).cast("int").alias("x"), (v % 10).cast("int").alias("y"))
+    t = i.table(spark, d, "lineitem").selectExpr("string(l_orderkey % 8) AS road_class", "l_linenumber * 10 + 1 AS a", "(l_linenumber % 3) * 10 + l_suppkey % 2 AS b", "(l_partkey % 3) * 10 + 1 AS c")
+    kept = tags.distinct_corridors(t.select("road_class", F.array(*(point(F.col(k)) for k in "abc")).alias("line")))
+    low, high = F.least(F.col("line"), F.reverse("line")), F.greatest(F.col("line"), F.reverse("line"))
+    code = lambda p: (p["x"] * 10 + p["y"]).cast("long")
+    return kept.select("road_class", code(low[0]).alias("a"), code(low[1]).alias("b"), code(high[0]).alias("c"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 1.6e0 WHEN 1 THEN 1.2e0 ELSE 0.8e0 END AS width_mm FROM orders WHERE o_orderkey % 6 < 5")
@@ -275,9 +270,9 @@ def last_body_wins(spark, d):
     return spatial.last_wins(i.spots(spark, d), i.boxes(spark, d), "point_id", "level_mm", "box_id", 16.0)
 
 
-@query(f"WITH {BOXES} SELECT p.box_id AS a, q.box_id AS b, (least(p.max_x, q.max_x) - greatest(p.min_x, q.min_x)) * (least(p.max_y, q.max_y) - greatest(p.min_y, q.min_y)) AS area FROM boxes p JOIN boxes q ON p.box_id < q.box_id AND p.min_x < q.max_x AND q.min_x < p.max_x AND p.min_y < q.max_y AND q.min_y < p.max_y WHERE p.box_id % 3 = 0 AND q.box_id % 3 = 0")
+@query(f"WITH {BOXES} SELECT p.box_id AS a, q.box_id AS b, (least(p.max_x, q.max_x) - greatest(p.min_x, q.min_x)) * (least(p.max_y, q.max_y) - greatest(p.min_y, q.min_y)) AS area FROM boxes p JOIN boxes q ON p.box_id < q.box_id AND p.min_x < q.max_x AND q.min_x < p.max_x AND p.min_y < q.max_y AND q.min_y < p.max_y")
 def box_overlaps(spark, d):
-    return spatial.box_overlaps(i.boxes(spark, d).where("box_id % 3 = 0"), 16.0)
+    return spatial.box_overlaps(i.boxes(spark, d), 16.0)
 
 
 @query(f"""WITH {BOXES}, c AS (SELECT box_id, (max_x - min_x) * (max_y - min_y) AS area, greatest(0, least(max_x, 503e0) - greatest(min_x, 100e0)) * greatest(0, least(max_y, 407e0) - greatest(min_y, 50e0)) AS inside FROM boxes)
@@ -314,14 +309,14 @@ def slope_limit(spark, d):
     return profile.slope_limited(i.lines(spark, d), 0.3, station="x_mm").select("route_id", "point_id", *r6("limited"))
 
 
-@query(f"""WITH {LINES}, k AS (SELECT route_id, x_mm AS s, max(height) AS v FROM lines WHERE seq % 2 = 1 GROUP BY ALL),
+@query(f"""WITH {LINES}, k AS (SELECT route_id, x_mm AS s, max(height) AS v FROM lines GROUP BY ALL),
 a AS (SELECT DISTINCT route_id, y_mm AS s FROM lines),
 b AS (SELECT a.route_id, a.s, max(CASE WHEN k.s <= a.s THEN k.s END) AS lo, min(CASE WHEN k.s >= a.s THEN k.s END) AS hi FROM a JOIN k USING (route_id) GROUP BY ALL)
 SELECT b.route_id, b.s AS station, round(CASE WHEN p.v IS NULL THEN q.v WHEN q.v IS NULL OR hi = lo THEN p.v ELSE p.v + (b.s - lo) * (q.v - p.v) / (hi - lo) END, 6) AS value FROM b LEFT JOIN k p ON p.route_id = b.route_id AND p.s = lo LEFT JOIN k q ON q.route_id = b.route_id AND q.s = hi""")
 def interpolate_profile(spark, d):
     ln = i.lines(spark, d)
     asked = ln.selectExpr("route_id", "y_mm AS station").distinct()
-    return profile.interpolate(asked, ln.where("seq % 2 = 1").selectExpr("route_id", "x_mm AS station", "height")).select("route_id", "station", *r6("value"))
+    return profile.interpolate(asked, ln.selectExpr("route_id", "x_mm AS station", "height")).select("route_id", "station", *r6("value"))
 
 
 ANALYSIS = CELLS + """,
@@ -350,13 +345,13 @@ def trim_border(spark, d):
     return raster.trim_border(i.cells(spark, d), "col", "row", "elev", 63.0, 99.0, 3.0).select("grid_id", "row", "col", "elev")
 
 
-@query(f"""WITH {CELLS}, p AS (SELECT grid_id, row, col, least(row + 0.25e0, 99e0) AS fr, least(col + 0.5e0, 63e0) AS fc FROM cells WHERE (row + col) % 7 = 0),
+@query(f"""WITH {CELLS}, p AS (SELECT grid_id, row, col, least(row + 0.25e0, 99e0) AS fr, least(col + 0.5e0, 63e0) AS fc FROM cells),
 q AS (SELECT *, floor(fr)::INT AS r0, floor(fc)::INT AS c0, fr - floor(fr) AS tr, fc - floor(fc) AS tc FROM p)
 SELECT q.grid_id, q.row, q.col, round((a.elev * (1 - tc) + b.elev * tc) * (1 - tr) + (c.elev * (1 - tc) + e.elev * tc) * tr, 6) AS sample FROM q JOIN cells a ON a.grid_id = q.grid_id AND a.row = r0 AND a.col = c0 JOIN cells b ON b.grid_id = q.grid_id AND b.row = r0 AND b.col = least(c0 + 1, 63)
 JOIN cells c ON c.grid_id = q.grid_id AND c.row = least(r0 + 1, 99) AND c.col = c0 JOIN cells e ON e.grid_id = q.grid_id AND e.row = least(r0 + 1, 99) AND e.col = least(c0 + 1, 63)""")
 def bilinear_samples(spark, d):
     c = i.cells(spark, d)
-    p = c.where("(row + col) % 7 = 0").selectExpr("grid_id", "row AS r", "col AS c", "row + 0.25e0 AS f_row", "col + 0.5e0 AS f_col")
+    p = c.selectExpr("grid_id", "row AS r", "col AS c", "row + 0.25e0 AS f_row", "col + 0.5e0 AS f_col")
     return raster.bilinear(p, c, "elev", 100, 64).select("grid_id", F.col("r").alias("row"), F.col("c").alias("col"), *r6("sample"))
 
 
@@ -457,9 +452,11 @@ def cleaned_mask(spark, d):
     return raster.clean_exposed(i.cells(spark, d).withColumnRenamed("wc", "class"))
 
 
-@query()
+@query(f"""WITH {CELLS}, k AS (SELECT grid_id, row, col, elev, (row * col) % 5 = 1 AS gone FROM cells), o AS (SELECT unnest([-1,-1,-1,0,0,1,1,1]) AS dr, unnest([-1,0,1,-1,1,-1,0,1]) AS dc),
+f AS (SELECT g.grid_id, g.row, g.col, avg(n.elev) AS elev FROM (SELECT k.*, row + dr AS nr, col + dc AS nc FROM k, o WHERE gone) g JOIN k n ON n.grid_id = g.grid_id AND n.row = nr AND n.col = nc AND NOT n.gone GROUP BY ALL)
+SELECT grid_id, row, col, round(elev, 6) AS elev FROM k WHERE NOT gone UNION ALL SELECT grid_id, row, col, round(elev, 6) FROM f""")
 def repaired_elevation(spark, d):
-    return raster.repair_elevation(i.cells(spark, d).withColumn("elev", F.expr("CASE WHEN (row * col) % 5 = 1 THEN -99999 ELSE elev END")), "elev")
+    return raster.repair_elevation(i.cells(spark, d).withColumn("elev", F.expr("CASE WHEN (row * col) % 5 = 1 THEN -99999 ELSE elev END")), "elev").select("grid_id", "row", "col", *r6("elev"))
 
 
 @query(f"WITH {CELLS} SELECT grid_id, row, col, CAST(CASE WHEN io <> 0 THEN io ELSE wc END AS INT) AS class FROM cells")
@@ -470,24 +467,39 @@ def raster_mosaic(spark, d):
 
 
 def _solid(spark, d):
-    c = i.cells(spark, d).where("grid_id = 0").selectExpr("row", "col", "double(col) AS x", "double(99 - row) AS y", "elev / 1000 + 2 AS h_mm")
-    return mesh.terrain_solid(c, 100, 64, 1.6)
+    """A solid for every grid."""
+    c = i.cells(spark, d).selectExpr("grid_id", "row", "col", "double(col) AS x", "double(99 - row) AS y", "elev / 1000 + 2 AS h_mm")
+    return mesh.terrain_solid(c, 100, 64, 1.6, F.concat(F.lit("terrain/"), F.col("grid_id")))
+
+
+SOLIDS = CELLS + """,
+solids AS (SELECT 'terrain/' || grid_id AS layer, grid_id, count(*) AS n, max(row) AS r, max(col) AS c, sum(elev / 1000 + 2) AS z FROM cells GROUP BY grid_id)"""
 
 
-@query("SELECT 'terrain' AS layer, 12800::BIGINT AS vertices, (4 * 99 * 63 + 2 * (2 * 99 + 2 * 63))::BIGINT AS faces, 0::BIGINT AS open_edges, 0::BIGINT AS overused_edges, 0::BIGINT AS winding_defects")
+@query(f"WITH {SOLIDS} SELECT layer, 2 * n AS vertices, (4 * r * c + 2 * (2 * r + 2 * c))::BIGINT AS faces, 0::BIGINT AS open_edges, 0::BIGINT AS overused_edges, 0::BIGINT AS winding_defects, round(z - n * 1.6e0, 3) AS z_sum FROM solids")
 def terrain_solid(spark, d):
     v, f = _solid(spark, d)
-    return mesh.mesh_stats(v, f).join(mesh.edge_defects(f), "layer").select("layer", "vertices", "faces", "open_edges", "overused_edges", "winding_defects")
+    z = v.groupBy("layer").agg(F.round(F.sum("z"), 3).alias("z_sum"))
+    return mesh.mesh_stats(v, f).join(mesh.edge_defects(f), "layer").join(z, "layer").select("layer", "vertices", "faces", "open_edges", "overused_edges", "winding_defects", "z_sum")
 
 
-@query("SELECT 'terrain' AS layer, (99 * 63)::DOUBLE AS area_mm2")
+@query(f"WITH {SOLIDS} SELECT layer, (r * c)::DOUBLE AS area_mm2 FROM solids")
 def upward_area(spark, d):
     return mesh.projected_area(mesh.corners(*_solid(spark, d))).select("layer", F.round("area_mm2", 6).alias("area_mm2"))
 
 
-@query("SELECT NULL::VARCHAR AS code, NULL::VARCHAR AS layer, NULL::VARCHAR AS message WHERE false")
+@query(f"""WITH {SOLIDS} SELECT 'non_manifold' AS code, layer, layer || ' is non-manifold (3 open and 0 over-connected edges)' AS message FROM solids WHERE grid_id % 5 = 1
+UNION ALL SELECT 'inconsistent_winding', layer, layer || ' has inconsistent face winding' FROM solids WHERE grid_id % 5 = 2
+UNION ALL SELECT 'non_positive_volume', layer, layer || ' does not define a positive outward-facing volume' FROM solids WHERE grid_id % 5 = 3
+UNION ALL SELECT 'invalid_coordinates', layer, layer || ' contains invalid coordinates' FROM solids WHERE grid_id % 5 = 4""")
 def printability_audit(spark, d):
-    return mesh.audit(*_solid(spark, d))
+    """Each solid is damaged in a way of its own: a face gone, a face turned, all faces turned, a corner that is no number."""
+    v, f = _solid(spark, d)
+    way = F.split("layer", "/")[1].cast("int") % 5
+    turned = (way == 3) | ((way == 2) & (F.col("fid") == 0))
+    f = f.where(~((way == 1) & (F.col("fid") == 0))).select("layer", "fid", "a", F.when(turned, F.col("c")).otherwise(F.col("b")).alias("b"), F.when(turned, F.col("b")).otherwise(F.col("c")).alias("c"))
+    v = v.withColumn("z", F.when((way == 4) & (F.col("vid") == 7), F.lit(float("nan"))).otherwise(F.col("z")))
+    return mesh.audit(v, f)
 
 
 @query("SELECT s_nationkey, count(*) AS faces, CASE WHEN sum(count(*)) OVER () <= 50 THEN count(*) ELSE greatest(4, CAST(round_even(50e0 * count(*) / sum(count(*)) OVER (), 0) AS BIGINT)) END AS budget FROM supplier GROUP BY s_nationkey")
@@ -552,7 +564,7 @@ def mesh_shells(spark, d):
     return mesh.shells(_faces(spark, d).select("layer", "fid", "a", "b", "c"))
 
 
-@query("SELECT 'terrain' AS layer, round(min(v.x) + (190e0 - 63e0) / 2, 6) AS x0, round(max(v.x) + (190e0 - 63e0) / 2, 6) AS x1, round(min(v.y) + (240e0 - 99e0) / 2, 6) AS y0, round(max(v.y) + (240e0 - 99e0) / 2, 6) AS y1 FROM (VALUES (0e0, 0e0), (63e0, 99e0)) v(x, y)")
+@query(f"WITH {SOLIDS}, box AS (SELECT max(c) AS w, max(r) AS h FROM solids) SELECT layer, (190e0 - w) / 2 AS x0, (190e0 - w) / 2 + c AS x1, (240e0 - h) / 2 AS y0, (240e0 - h) / 2 + r AS y1 FROM solids, box")
 def centred_mesh(spark, d):
     v, _ = _solid(spark, d)
     return mesh.centred(v, 190.0, 240.0).groupBy("layer").agg(*(F.round(f(c), 6).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.min), (1, F.max))))
@@ -576,17 +588,30 @@ def recessed_terrain(spark, d):
     return raster.recess(c.select("grid_id", "row", "col", "elev"), raster.water_vertices(100, 64, t, "wet"), 0.5, "elev")
 
 
-@query("SELECT 24000e0 AS print_area_mm2, 2400e0 AS vegetation_area_mm2, 960e0 AS exposed_area_mm2, 0e0 AS water_area_mm2, 0.1e0 AS vegetation_fraction, 0.04e0 AS exposed_fraction, 0e0 AS water_fraction")
+@query(f"""WITH {CELLS}, a AS (SELECT round(count(*) FILTER (wc = 1) * 0.02e0, 6) AS v, round(count(*) FILTER (wc BETWEEN 2 AND 7) * 0.02e0, 6) AS e, round(count(*) FILTER (wc = 8) * 0.02e0, 6) AS w FROM cells)
+SELECT 24000e0 AS print_area_mm2, v AS vegetation_area_mm2, e AS exposed_area_mm2, w AS water_area_mm2, round(v / 24000e0, 9) AS vegetation_fraction, round(e / 24000e0, 9) AS exposed_fraction, round(w / 24000e0, 9) AS water_fraction FROM a""")
 def cover_signature(spark, d):
-    areas = spark.createDataFrame([("vegetation", 2400.0), ("exposed", 960.0)], "layer string, area_mm2 double")
-    return mesh.cover_signature(areas, 160.0, 150.0)
+    kind = F.expr("CASE WHEN wc = 1 THEN 'vegetation' WHEN wc BETWEEN 2 AND 7 THEN 'exposed' WHEN wc = 8 THEN 'water' ELSE 'other' END")
+    areas = i.cells(spark, d).groupBy(kind.alias("layer")).agg((F.count("*") * 0.02).alias("area_mm2"))
+    out = mesh.cover_signature(areas, 160.0, 150.0)
+    return out.select(*(F.round(c, 9 if c.endswith("fraction") else 6).alias(c) for c in out.columns))
 
 
 def _ground(spark, d):
-    c = i.cells(spark, d).where("grid_id = 0").select("grid_id", "row", "col", "elev")
+    """Sampler of the mean of all grids, stretched over the plate."""
+    c = i.cells(spark, d).groupBy("row", "col").agg(F.avg("elev").alias("elev")).withColumn("grid_id", F.lit(0))
     return lambda p: raster.bilinear(p.withColumn("grid_id", F.lit(0)).withColumn("f_row", F.col("y") * (99 / 240)).withColumn("f_col", F.col("x") * (63 / 190)), c, "elev", 100, 64).drop("grid_id", "f_row", "f_col")
 
 
+def sampled(points: str) -> str:
+    """SQL that adds ``sample`` to the table ``points`` with ``x, y``; needs CELLS."""
+    return f"""ground AS (SELECT row, col, avg(elev) AS elev FROM cells GROUP BY row, col),
+spot AS (SELECT *, greatest(0e0, least(99e0, y * (99e0 / 240e0))) AS fr, greatest(0e0, least(63e0, x * (63e0 / 190e0))) AS fc FROM {points}),
+sampled AS (SELECT spot.*, (a.elev * (1 - (fc - floor(fc))) + b.elev * (fc - floor(fc))) * (1 - (fr - floor(fr))) + (c.elev * (1 - (fc - floor(fc))) + e.elev * (fc - floor(fc))) * (fr - floor(fr)) AS sample FROM spot
+  JOIN ground a ON a.row = floor(fr)::INT AND a.col = floor(fc)::INT JOIN ground b ON b.row = floor(fr)::INT AND b.col = least(floor(fc)::INT + 1, 63)
+  JOIN ground c ON c.row = least(floor(fr)::INT + 1, 99) AND c.col = floor(fc)::INT JOIN ground e ON e.row = least(floor(fr)::INT + 1, 99) AND e.col = least(floor(fc)::INT + 1, 63))"""
+
+
 @query()
 def route_profile(spark, d):
     """Cross-sections of every line over the terrain, smoothed along it and held to a slope."""
@@ -604,18 +629,50 @@ def draped_route(spark, d):
     return profile.drape_route(v.select("route_id", "vid", "z"), v.select("route_id", "vid", "station"), pairs, _ground(spark, d), 1.2, 1.0)
 
 
-@query()
+@query(f"""WITH {LINES}, {CELLS}, ends AS (SELECT route_id, arg_min(x_mm, seq) AS sx, arg_min(y_mm, seq) AS sy, arg_max(x_mm, seq) AS fx, arg_max(y_mm, seq) AS fy FROM lines GROUP BY route_id),
+marks AS (SELECT route_id || '/start' AS marker_id, sx AS cx, sy AS cy FROM ends UNION ALL SELECT route_id || '/finish', fx, fy FROM ends WHERE sqrt((fx-sx)*(fx-sx)+(fy-sy)*(fy-sy)) > 1),
+pts AS (SELECT marker_id, cx + 1.6e0 * CASE WHEN k = 0 THEN 0 ELSE cos(2 * pi() * (k - 1) / 32) END AS x, cy + 1.6e0 * CASE WHEN k = 0 THEN 0 ELSE sin(2 * pi() * (k - 1) / 32) END AS y FROM marks, (SELECT unnest(generate_series(0, 32)) AS k) WHERE cx - 1.6 >= 0 AND cx + 1.6 <= 190 AND cy - 1.6 >= 0 AND cy + 1.6 <= 240),
+{sampled('pts')} SELECT marker_id, round(min(sample) - 0.2e0, 6) AS bottom_mm, round(max(sample) + 1, 6) AS top_mm FROM sampled GROUP BY marker_id""")
 def draped_markers(spark, d):
     m = frames.markers(i.lines(spark, d)).selectExpr("concat(route_id, '/', marker) AS marker_id", "x_mm AS x", "y_mm AS y")
-    return profile.marker_mesh(_ground(spark, d)(profile.marker_samples(m, plate=(0.0, 0.0, 190.0, 240.0))))
+    return profile.marker_mesh(_ground(spark, d)(profile.marker_samples(m, plate=(0.0, 0.0, 190.0, 240.0)))).select("marker_id", *r6("bottom_mm", "top_mm"))
 
 
-@query()
+@query(f"""WITH {LINES}, {CELLS}, o AS (SELECT unnest([-1,-1,-1,0,0,0,1,1,1]) AS dx, unnest([-1,0,1,-1,0,1,-1,0,1]) AS dy),
+pts AS (SELECT point_id AS vid, dx, dy, x_mm + 2e0 * dx AS x, y_mm + 2e0 * dy AS y FROM lines, o), {sampled('pts')}
+SELECT vid, round(1 + greatest(sum(sample * (2 - abs(dx)) * (2 - abs(dy))) / 16, sum(CASE WHEN dx = 0 AND dy = 0 THEN sample END) + 0.4e0 - 1), 6) AS z FROM sampled GROUP BY vid""")
 def smoothed_tops(spark, d):
     at = i.lines(spark, d).selectExpr("point_id AS vid", "x_mm AS x", "y_mm AS y", "1e0 AS z")
-    return profile.smoothed_tops(at, _ground(spark, d), 2.0, 0.4)
+    return profile.smoothed_tops(at, _ground(spark, d), 2.0, 0.4).select("vid", *r6("z"))
 
 
-@query()
+def _layers(n: int) -> str:
+    """SQL of ``n`` rounds that fill open cells with the mean of their known four neighbours."""
+    one = "f{b} AS (SELECT k.grid_id, k.row, k.col, k.wet, CASE WHEN k.v IS NULL AND NOT k.wet THEN m.v ELSE k.v END AS v FROM f{a} k LEFT JOIN (SELECT n.grid_id, n.row + o.dr AS row, n.col + o.dc AS col, avg(n.v) AS v FROM f{a} n, four o WHERE NOT n.wet AND n.v IS NOT NULL GROUP BY ALL) m USING (grid_id, row, col))"
+    return ",\n".join(one.format(a=k, b=k + 1) for k in range(n))
+
+
+FLAT = CELLS + """,
+flat AS (SELECT grid_id, row, col, water, CASE WHEN water OR (row * col) % 4 = 0 THEN 1e0 ELSE elev END AS h_mm FROM cells),
+level_ AS (SELECT grid_id, round(h_mm, 9) AS level, count(*) AS n FROM flat WHERE water GROUP BY grid_id, round(h_mm, 9) QUALIFY row_number() OVER (PARTITION BY grid_id ORDER BY count(*) DESC, round(h_mm, 9)) = 1),
+sure AS (SELECT l.grid_id, level, cells_ FROM level_ l JOIN (SELECT grid_id, count(*) AS cells_, count(*) FILTER (water) AS wet FROM flat GROUP BY grid_id) USING (grid_id) WHERE wet >= greatest(16, cells_ // 200) AND n >= greatest(16, wet // 20)),
+marked AS (SELECT f.*, coalesce(abs(h_mm - level) <= 5e-9 AND NOT water, false) AS f FROM flat f LEFT JOIN sure USING (grid_id)),
+land AS (SELECT m.grid_id, row, col, water, h_mm, f AND count(*) FILTER (f) OVER (PARTITION BY m.grid_id) >= greatest(16, count(*) OVER (PARTITION BY m.grid_id) // 2000) AS flattened FROM marked m)"""
+
+
+def _flat(spark, d):
+    return i.cells(spark, d).withColumn("h_mm", F.expr("CASE WHEN water OR (row * col) % 4 = 0 THEN 1e0 ELSE elev END"))
+
+
+@query(f"WITH {FLAT} SELECT grid_id, row, col, flattened FROM land")
+def flattened_land(spark, d):
+    return raster.flattened_land(_flat(spark, d)).select("grid_id", "row", "col", "flattened")
+
+
+@query(f"""WITH {FLAT}, four AS (SELECT unnest([-1, 0, 0, 1]) AS dr, unnest([0, -1, 1, 0]) AS dc), f0 AS (SELECT grid_id, row, col, water AS wet, CASE WHEN NOT flattened THEN h_mm END AS v FROM land), {_layers(12)}
+SELECT grid_id, row, col, water, round(coalesce(CASE WHEN water THEN h_mm ELSE v END, h_mm), 6) AS h_mm FROM land JOIN f12 USING (grid_id, row, col)""")
 def restored_land(spark, d):
-    return raster.restore_land(i.cells(spark, d).withColumn("h_mm", F.expr("CASE WHEN water OR (row * col) % 4 = 0 THEN 1e0 ELSE elev END")))
+    return raster.restore_land(_flat(spark, d)).select("grid_id", "row", "col", "water", *r6("h_mm"))
+
+
+from . import shapes  # noqa: E402, F401  registers the queries of solids, water and masks

@@ -1,20 +1,22 @@
-"""The whole map as one plan: frame, terrain, route, roads, buildings, audit and report."""
+"""The whole map as one plan: frame, terrain, water, route, roads, buildings, audit and report."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import buildings, frames, mesh, profile, raster, spatial, tags
+from ..operators import buildings, frames, mesh, overlay, profile, raster, spatial, tags, water
 from ..sources.settings import merged
+from ..sources.stage import staged
 
 
-def plan_map(points: DataFrame, elevation: DataFrame | None = None, roads: DataFrame | None = None, houses: DataFrame | None = None, overrides: dict | None = None, shape: tuple[int, int] | None = None) -> dict[str, DataFrame]:
+def plan_map(points: DataFrame, elevation: DataFrame | None = None, roads: DataFrame | None = None, houses: DataFrame | None = None, waters: DataFrame | None = None, overrides: dict | None = None, shape: tuple[int, int] | None = None) -> dict[str, DataFrame]:
     """Tables of a map of one route.
 
     ``points``: ``route_id, seq, lat, lon``; ``elevation``: cells ``grid_id, row, col, elev`` already on the
-    plate (row 0 north; missing: flat ground, with a warning); ``roads`` and ``houses``: features with ``tags``.
-    Nothing runs until a table is used.
+    plate (row 0 north; missing: flat ground, with a warning); ``roads`` and ``houses``: features with ``tags``;
+    houses may have ``feature_id`` and ``rings`` on the plate and then get bodies and roofs, as ``waters`` (``water_id, rings``)
+    get bodies at their levels with the terrain lowered beneath them. Tables that several others read are stored once.
     """
     cfg = merged(overrides)
     spark = points.sparkSession
@@ -32,8 +34,17 @@ def plan_map(points: DataFrame, elevation: DataFrame | None = None, roads: DataF
         span = out["frame"].select(F.hypot("coverage_width_m", "coverage_height_m")).first()[0]
         grid = raster.normalised_relief(raster.repair_elevation(elevation, "elev"), "elev", span, cfg["terrain_detail_gamma"], cfg["terrain_max_relief_mm"], cfg["terrain_min_relief_mm"])
     out["surface"] = grid.withColumn("x", x).withColumn("y", y)
+    ground = lambda p: raster.bilinear(p.withColumn("grid_id", F.lit(0)).withColumn("f_row", (plate.height - F.col("y")) * ((spec.rows - 1) / plate.height)).withColumn("f_col", F.col("x") * ((spec.columns - 1) / plate.width)), out["surface"], "h_mm", spec.rows, spec.columns).drop("grid_id", "f_row", "f_col")
+    if waters is not None:
+        thick, lap = cfg["water_mesh_thickness_mm"], cfg["water_support_overlap_mm"]
+        flat = staged(water.merged_bodies(waters, (plate.margin, plate.margin, plate.width - plate.margin, plate.height - plate.margin)), "water")
+        out["water_levels"] = staged(water.water_levels(flat, ground, cfg["water_recess_mm"]), "levels")
+        out["water_solids"] = water.water_solids(flat, out["water_levels"], thick)
+        wet = spatial.points_in_boxes(out["surface"].select("row", "col", "x", "y"), water.triangle_boxes(flat), 8.0, closed=True)
+        level = mesh.triangle_height(wet).where("height IS NOT NULL").join(out["water_levels"], "layer").groupBy("row", "col").agg(F.max("level_mm").alias("_level"))
+        out["surface"] = staged(out["surface"].join(level, ["row", "col"], "left").withColumn("h_mm", F.coalesce(F.col("_level") - thick + lap, "h_mm")).drop("_level"), "surface")
     out["mesh_vertices"], out["mesh_faces"] = mesh.terrain_solid(out["surface"], spec.rows, spec.columns, cfg["base_thickness"], "base")
-    sample = lambda p: raster.bilinear(p.withColumn("grid_id", F.lit(0)).withColumn("f_row", (plate.height - F.col("y")) * ((spec.rows - 1) / plate.height)).withColumn("f_col", F.col("x") * ((spec.columns - 1) / plate.width)), out["surface"], "h_mm", spec.rows, spec.columns).drop("grid_id", "f_row", "f_col")
+    sample = ground
     pairs = spatial.segments(out["route"])
     height = frames.route_height(cfg["style_profile"], cfg["route_height"])
     stations = pairs.select("route_id", "station")
@@ -41,6 +52,8 @@ def plan_map(points: DataFrame, elevation: DataFrame | None = None, roads: DataF
     need = support.withColumn("height", F.greatest("smooth", "local") + height)
     slope = spark.range(1).select(frames.route_slope(F.lit(cfg["route_layer_height_mm"]))).first()[0]
     out["route_profile"] = profile.slope_limited(need, slope)
+    levels = out["frame"].select("route_id", F.lit(-float(cfg["feature_embed_depth"])).alias("bottom"), F.lit(float(height)).alias("top"))
+    out["route_body"] = overlay.region_prisms(overlay.union(overlay.corridors(pairs, cfg["route_width"]), "route_id"), levels, "route_id")
     out["markers"] = frames.markers(out["route"], cfg["route_markers"], cfg["route_marker_diameter_mm"])
     if roads is not None:
         out["roads"] = tags.printable_roads(roads, cfg["style_profile"], tuple(cfg["excluded_road_service_types"]), tuple(cfg["excluded_road_access"]))
@@ -48,6 +61,12 @@ def plan_map(points: DataFrame, elevation: DataFrame | None = None, roads: DataF
         dims = buildings.dimensions(houses, cfg["building_default_height_m"], cfg["building_levels_to_m"], cfg["building_max_real_height_m"])
         out["buildings"] = buildings.rendered_heights(dims, cfg["max_print_height_mm"])
         out["height_distribution"] = buildings.height_distribution(out["buildings"], cfg["max_print_height_mm"])
+    if houses is not None and "rings" in houses.columns:
+        solid = out["buildings"].join(buildings.footprint_ground(houses, ground), "feature_id")
+        lift = lambda c: F.col(c) + F.col("ground_mm")
+        solid = solid.select("feature_id", "rings", "roof_shape", "roof_orientation", (lift("bottom_mm") - buildings.embed_depth(F.col("bottom_mm"), cfg["feature_embed_depth"])).alias("bottom"), lift("eave_mm").alias("top"), lift("eave_mm").alias("eave_mm"), (F.col("total_mm") - F.col("eave_mm")).alias("roof_mm"))
+        out["building_bodies"] = overlay.prisms(solid, key="feature_id")
+        out["building_roofs"] = overlay.roofs(solid, overlap=0.05, key="feature_id")
     out["issues"] = mesh.audit(out["mesh_vertices"], out["mesh_faces"])
     out["mesh_stats"] = mesh.mesh_stats(out["mesh_vertices"], out["mesh_faces"])
     out["warnings"] = spark.createDataFrame([(w,) for w in warnings[-4:]], "warning string")

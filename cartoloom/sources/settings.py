@@ -98,8 +98,12 @@ def palette(style: str = "urban", preset: str | None = None, overrides: dict[str
     return colours
 
 
-def registry(document: dict, schema_version: int = 1) -> list[tuple[str, list[str], list[tuple[str, int]]]]:
-    """Rows ``key, wikidata ids, (type, id) pairs`` of a landmark registry; malformed or ambiguous ones are errors."""
+def registry(document: dict, schema_version: int = 1) -> list[dict]:
+    """Landmarks of a registry; malformed or ambiguous ones are errors.
+
+    Each has ``key, display_name, aliases, wikidata, osm`` (type and id pairs), ``tag_corrections`` and ``enhancement``
+    (None, or ``type, recipe, parameters``). At least one identifier is needed; no two landmarks share one.
+    """
     if not isinstance(document, dict) or document.get("schema_version") != schema_version:
         raise ValueError("unsupported landmark schema version")
     if not isinstance(document.get("registry_version"), str) or not document["registry_version"].strip():
@@ -116,17 +120,35 @@ def registry(document: dict, schema_version: int = 1) -> list[tuple[str, list[st
         osm = [(kind, number) for kind, numbers in (ids.get("osm") or {}).items() for number in numbers]
         if any(not re.fullmatch(r"Q[1-9][0-9]*", str(w)) for w in wiki):
             raise ValueError(f"invalid Wikidata identifier in {key!r}")
+        if not wiki and not osm:
+            raise ValueError(f"landmark {key!r} has no identifier")
         if any(kind not in ("node", "way", "relation") or isinstance(n, bool) or not isinstance(n, int) or n <= 0 for kind, n in osm):
             raise ValueError(f"invalid element identifier in {key!r}")
         for ident in [("key", key), *(("wikidata", w) for w in wiki), *osm]:
-            if seen.setdefault(ident, key) != key or (ident[0] == "key" and any(r[0] == key for r in rows)):
+            if seen.setdefault(ident, key) != key or (ident[0] == "key" and any(r["key"] == key for r in rows)):
                 raise ValueError(f"duplicate identifier {ident[1]!r}")
-        rows.append((key, wiki, osm))
+        name, aliases = item.get("display_name", key), item.get("aliases") or []
+        if not isinstance(name, str) or not name.strip():
+            raise ValueError(f"display name of {key!r} must be text")
+        if not isinstance(aliases, list) or any(not isinstance(a, str) or not a.strip() for a in aliases):
+            raise ValueError(f"aliases of {key!r} must be texts")
+        fixes = item.get("tag_corrections") or {}
+        if not isinstance(fixes, dict) or any(not isinstance(k, str) or not k or not isinstance(v, (str, int, float)) or isinstance(v, bool) for k, v in fixes.items()):
+            raise ValueError(f"tag corrections of {key!r} must map tags to values")
+        extra = item.get("enhancement")
+        if extra is not None:
+            parameters = extra.get("parameters") or {} if isinstance(extra, dict) else None
+            if parameters is None or not isinstance(extra.get("type"), str) or not isinstance(extra.get("recipe"), str) or not isinstance(parameters, dict):
+                raise ValueError(f"enhancement of {key!r} needs type, recipe and parameters")
+            extra = {"type": extra["type"], "recipe": extra["recipe"], "parameters": dict(parameters)}
+        rows.append({"key": key, "display_name": name, "aliases": list(aliases), "wikidata": wiki, "osm": osm, "tag_corrections": {k: str(v) for k, v in fixes.items()}, "enhancement": extra})
     return rows
 
 
 def registry_table(spark, document: dict):
-    return spark.createDataFrame(registry(document), "key string, wikidata array<string>, osm array<struct<type: string, id: long>>")
+    """The landmarks as a dimension table; recipe parameters are a map of texts."""
+    rows = [(r["key"], r["display_name"], r["aliases"], r["wikidata"], r["osm"], r["tag_corrections"], None if r["enhancement"] is None else (r["enhancement"]["type"], r["enhancement"]["recipe"], {k: str(v) for k, v in r["enhancement"]["parameters"].items()})) for r in registry(document)]
+    return spark.createDataFrame(rows, "key string, display_name string, aliases array<string>, wikidata array<string>, osm array<struct<type: string, id: long>>, tag_corrections map<string,string>, enhancement struct<type: string, recipe: string, parameters: map<string,string>>")
 
 
 def migrate_project(document: dict) -> dict:

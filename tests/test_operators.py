@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartoloom.functions import geo
-from cartoloom.operators import buildings, frames, mesh, profile, raster, spatial, tags
+from cartoloom.operators import buildings, frames, mesh, overlay, profile, quantiles, raster, spatial, tags, water
 
 
 def one(spark, *columns):
@@ -34,12 +34,17 @@ def test_real_height(spark, given, want):
 
 @pytest.mark.parametrize(
     "given,want",
-    [({"building": "apartments", "amenity": "parking"}, "parking"), ({"building": "cathedral", "landmark": "yes"}, "landmark"), ({"office": "Government;Company"}, "commercial_office"), ({"somemap:class": "Arena"}, "stadium_arena"), ({"shop": "no", "building": "house"}, "residential"), ({"tourism": "attraction", "wikidata": "Q1"}, "landmark"), ({}, "unknown")],
+    [({"building": "apartments", "amenity": "parking"}, "parking"), ({"building": "cathedral", "landmark": "yes"}, "landmark"), ({"office": "Government;Company"}, "commercial_office"), ({"map:class": "Arena", "building": "church"}, "stadium_arena"), ({"map:class": "zoo;Retail"}, "retail"), ({"heatmap:class": "stadium", "building": "church"}, "religious"), ({"shop": "no", "building": "house"}, "residential"), ({"tourism": "attraction", "wikidata": "Q1"}, "landmark"), ({}, "unknown")],
 )
 def test_classes(spark, given, want):
     assert one(spark, tags.classify(tag_map(given)))[0] == want
 
 
+def test_class_key_is_exact_and_chosen(spark):
+    own = tag_map({"own:class": "parking", "map:class": "retail"})
+    assert one(spark, tags.classify(own, "own:class"))[0] == "parking"
+
+
 def test_missing_tag_values_do_not_hide_others(spark):
     f = spark.createDataFrame([({"shop": None, "building": "church"},), ({"shop": None},), (None,)], "tags map<string,string>")
     assert [r[0] for r in f.select(tags.classify(F.col("tags"))).collect()] == ["religious", "unknown", "unknown"]
@@ -146,13 +151,39 @@ def test_coastal_distance_columns(spark):
     assert got == {(2, c) for c in range(2, 7)}
 
 
-def test_land_restored():
+def test_land_restored(spark):
     h = np.random.default_rng(2).random((40, 40)) + 1
-    water = np.zeros((40, 40), bool)
-    water[:20] = True
     h[:24] = 0.5
-    out, n = raster.restore_flattened(h, water)
-    assert n == 4 * 40 and (out[20:24] > 0.9).all() and (out[:20] == 0.5).all()
+    rows = [(g, r, c, float(h[r, c]), r < 20 if g == 0 else r * c == 1) for g in (0, 1) for r in range(40) for c in range(40)]
+    cells = spark.createDataFrame(rows, "grid_id int, row int, col int, h_mm double, water boolean")
+    out = {(r["grid_id"], r["row"], r["col"]): r["h_mm"] for r in raster.restore_land(cells).collect()}
+    assert all(out[0, r, c] > 0.9 for r in range(20, 24) for c in range(40)) and all(out[0, r, c] == 0.5 for r in range(20) for c in range(40))
+    assert all(out[1, r, c] == h[r, c] for r in range(40) for c in range(40))
+
+
+def test_bilinear_keeps_repeated_points_and_null_neighbours(spark):
+    cells = spark.createDataFrame([(0, r, c, 10.0) for r in range(3) for c in range(3) if (r, c) != (2, 2)], "grid_id int, row int, col int, v double")
+    points = spark.createDataFrame([(0, 0.5, 0.5), (0, 0.5, 0.5), (0, 9.0, 0.0), (0, 1.5, 1.5), (0, -1.0, 2.0)], "grid_id int, f_row double, f_col double")
+    got = [r["sample"] for r in raster.bilinear(points, cells, "v", 3, 3).orderBy("f_row", "f_col").collect()]
+    assert got == [10.0, 10.0, 10.0, None, 10.0]
+
+
+def test_coastal_distance_equals_shortest_paths(spark):
+    rng = np.random.default_rng(5)
+    wet = rng.random((9, 14)) < 0.06
+    cells = spark.createDataFrame([(0, r, c, bool(wet[r, c])) for r in range(9) for c in range(14)], "grid_id int, row int, col int, wet boolean")
+    for cx, cy, limit in ((100.0, 250.0, 610.0), (70.0, 40.0, 155.0), (30.0, 30.0, 0.0)):
+        got = {(r["row"], r["col"]) for r in raster.coastal_distance(cells, "wet", cx, cy, limit).where("coastal").collect()}
+        far = lambda dr, dc: min(dr, dc) * math.hypot(cx, cy) + (dr - min(dr, dc)) * cy + (dc - min(dr, dc)) * cx  # noqa: B023, E731
+        assert got == {(r, c) for r in range(9) for c in range(14) if any(far(abs(r - a), abs(c - b)) <= limit for a, b in np.argwhere(wet))}
+
+
+def test_percentiles_equal_the_aggregate(spark):
+    rng = np.random.default_rng(6)
+    for values in (rng.normal(size=500).tolist(), [3.0] * 7, [1.0], [1e9, *rng.random(300).tolist()], [float(k % 5) for k in range(99)]):
+        t = spark.createDataFrame([(v,) for v in [*values, float("nan")]], "v double").unionByName(spark.createDataFrame([(None,)], "v double"))
+        assert quantiles.percentiles(t, "v", [0.0, 0.05, 0.5, 0.93, 1.0], bins=16) == pytest.approx(np.quantile(values, [0.0, 0.05, 0.5, 0.93, 1.0]).tolist())
+    assert quantiles.percentiles(t.limit(0), "v", [0.5]) == [None]
 
 
 def test_slope_limit_equals_two_passes(spark):
@@ -247,9 +278,89 @@ def test_refinement_keeps_surface_closed():
     assert np.einsum("ij,ij->i", tri[:, 0], np.cross(tri[:, 1], tri[:, 2])).sum() / 6 == pytest.approx(64 / 6)
 
 
-def test_pinched_fans_are_split():
-    faces, copies = mesh.split_fans(np.array([[0, 1, 2], [0, 3, 4]]), 5)
-    assert copies.tolist() == [0] and sorted(faces[:, 0].tolist()) == [0, 5]
+def test_fans_on_overused_edges_are_parted():
+    tetra = lambda p, q, r, s: [[p, r, q], [p, q, s], [q, r, s], [r, p, s]]
+    faces = np.array([*tetra(0, 1, 2, 3), *tetra(0, 1, 4, 5)])
+    out, copies = mesh.split_fans(faces, 6)
+    assert sorted(copies.tolist()) == [0, 1] and overlay.watertight(out) and not overlay.watertight(faces)
+    assert mesh.split_fans(np.array([[0, 1, 2], [0, 3, 4]]), 5)[1].tolist() == []
+
+
+def square(x, y, w, h):
+    return np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)
+
+
+def body_volume(body):
+    p, f = body
+    return float(np.einsum("ij,ij->i", p[f[:, 0]], np.cross(p[f[:, 1]], p[f[:, 2]])).sum() / 6)
+
+
+def test_overlays_equal_cell_counts():
+    rng = np.random.default_rng(7)
+    for _ in range(25):
+        boxes = [[square(*rng.integers(1, 8, 4))] for _ in range(5)]
+        grid = np.zeros((5, 20, 20), bool)
+        for k, (ring,) in enumerate(boxes):
+            (x0, y0), (x1, y1) = ring[0].astype(int), ring[2].astype(int)
+            grid[k, x0:x1, y0:y1] = True
+        for rule, cells in ((lambda s: s.any(), grid.any(0)), (lambda s: s[0] and not s[1:].any(), grid[0] & ~grid[1:].any(0)), (lambda s: s[0] and s[1], grid[0] & grid[1])):
+            body = overlay.prism(boxes, rule, 0.0, 2.0)
+            assert not len(body[1]) and not cells.any() or overlay.watertight(body[1]) and body_volume(body) == pytest.approx(2 * cells.sum())
+
+
+def test_slanted_shapes_with_holes_become_closed_bodies():
+    star = np.array([(math.cos(k) * r, math.sin(k) * r) for k, r in zip(np.arange(0, 2 * math.pi, math.pi / 5), [5, 2] * 5, strict=False)])
+    hole = star[::-1] * 0.3
+    body = overlay.prism([[star, hole]], lambda s: s[0], 1.0, 2.5)
+    area = abs(overlay._ring_area(star)) * (1 - 0.09)
+    assert overlay.watertight(body[1]) and body_volume(body) == pytest.approx(1.5 * area)
+    for shape in ("gabled", "hipped", "pyramidal", "skillion"):
+        roof = overlay.roof_solid([star, hole], shape, 3.0, 2.0, "across")
+        assert overlay.watertight(roof[1]) and body_volume(roof) > 0 and roof[0][:, 2].max() <= 5.0 + 1e-9 and roof[0][:, 2].min() >= 3.0 - 1e-9
+
+
+def test_concave_pyramids_keep_an_apex_inside():
+    shape = np.array([(0, 0), (10, 0), (10, 10), (8, 10), (8, 1.5), (0, 1.5)], float)
+    roof = overlay.roof_over([shape], "pyramidal")
+    held = overlay.slabs([[shape], [square(roof.centre[0] - 1e-3, roof.centre[1] - 1e-3, 2e-3, 2e-3)]], lambda s: s[0] and s[1])
+    assert overlay._areas(held).sum() == pytest.approx(4e-6)
+
+
+@pytest.mark.parametrize("style,bodies", [("none", 3), ("asymmetric", 5), ("retractable", 7), ("closed", 4)])
+def test_stadium_bodies_are_closed_and_stand_on_each_other(style, bodies):
+    made = overlay.stadium_bodies(square(5, 5, 60, 40), overlay.StadiumRecipe(roof_style=style, roof_orientation_degrees=20.0))
+    assert len(made) == bodies and all(overlay.watertight(f) and body_volume((p, f)) > 0 for p, f in made)
+    assert min(p[:, 2].min() for p, _ in made) == 0
+    if style == "none":
+        assert sum(map(body_volume, made)) == pytest.approx(sum(4 * k / 3 * ((60 - 16 + 16 / 3 * k) * (40 - 16 + 16 / 3 * k) - (60 - 16 + 16 / 3 * (k - 1)) * (40 - 16 + 16 / 3 * (k - 1))) for k in (1, 2, 3)))
+
+
+def test_stadium_recipes():
+    assert overlay.recipe_of({"type": "procedural_recipe", "recipe": "stadium_closed_roof", "parameters": {"tier_count": "2", "roof_height_mm": 9}}) == overlay.StadiumRecipe(roof_style="closed", tier_count=2, roof_height_mm=9.0)
+    assert overlay.recipe_of({"type": "procedural_recipe", "recipe": "x"}) is None and overlay.recipe_of(None) is None
+    assert len(overlay.StadiumRecipe(minimum_feature_mm=0.5, tier_count=0, roof_style="closed", closed_roof_band_count=9).problems()) == 3
+    with pytest.raises(ValueError, match="every side"):
+        overlay.stadium_bodies(square(0, 0, 20, 20), overlay.StadiumRecipe(), square(0.2, 0.2, 19, 19))
+
+
+def test_ocean_is_right_of_the_coast(spark):
+    cells = spark.createDataFrame([(0, r, c) for r in range(10) for c in range(12)], "grid_id int, row int, col int")
+    for lines, want in (([(5.5, 0.0, 5.5, 10.0)], range(6, 12)), ([(5.5, 10.0, 5.5, 0.0)], range(5)), ([(3.0, 3.0, 5.0, 5.0)], [])):
+        coast = spark.createDataFrame([(0, *x) for x in lines], "grid_id int, x0 double, y0 double, x1 double, y1 double")
+        got = {(r["row"], r["col"]) for r in water.ocean(cells, coast, 1.0, 1.0, 10, 12).where("ocean").collect()}
+        assert got == {(r, c) for r in range(10) for c in want}
+
+
+def test_water_bodies_merge_and_get_levels(spark):
+    ring = lambda x, y, w, h: [[tuple(p) for p in square(x, y, w, h).tolist()]]
+    ponds = spark.createDataFrame([(1, ring(0, 0, 10, 10)), (2, ring(8, 2, 10, 4)), (3, ring(16, 5, 3, 3)), (4, ring(40, 40, 5, 5)), (5, [])], "water_id long, rings array<array<struct<x: double, y: double>>>")
+    flat = water.merged_bodies(ponds, (-5.0, -5.0, 60.0, 60.0))
+    assert {r["layer"]: round(r["area_mm2"], 6) for r in mesh.projected_area(flat).collect()} == {"1/0": 100 + 32 + 9 - 2, "4/0": 25.0}
+    levels = water.water_levels(flat, lambda p: p.withColumn("sample", F.col("x") / 10), recess=0.1, least=-9.0)
+    assert {r["layer"]: round(r["level_mm"], 6) for r in levels.collect()} == {"1/0": -0.1, "4/0": 3.9}
+    solids = water.water_solids(flat, levels, 0.5)
+    assert {r["layer"]: round(r["volume_mm3"], 6) for r in mesh.volumes(solids).collect()} == {"1/0": 69.5, "4/0": 12.5}
+    assert mesh.edge_defects(solids.select("layer", "fid", "a", "b", "c")).where("open_edges + overused_edges + winding_defects > 0").count() == 0
 
 
 def test_cover_signature(spark):

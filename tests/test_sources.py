@@ -3,7 +3,9 @@ import zipfile
 
 import pytest
 
-from cartoloom.operators import mesh
+from pyspark.sql import functions as F
+
+from cartoloom.operators import buildings, mesh
 from cartoloom.plans.mapmaker import plan_map
 from cartoloom.sources import readers, settings, sinks
 from cartoloom.streaming import sessions
@@ -55,13 +57,21 @@ def test_fallbacks(spark):
     assert notes == ["a: down", "b: no rows"]
 
 
-def test_settings(tmp_path):
+def test_settings(spark, tmp_path):
     assert settings.merged({"portrait": {"map_width": 1.0}})["portrait"] == {"map_width": 1.0, "map_height": 240.0}
     assert settings.palette("urban", overrides={"route": "#abcdef12"})["route"] == "#ABCDEF"
     with pytest.raises(ValueError):
         settings.palette("urban", overrides={"route": "red"})
     mark = {"schema_version": 1, "registry_version": "x", "landmarks": [{"key": "a", "identifiers": {"wikidata": ["Q1"], "osm": {"way": [4]}}}]}
-    assert settings.registry(mark) == [("a", ["Q1"], [("way", 4)])]
+    assert settings.registry(mark) == [{"key": "a", "display_name": "a", "aliases": [], "wikidata": ["Q1"], "osm": [("way", 4)], "tag_corrections": {}, "enhancement": None}]
+    rich = dict(mark["landmarks"][0], aliases=["A"], display_name="Arena", tag_corrections={"building": "stadium"}, enhancement={"type": "procedural_recipe", "recipe": "stadium_closed_roof", "parameters": {"tier_count": 2}})
+    table = settings.registry_table(spark, dict(mark, landmarks=[rich]))
+    assert table.first()["enhancement"]["parameters"] == {"tier_count": "2"}
+    f = spark.createDataFrame([("a", {"building": "yes", "name": "x"}), (None, {"building": "yes"})], "landmark string, tags map<string,string>")
+    assert [r["tags"] for r in buildings.corrected_tags(f, table).orderBy(F.col("landmark").desc_nulls_last()).collect()] == [{"name": "x", "building": "stadium"}, {"building": "yes"}]
+    for wrong in ({"identifiers": {}}, {"aliases": "A"}, {"tag_corrections": {"building": None}}, {"enhancement": {"type": "x"}}, {"display_name": " "}):
+        with pytest.raises(ValueError):
+            settings.registry(dict(mark, landmarks=[{**rich, **wrong}]))
     mark["landmarks"].append({"key": "b", "identifiers": {"wikidata": ["Q1"]}})
     with pytest.raises(ValueError, match="duplicate"):
         settings.registry(mark)
@@ -83,8 +93,17 @@ def test_3mf(spark, tmp_path):
 
 def test_whole_map(spark):
     pts = spark.createDataFrame([("r", k, 29.7 + k / 1000, -95.4 + k / 500) for k in range(5)], "route_id string, seq int, lat double, lon double")
-    houses = spark.createDataFrame([("h", {"building": "house", "height": "9 m"}, 100.0)], "feature_id string, tags map<string,string>, footprint_area_m2 double")
-    out = plan_map(pts, houses=houses, shape=(12, 15))
+    box = lambda x, y, w, h: [[(x, y), (x + w, y), (x + w, y + h), (x, y + h)]]
+    houses = spark.createDataFrame([("h", {"building": "house", "height": "9 m", "roof:shape": "gabled"}, 100.0, box(50.0, 50.0, 4.0, 3.0))], "feature_id string, tags map<string,string>, footprint_area_m2 double, rings array<array<struct<x: double, y: double>>>")
+    ponds = spark.createDataFrame([(1, box(80.0, 80.0, 30.0, 30.0)), (2, box(100.0, 90.0, 30.0, 5.0))], "water_id long, rings array<array<struct<x: double, y: double>>>")
+    out = plan_map(pts, houses=houses, waters=ponds, shape=(12, 15))
+    assert [round(r["level_mm"], 6) for r in out["water_levels"].collect()] == [-0.4]
+    for name, key in (("water_solids", "layer"), ("building_bodies", "feature_id"), ("building_roofs", "feature_id"), ("route_body", "route_id")):
+        soup = out[name].withColumn("layer", F.col(key))
+        assert mesh.edge_defects(soup.select("layer", "fid", "a", "b", "c")).where("open_edges + overused_edges + winding_defects > 0").count() == 0, name
+        assert mesh.volumes(soup).first()["volume_mm3"] > 0
+    assert mesh.volumes(out["water_solids"]).first()["volume_mm3"] == pytest.approx((900 + 100) * 0.6)
+    assert {round(r["h_mm"], 6) for r in out["surface"].collect()} == {0.0, -0.6}
     assert out["issues"].count() == 0 and out["warnings"].count() == 1
     assert {round(r["limited"], 6) for r in out["route_profile"].collect()} == {2.0}
     assert out["buildings"].first()["height_source"] == "height"

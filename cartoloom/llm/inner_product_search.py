@@ -8,25 +8,29 @@ products with all words make one 16-entry table a pair; scanning 4-bit codes thr
 approximate scores. The best of each block are scored again in double precision, and so is every other
 row that could still be among the best: the angle between a vector and its code bounds what the code hides.
 
-Queries and candidates are dealt into blocks of fixed sizes, and each pair of blocks is one group. All
-candidates are indexed and scanned.
+Every row is encoded once into a stored index: blocks of ids, codes (two to a byte), norms and the vectors
+themselves. Queries go to the index in chunks of bounded size, each with one pass over the blocks where they lie, so
+candidates are shuffled once, when the index is made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from .packing import narrow, pack, unpack
+from .scratch import new_path, staged
 from .vectors import matrix, valid_vectors
-from .workers import lean_group
+from .workers import lean
 
 TOP, RERANK = 20, 256
 SAMPLE, WORDS, DIMS = 8192, 16, 2
 PARALLEL = 4.0
-CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 2048
+BLOCK, QUERY_CHUNK, AT_ONCE = 4096, 8192, 512
 
 
 class Codebook:
@@ -118,82 +122,159 @@ def exact_scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (x * query).sum(axis=1)
 
 
-def search_block(book: Codebook, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, top: int, rerank: int) -> list[list[tuple[float, int]]]:
-    """The best of one candidate block for each query: ``(score, id)``, best first.
-
-    The ``rerank`` rows of the best approximate scores give a score that ``top`` rows reach. The angle of query and
-    code is at most that of query and vector plus that of vector and code, so a row whose approximate
-    score, with the rounding of the tables added, is too low for this cannot reach that score; all others are scored.
+class Block:
+    """Rows of the index: ids, vectors, codes, and the sizes and angles that bound what codes hide."""
+
+    def __init__(self, book: Codebook, ids: np.ndarray, x: np.ndarray, codes: np.ndarray):
+        self.ids, self.x, self.codes = ids, x, codes
+        coded = book.words[np.arange(codes.shape[1])[None, :], codes].reshape(len(ids), -1)
+        self.size, self.coded_size = np.linalg.norm(x, axis=1), np.linalg.norm(coded, axis=1)
+        # What is not a number in the bounds (overflow, a code of zeros) rules no row out.
+        with np.errstate(all="ignore"):
+            self.cos = np.clip((coded * x).sum(1) / self.size / self.coded_size, -1, 1)
+            self.sin = np.sqrt(1 - self.cos**2)
+
+    def stored(self) -> bytes:
+        codes = np.pad(self.codes, ((0, 0), (0, self.codes.shape[1] % 2)))
+        return pack(np.array([*self.x.shape, self.codes.shape[1]], np.int64), self.ids, narrow(self.x.ravel()), codes[:, ::2] | codes[:, 1::2] << 4, self.size, self.coded_size, self.cos, self.sin)
+
+    @classmethod
+    def read(cls, cell: bytes) -> "Block":
+        (rows, width, subspaces), ids, x, packed, *norms = unpack(cell)
+        out = cls.__new__(cls)
+        packed = packed.reshape(rows, -1)
+        codes = np.stack([packed & 15, packed >> 4], 2).reshape(rows, -1)
+        out.ids, out.x, out.codes = ids, x.reshape(rows, width).astype(np.float64), np.ascontiguousarray(codes[:, :subspaces])
+        out.size, out.coded_size, out.cos, out.sin = norms
+        return out
+
+
+def search_block(book: Codebook, block: Block, query_ids: np.ndarray, queries: np.ndarray, top: int, rerank: int, floors: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Scores and ids of the best rows of a block for each query, best first, ties to the smaller id.
+
+    The ``rerank`` rows of the best approximate scores give a score that ``top`` rows reach; ``floors`` are such scores from
+    blocks before. The angle of query and code is at most that of query and vector plus that of vector and code, so a row
+    whose approximate score, with the rounding of the tables added, is too low for this cannot reach that score; all
+    others are scored.
     """
-    codes = book.encode(x)
-    tables, base, step = byte_tables(book, queries)
-    total = np.ascontiguousarray(table_sums(tables, codes).T)
-    subspaces, count = codes.shape[1], len(ids)
-    coded = book.words[np.arange(subspaces)[None, :], codes].reshape(count, -1)
-    size, coded_size, asked_size = (np.linalg.norm(v, axis=1) for v in (x, coded, queries))
+    ids, x, count = block.ids, block.x, len(block.ids)
+    subspaces = block.codes.shape[1]
+    asked_size = np.linalg.norm(queries, axis=1)
     # Slack for floating point: 1e-6 of the largest product of a query and any code.
     longest = np.sqrt((book.words**2).sum(-1).max(1).sum())
     # One more than asked for, because a query's own row is no candidate.
     take = min(max(rerank, top) + 1, count)
     out = []
-    # What is not a number in the bounds (overflow, a code of zeros) rules no row out.
-    with np.errstate(all="ignore"):
-        cos = np.clip((coded * x).sum(1) / size / coded_size, -1, 1)
-        sin = np.sqrt(1 - cos**2)
-        for q, query in enumerate(queries):
-            at = np.arange(count)
-            if take < count:
-                near = np.argpartition(total[q], count - take)[count - take :]
-                score = exact_scores(x[near[ids[near] != query_ids[q]]], query)
-                floor = np.partition(score, len(score) - top)[len(score) - top] if len(score) >= top else -np.inf
-                least = np.clip(floor / asked_size[q] / size, -1, 1)
-                need = asked_size[q] * (coded_size * (least * cos - np.sqrt(1 - least**2) * sin) - 1e-6 * longest)
-                most = base[q] + step[q] * (total[q] + 0.51 * subspaces)
-                at = np.flatnonzero(~((most < need) & (least > -cos)))
-                if len(at) > count // 8:
-                    slack = 16 * x.shape[1] * np.finfo(float).eps * asked_size[q] * size
-                    at = at[~(x @ query < floor - slack)[at]]
-            at = at[ids[at] != query_ids[q]]
-            score = exact_scores(x[at], query)
-            best = np.lexsort((ids[at], -score))[:top]
-            out.append([(float(s), int(i)) for s, i in zip(score[best], ids[at][best], strict=True)])
+    for first in range(0, len(queries), AT_ONCE):
+        part = slice(first, first + AT_ONCE)
+        tables, base, step = byte_tables(book, queries[part])
+        total = np.ascontiguousarray(table_sums(tables, block.codes).T)
+        with np.errstate(all="ignore"):
+            for k, query in enumerate(queries[part]):
+                q = first + k
+                at = np.arange(count)
+                if take < count:
+                    near = np.argpartition(total[k], count - take)[count - take :]
+                    score = exact_scores(x[near[ids[near] != query_ids[q]]], query)
+                    floor = np.partition(score, len(score) - top)[len(score) - top] if len(score) >= top else -np.inf
+                    if floors is not None:
+                        floor = max(floor, floors[q])
+                    least = np.clip(floor / asked_size[q] / block.size, -1, 1)
+                    need = asked_size[q] * (block.coded_size * (least * block.cos - np.sqrt(1 - least**2) * block.sin) - 1e-6 * longest)
+                    most = base[k] + step[k] * (total[k] + 0.51 * subspaces)
+                    at = np.flatnonzero(~((most < need) & (least > -block.cos)))
+                    if len(at) > count // 8:
+                        slack = 16 * x.shape[1] * np.finfo(float).eps * asked_size[q] * block.size
+                        at = at[~(x @ query < floor - slack)[at]]
+                at = at[ids[at] != query_ids[q]]
+                score = exact_scores(x[at], query)
+                best = np.lexsort((ids[at], -score))[:top]
+                out.append((score[best], ids[at][best]))
     return out
 
 
-def _search(book: Codebook, top: int, rerank: int):
-    def run(table: pa.Table) -> pa.Table:
-        asks = np.asarray(table.column("ask").to_numpy(zero_copy_only=False), bool)
-        ids, x = table.column("vec_id").to_numpy(), matrix(table.column("v"), book.width)
-        found = search_block(book, ids[~asks], x[~asks], ids[asks], x[asks], top, rerank) if (~asks).any() and asks.any() else []
-        kind = pa.list_(pa.struct([("down", pa.float64()), ("vec_id", pa.int64())]))
-        return pa.table({"query_id": pa.array(ids[asks][: len(found)], pa.int64()), "best": pa.array([[{"down": -s, "vec_id": i} for s, i in rows] for rows in found], kind)})
+def _index(book: Codebook, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            x = matrix(rows.column("v"), book.width)
+            # In order of id, so that a block does not depend on how rows arrive.
+            order = np.lexsort((*x.T[::-1], rows.column("vec_id").to_numpy()))
+            ids, x = rows.column("vec_id").to_numpy()[order], x[order]
+            return pa.RecordBatch.from_arrays([pa.array([Block(book, ids, x, book.encode(x)).stored()], pa.binary())], ["cell"])
+
+        for rows in batches:
+            while rows.num_rows:
+                room = block - sum(b.num_rows for b in held)
+                held.append(rows.slice(0, room))
+                rows = rows.slice(min(room, rows.num_rows))
+                if sum(b.num_rows for b in held) == block:
+                    yield flush()
+                    held.clear()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _search(book: Codebook, query_ids: np.ndarray, queries: np.ndarray, top: int, rerank: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[np.ndarray, np.ndarray]] = []
+        floors = np.full(len(query_ids), -np.inf)
+        for batch in batches:
+            for cell in batch.column(0):
+                block = Block.read(cell.as_py())
+                width = max(block.x.shape[1], queries.shape[1])
+                block.x = np.pad(block.x, ((0, 0), (0, width - block.x.shape[1])))
+                asked = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+                found = search_block(book, block, query_ids, asked, top, rerank, floors)
+                if best:
+                    both = [(np.concatenate([s, t]), np.concatenate([i, j])) for (s, i), (t, j) in zip(best, found, strict=True)]
+                    found = [(s[o], i[o]) for s, i in both for o in [np.lexsort((i, -s))[:top]]]
+                best = found
+                floors = np.array([s[-1] if len(s) == top else -np.inf for s, _ in best])
+        if best:
+            sizes = np.array([len(s) for s, _ in best])
+            flat = pa.StructArray.from_arrays([pa.array(-np.concatenate([s for s, _ in best])), pa.array(np.concatenate([i for _, i in best]))], ["down", "vec_id"])
+            bounds = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.ListArray.from_arrays(bounds, flat)], ["query_id", "best"])
 
     return run
 
 
-def nearest_by_product(table: DataFrame, query_every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def nearest_by_product(table: DataFrame, query_every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", top: int = TOP, rerank: int = RERANK, sample: int = SAMPLE, block: int = BLOCK, chunk: int = QUERY_CHUNK) -> DataFrame:
     """For each row whose id is divisible by ``query_every``, its ``top`` rows of largest inner product.
 
     Returns ``query_id, rank, vec_id, score`` with exact scores, best first, ties to the smaller id; a
     query with fewer candidates gets all. A null or zero vector, one with null or non-finite parts,
     and a row without id take no part. Vectors of different lengths are compared as if filled up with zeros.
-    Rows that repeat an id are never each other's neighbours; each repeated query row is answered
-    as one. Other columns are ignored. Without queries or candidates the result is empty.
+    Rows that repeat an id are never each other's neighbours; such a query is answered once, for the smallest of its
+    vectors. Other columns are ignored. Without queries or candidates the result is empty.
 
     Codebooks are fitted on at most ``sample`` rows, chosen by hash; every row is indexed. In every
-    candidate block ``rerank`` rows a query, and all others that can reach the best of these, are scored exactly.
+    block ``rerank`` rows a query, and all others that can reach the best of these, are scored exactly. Queries visit
+    the index in chunks of about ``chunk`` rows, which the driver hands to the tasks.
     """
+    spark = table.sparkSession
     rows = valid_vectors(table, id_col, vector_col)
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
     book = fit_codebook(matrix(picked.column("v"))) if picked.num_rows else Codebook(np.zeros((1, WORDS, DIMS)), PARALLEL)
-    count = rows.count()
-    blocks = max(1, -(-count // CANDIDATE_BLOCK))
     is_query = F.pmod("vec_id", F.lit(query_every)) == 0
-    asked = max(1, -(-(rows.where(is_query).count()) // QUERY_BLOCK))
-    own = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int")
-    ask = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(asked)).cast("int")
-    candidates = rows.select("vec_id", "v", F.lit(False).alias("ask"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("part"))
-    queries = rows.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "v", F.lit(True).alias("ask"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), ask.alias("part"))
-    met = candidates.unionByName(queries).groupBy("block", "part").applyInArrow(lean_group(_search(book, top, rerank)), "query_id long, best array<struct<down: double, vec_id: long>>")
-    merged = met.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, top).alias("best"))
-    return merged.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.down")).alias("score"))
+    count, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
+    parts = max(1, -(-count // block))
+    index = staged(rows.repartition(parts, F.xxhash64("vec_id", "v")).mapInArrow(lean(_index(book, block)), "cell binary"), "index")
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    chunks, path = max(1, -(-asked // chunk)), new_path(spark, "nearest")
+    own = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(chunks))
+    for k in range(chunks):
+        # About ``chunk`` rows: a bound that does not grow with the table.
+        part = queries.where(own == k).toArrow()
+        order = np.argsort(part.column("vec_id").to_numpy(), kind="stable")
+        ids, x = part.column("vec_id").to_numpy()[order], (matrix(part.column("v"), book.width)[order] if part.num_rows else np.zeros((0, book.width)))
+        met = index.mapInArrow(lean(_search(book, ids, x, top, rerank)), "query_id long, best array<struct<down: double, vec_id: long>>")
+        merged = met.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, top).alias("best"))
+        merged.write.mode("append").parquet(path)
+    found = spark.read.schema("query_id long, best array<struct<down: double, vec_id: long>>").parquet(path)
+    return found.select("query_id", F.posexplode("best").alias("at", "hit")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.down")).alias("score"))

@@ -17,7 +17,14 @@ def pack(*columns: np.ndarray) -> bytes:
     return _write.compress(b"".join([head.tobytes(), *(np.ascontiguousarray(c).tobytes() for c in columns)]))
 
 
-_types = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.bool_, np.int32, np.uint32, np.int64, np.uint64)}
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Doubles as single precision if no value changes."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return small if np.array_equal(small.astype(np.float64), x) else x
+
+
+_types = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.int8, np.bool_, np.int32, np.uint32, np.int64, np.uint64, np.float32, np.float64)}
 
 
 def unpack(cell: bytes) -> list[np.ndarray]:

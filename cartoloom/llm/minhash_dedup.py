@@ -29,7 +29,7 @@ from .workers import lean, lean_group
 
 WORDS, SIMILAR = 5, (75, 100)
 BANDS, ROWS = 24, 4
-BLOCK = 192
+BLOCK, BLOCK_SHINGLES = 192, 400_000
 SALTS = 16
 SLOTS = 65536
 
@@ -247,20 +247,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = staged(member.select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     reps = live.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
 
-    banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    banded = reps.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     stars = banded.groupBy("band", "key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    spokes = banded.join(stars, ["band", "key"]).where("doc_id <> centre").select("centre", "doc_id").distinct()
+    spokes = banded.join(stars, ["band", "key"]).where("doc_id <> centre").select("centre", "doc_id", "n_shingles").distinct()
     spokes = staged(spokes, "spokes")
-    # Blocks of a star: members are dealt by a hash, the centre goes to every block.
-    dealt = spokes.groupBy("centre").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # Blocks of a star, bounded by members and by shingles: members are dealt by a hash, the centre goes to every block.
+    dealt = spokes.groupBy("centre").agg(_blocks(F.lit(True), block).alias("blocks"))
     asked = (
         spokes.join(dealt, "centre")
-        .select("doc_id", F.struct("centre", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("part")).alias("to"))
-        .unionByName(dealt.select(F.col("centre").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "centre").select("doc_id", F.struct("centre", "part").alias("to")))
+        .select("doc_id", "centre", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int").alias("part"))
+        .unionByName(dealt.select(F.col("centre").alias("doc_id"), "centre", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")))
     )
-    asked = asked.groupBy("doc_id").agg(F.collect_list("to").alias("to"))
     # Always by shuffle: what is asked for grows with the input, and one plan holds at every size.
-    met = source.join(asked.hint("merge"), "doc_id").select("doc_id", "text", F.explode("to").alias("to")).select("doc_id", "text", "to.*")
+    met = source.join(asked.hint("merge"), "doc_id")
     links = met.groupBy("centre", "part").applyInArrow(lean_group(_verify(words, num, den)), "u long, v long")
 
     found = components(links.unionByName(member.where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))))
@@ -270,6 +269,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def _blocks(which, block: int) -> F.Column:
+    """Blocks for the rows where ``which`` holds."""
+    return F.greatest(F.ceil(F.count_if(which) / block), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n_shingles"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+
+
 def _join_blocks(source: DataFrame, spokes: DataFrame, crowded: DataFrame, found: DataFrame, block: int, across) -> DataFrame:
     """Components after links between different blocks of crowded stars.
 
@@ -279,21 +283,19 @@ def _join_blocks(source: DataFrame, spokes: DataFrame, crowded: DataFrame, found
     names = found.select(F.col("node").alias("doc_id"), "component")
     hubs = crowded.join(names.withColumnRenamed("doc_id", "centre"), "centre", "left").select("centre", F.coalesce("component", "centre").alias("hub"))
     placed = spokes.join(hubs, "centre").join(names, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    placed = staged(placed.select("centre", "doc_id", "component", (F.col("component") != F.col("hub")).alias("loose")), "placed")
+    placed = staged(placed.select("centre", "doc_id", "n_shingles", "component", (F.col("component") != F.col("hub")).alias("loose")), "placed")
     if placed.where("loose").isEmpty():
         return found
-    parts = lambda which: F.ceil(F.count_if(which) / block).cast("int")
-    sizes = placed.groupBy("centre").agg(parts(F.col("loose")).alias("loose_parts"), parts(~F.col("loose")).alias("other_parts")).where("loose_parts > 0")
+    sizes = placed.groupBy("centre").agg(_blocks(F.col("loose"), block).alias("loose_parts"), _blocks(~F.col("loose"), block).alias("other_parts")).where("loose_parts > 0")
     # Blocks of loose members have the numbers below loose_parts, those of others the numbers from there on.
     dealt = placed.join(sizes, "centre").withColumn("own", F.when(F.col("loose"), F.pmod(F.xxhash64("doc_id"), F.col("loose_parts"))).otherwise(F.col("loose_parts") + F.pmod(F.xxhash64("doc_id"), F.greatest("other_parts", F.lit(1)))).cast("int"))
     last = F.col("loose_parts") + F.when(F.col("loose"), F.col("other_parts")).otherwise(0) - 1
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), last)))
-    to = F.struct("centre", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "component")
-    asked = dealt.groupBy("doc_id").agg(F.collect_list(to).alias("to"))
+    asked = dealt.select("doc_id", "centre", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"), "own", "component")
     # Texts of ids whose hash slot nobody asks for are not shuffled again; there are at most SLOTS slots.
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
     slots = placed.join(sizes, "centre", "left_semi").select(slot.alias("slot")).distinct()
     wanted = source.join(F.broadcast(slots), slot == F.col("slot"), "left_semi")
-    met = wanted.join(asked.hint("merge"), "doc_id").select("doc_id", "text", F.explode("to").alias("to")).select("doc_id", "text", "to.*")
+    met = wanted.join(asked.hint("merge"), "doc_id")
     links = met.groupBy("centre", "low", "high").applyInArrow(lean_group(across), "u long, v long")
     return components(links.unionByName(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))

@@ -3,8 +3,7 @@
 The lattice of a text has a state at every character boundary; a piece that ends there is a step from an
 earlier state, and a back pointer names the best one. Only the last ``longest piece`` states can
 be extended, so a window of that many suffices. Whenever the paths behind all of them run through
-one boundary, everything before it is settled and its ids are committed; memory does not grow with
-the text.
+one boundary, everything before it is settled and its ids are committed.
 
 For a unigram model the best step has the highest sum of scores. For a BPE model the score of a
 path is whether it is what merging would give: a step is admissible if the piece before it and
@@ -12,8 +11,10 @@ its own piece, put together, are merged into just these two. Exactly one path su
 boundary, and its ids equal those of merging the whole text.
 
 Some neighbours never meet inside a piece (a letter and the space mark after it, say). There all paths
-converge at once, so a slice of texts is cut there for all texts together, and each distinct part runs
-through the lattice once a worker as long as the bounded cache holds it.
+converge at once, so a window of texts is cut there for all texts together, and each distinct part runs
+through the lattice once a worker as long as the bounded cache holds it. A text longer than a window is walked
+window by window, and what follows the last such cut is carried into the next one, so beside the text and its ids
+memory is that of one window.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 PARTS, PAIRS = 2_000_000, 150_000  # entries of the caches a worker may hold
+WINDOW = 1 << 20  # characters that are laid out at once
 _engines: dict[str, "PieceCodec"] = {}
 
 
@@ -147,7 +149,7 @@ class PieceCodec:
         """Pieces of the best path, each as soon as it is settled."""
         model, longest = self.model, self.model.longest
         bpe, endings, scores, pairs = model.kind == BPE, model.endings, model.scores, self._pairs
-        every, size = window or 4 * longest, len(text)
+        every, size = window or longest, len(text)
         back, total = {0: 0}, {0: 0.0}
         done = 0
         for end in range(1, size + 1):
@@ -227,21 +229,48 @@ class PieceCodec:
             text = " " + text
         return text.replace(" ", MARK) if self.model.escape else text
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of whole texts."""
-        whole, cp, bounds = code_points([self.normal(t) for t in texts])
+    def encode(self, texts: list[str | None], window: int = WINDOW) -> list[np.ndarray]:
+        """Ids of whole texts, many short ones at once, long ones window by window."""
+        out: list[np.ndarray] = []
+        held: list[str] = []
+        for text in map(self.normal, texts):
+            if len(text) > window:
+                out += [*self._laid_out(held)[0], np.concatenate(list(self.stream(text, window)))]
+                held = []
+            else:
+                held.append(text)
+        return out + self._laid_out(held)[0]
+
+    def stream(self, text: str, window: int = WINDOW) -> Iterator[np.ndarray]:
+        """Ids of a normal text as they are settled."""
+        at, carried = 0, ""
+        while at < len(text):
+            part = carried + text[at : at + window]
+            at += window
+            (ids,), last = self._laid_out([part], open_end=at < len(text))
+            carried = part[last:]
+            yield ids
+
+    def _laid_out(self, texts: list[str], open_end: bool = False) -> tuple[list[np.ndarray], int]:
+        """Ids of texts that are cut together; with ``open_end`` without what follows the last cut, and where that is."""
+        whole, cp, bounds = code_points(texts)
         if not len(cp):
-            return [np.zeros(0, np.int32) for _ in texts]
+            return [np.zeros(0, np.int32) for _ in texts], 0
         row = np.minimum(cp, 1025).astype(np.int64)
         row[cp == ord(MARK)] = 1024
         row[(cp == 1024)] = 1025
         start = np.ones(len(cp), bool)
         start[1:] = ~self.joined[row[:-1], row[1:]]
         start[bounds[:-1][bounds[:-1] < len(cp)]] = True
-        starts = np.flatnonzero(start)
-        ids, at = self.cache.ids(whole, cp, starts, len(cp))
+        starts, stop = np.flatnonzero(start), len(cp)
+        if open_end:
+            starts, stop = starts[:-1], int(starts[-1])
+            if not stop:
+                return [np.zeros(0, np.int32)], 0
+            bounds = np.array([0, stop])
+        ids, at = self.cache.ids(whole, cp[:stop], starts, stop)
         cut = at[np.searchsorted(starts, bounds)]
-        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], stop
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; bytes that form no character become replacement characters."""

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartoloom.llm import quality, toxicity
-from cartoloom.llm.linear_fit import minimise
+from cartoloom.llm import textbytes
+from cartoloom.llm.linear_fit import minimise, training_sample
 from cartoloom.llm.minhash_dedup import near_duplicates, superminhash
 from cartoloom.llm.mixing import ORACLE_MIX, mix_sources
 from cartoloom.llm.pieces import PieceCodec, PieceModel, codec, decode_pieces, encode_pieces
@@ -95,6 +96,26 @@ def test_near_duplicates_in_different_blocks_of_a_crowded_star(spark):
     assert [k for k in range(600) if got[k] != (k - 300 if 300 <= k < 300 + pairs else k)] == []
 
 
+def test_near_duplicates_of_one_template(spark):
+    rng = random.Random(41)
+    template = [f"t{rng.randrange(10**6)}" for _ in range(500)]
+    rows = []
+    for k in range(400):
+        own = list(template)
+        for j in rng.sample(range(500), 14):
+            own[j] = f"o{k}x{j}"
+        rows.append((k, " ".join(own)))
+    sets = [shingles(text) for _, text in rows]
+    root = list(range(400))
+    for a in range(400):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect()}
+    assert [got[k] for k in range(400)] == root
+
+
 def test_superminhash_estimates_and_uses_every_rank():
     rng = np.random.default_rng(0)
     pool = rng.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -186,6 +207,93 @@ def test_shards_balance_and_number(docs, empty, spark):
     assert balanced_shards(empty).count() == 0
 
 
+def test_shards_equal_a_plain_placement(spark):
+    rng = random.Random(8)
+    rows = [(k, "same " * 3 if k % 5 == 0 else "x" * rng.randint(0, 400)) for k in range(600)] + [(None, "n"), (9, None), (9, None)]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = [(r["h"], -(2**63) if r["doc_id"] is None else r["doc_id"], r["size"]) for r in t.select("doc_id", F.xxhash64("text").alias("h"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")).collect()]
+    keyed.sort()
+    total, at, line = sum(k[2] for k in keyed), 0, []
+    for h, own, size in keyed:
+        at += size
+        line.append((h, own, size, at))
+    want = []
+    for h, own, size, end in line:
+        group = [x for x in line if x[0] == h]
+        whole = sum(x[2] for x in group)
+        middle = 2 * group[-1][3] - whole if whole <= 0.005 * total / 16 else 2 * end - size
+        want.append((own, size, min(middle * 16 // (2 * total), 15)))
+    got = [(-(2**63) if r["doc_id"] is None else r["doc_id"], r["size"], r["shard"]) for r in balanced_shards(t, ranges=7).collect()]
+    assert sorted(got) == sorted(want)
+
+
+M = (1 << 64) - 1
+
+
+def mixed(x):
+    """The 64-bit finaliser in plain integers."""
+    x ^= x >> 31
+    x = x * 0x7FB5D329728EA185 & M
+    x ^= x >> 27
+    x = x * 0x81DADEF4BC2DD44D & M
+    return x ^ x >> 33
+
+
+def test_toxicity_scores_equal_a_plain_rescoring(spark, docs):
+    t = spark.createDataFrame([(k, f"{'bad' if k % 3 else 'good'} words {k % 17}", int(k % 3 > 0)) for k in range(400)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(t, t)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    assert weight
+    for r in toxicity.score_toxicity(docs.union(docs.withColumn("text", F.concat(F.lit("bad words "), "text"))), model, rows=True).collect():
+        text, found = (r["text"] or "").lower(), set()
+        for n in model.orders:
+            for k in range(len(text) - n + 1):
+                h = ord(text[k]) + 1
+                for c in text[k + 1 : k + n]:
+                    h = (h * 0x9E3779B97F4A7C15 + ord(c)) & M
+                found.add(mixed((h + n) & M) >> 64 - model.bits)
+        want = 1 / (1 + np.exp(-(model.bias + sum(weight.get(b, 0.0) for b in found))))
+        assert r["score"] == pytest.approx(want, abs=1e-9) and r["predicted"] == int(r["score"] >= 0.7)
+
+
+def test_quality_scores_equal_a_plain_rescoring(spark, docs):
+    rows = [(k, " ".join(["Word", "w", "WORD!!", "9%"][j % (k % 3 + 2)] for j in range(30)), k % 3) for k in range(300)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(t, t)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    base, inverse = textbytes._BASE, pow(int(textbytes._BASE), -1, 1 << 64)
+    byte = [int(b) for b in textbytes._BYTE]
+
+    def name(raw):  # the hash of bytes: value times power of the place, summed
+        return mixed(sum(byte[b] * pow(int(base), k, 1 << 64) for k, b in enumerate(raw)) & M)
+
+    kind = lambda b: b"a"[0] if 97 <= b <= 122 or b > 127 else b"A"[0] if 65 <= b <= 90 else b"0"[0] if 48 <= b <= 57 else b
+    assert inverse and weight
+    for r in quality.score_quality(docs.unionByName(t.withColumns({c: F.lit(None).cast(k) for c, k in docs.dtypes if c not in ("doc_id", "text")}).select(docs.columns)), model).collect():
+        source = next((x[1] for x in [*corpus(), *rows] if x[0] == r["doc_id"]), None)
+        if r["doc_id"] is None or sum(x[0] == r["doc_id"] for x in [*corpus(), *rows]) > 1 or len(source or "") > 4000:
+            continue
+        count, before, last = {}, 1, None
+        words = re.findall(rb"[^\x20\x09-\x0D]+", (source or "").encode())
+        for w in words:
+            shape = bytes(c for k, c in enumerate(map(kind, w)) if not k or c != kind(w[k - 1]))
+            lower, own = name(bytes(b + 32 if 65 <= b <= 90 else b for b in w)), name(shape)
+            for h in (lower, mixed((own + 11) & M), mixed((own * 31 + before) & M), mixed(int(lower == last) + 77)):
+                count[h >> 64 - model.bits] = count.get(h >> 64 - model.bits, 0) + 1
+            before, last = own, lower
+        z = sum(weight.get(b, 0.0) * (c / len(words)) ** 0.5 for b, c in count.items())
+        tails = 1 / (1 + np.exp(-(z - model.thresholds)))
+        assert r["expected_grade"] == pytest.approx(model.grades[0] + (tails * np.diff(model.grades)).sum(), abs=1e-9)
+        assert r["tail_probability"] == pytest.approx(tails[-1], abs=1e-9) and r["kept"] == (r["tail_probability"] >= 0.5)
+
+
+def test_too_many_grades_are_an_error(spark):
+    t = spark.createDataFrame([(k, "x", k) for k in range(300)], "doc_id long, text string, quality int")
+    with pytest.raises(ValueError, match="64"):
+        quality.fit(t, t)
+    assert sum(r["count"] for r in training_sample(t, t.withColumn("quality", F.col("quality") % 5), "quality", 10, 2).groupBy("label").count().collect()) == 50
+
+
 def test_toxicity_learns_and_handles_odd_rows(spark, docs, empty):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(200)]
@@ -251,11 +359,29 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
         at += len(ids)
     assert read_tokens(spark, path).where("doc_id = 63").count() == 1
     assert "EqualTo(doc_id,63)" in read_tokens(spark, path).where("doc_id = 63")._jdf.queryExecution().executedPlan().toString()
-    assert token_table(docs, tokenizer).count() == len(corpus())
+    every = sorted(token_table(docs, tokenizer).select("start", "n_tokens").collect())
+    assert len(every) == len(corpus()) and [r["start"] for r in every] == np.cumsum([0, *(r["n_tokens"] for r in every[:-1])]).tolist()
     write_tokens(empty, str(tmp_path / "none"), tokenizer)
     assert token_table(empty, tokenizer).count() == 0
 
 
+def test_lookups_read_few_rows_of_the_stored_files(spark, tmp_path):
+    path, n = str(tmp_path / "ids"), 12_000
+    spark.range(n).select((F.col("id") * 2).alias("doc_id"), F.lit("a b").alias("text")).createOrReplaceTempView("many")
+    write_tokens(spark.table("many").coalesce(1), path, tokenizer_file("byte_bpe_50k.json"))
+
+    def rows_read(condition):
+        found = read_tokens(spark, path).where(condition)
+        count = len(found.collect())
+        plan = found._jdf.queryExecution().executedPlan()
+        return count, plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+    assert rows_read("doc_id >= 0") == (n, n)
+    found, read = rows_read("doc_id = 4242")  # row groups of 1,000 rows, by their least and greatest id
+    assert found == 1 and read <= 1000
+    assert rows_read("doc_id = 4243") == (0, 0)  # within a row group's range: its Bloom filter rules it out
+
+
 def test_pieces_equal_the_library_and_come_back(docs, empty):
     import sentencepiece
 
@@ -263,6 +389,7 @@ def test_pieces_equal_the_library_and_come_back(docs, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [*TRICKY, "a" * 3001, "日本語テキスト", "=-" * 300, *(r[1] for r in corpus())]
     assert [x.tolist() for x in codec(path).encode(texts)] == [library.encode(t or "") for t in texts]
+    assert [x.tolist() for x in codec(path).encode(texts, window=37)] == [library.encode(t or "") for t in texts]
     rows = encode_pieces(docs, path)
     assert rows.count() == len(corpus()) and rows.where("not round_trip").count() == 0
     back = {r["doc_id"]: r["text"] for r in decode_pieces(rows, path).where("doc_id is not null").collect()}

@@ -430,26 +430,60 @@ def water_plateau(spark, d):
     return raster.plateau(i.cells(spark, d).withColumn("h", F.expr("double(floor(elev / 10))")), "h", "water").select("grid_id", "level", "n")
 
 
-@query()
+def labelled(name: str, cells: str, rounds: int = 8) -> str:
+    """SQL that labels the cells ``grid_id, row, col`` of a table with the smallest number of their 8-connected component, as ``name``.
+
+    In each round a cell takes the smallest label around it, hands it to its label's cell, and jumps to its label's label.
+    """
+    number = "grid_id * 6400 + row * 64 + col"
+    out = [
+        f"{name}_own AS MATERIALIZED (SELECT {number} AS k, grid_id, row, col FROM {cells})",
+        f"{name}_adj AS MATERIALIZED (SELECT a.k, b.k AS n FROM (SELECT k, {number} + dr * 64 + dc AS n FROM {name}_own, (SELECT unnest([-1,-1,-1,0,0,0,1,1,1]) AS dr, unnest([-1,0,1,-1,0,1,-1,0,1]) AS dc) WHERE row + dr BETWEEN 0 AND 99 AND col + dc BETWEEN 0 AND 63) a JOIN {name}_own b ON b.k = a.n)",
+        f"{name}_0 AS MATERIALIZED (SELECT k, k AS f FROM {name}_own)",
+    ]
+    for i in range(rounds):
+        out.append(f"{name}_m{i} AS MATERIALIZED (SELECT a.k, min(y.f) AS m, min(CASE WHEN a.k = a.n THEN y.f END) AS f FROM {name}_adj a JOIN {name}_{i} y ON y.k = a.n GROUP BY a.k)")
+        out.append(f"{name}_h{i} AS MATERIALIZED (SELECT k, least(m, min(m) OVER (PARTITION BY f)) AS f FROM {name}_m{i})")
+        out.append(f"{name}_{i + 1} AS MATERIALIZED (SELECT h.k, j.f FROM {name}_h{i} h JOIN {name}_h{i} j ON j.k = h.f)")
+    out.append(f"{name} AS MATERIALIZED (SELECT o.grid_id, o.row, o.col, (f % 6400)::BIGINT AS component FROM {name}_{rounds} JOIN {name}_own o USING (k))")
+    return ",\n".join(out)
+
+
+EXPOSED_CELLS = CELLS + """,
+bare AS MATERIALIZED (SELECT grid_id, row, col FROM cells WHERE wc BETWEEN 2 AND 7)"""
+
+
+@query(f"WITH {EXPOSED_CELLS}, {labelled('lab', 'bare')} SELECT grid_id, component, count(*) AS cells, count(*)::DOUBLE AS area, greatest(max(row) - min(row) + 1, max(col) - min(col) + 1)::DOUBLE AS span, bool_or(row IN (0, 99) OR col IN (0, 63)) AS touches_border FROM lab GROUP BY grid_id, component")
 def mask_components(spark, d):
     c = raster.components(i.cells(spark, d).withColumn("on", geo.exposed(F.col("wc"))), "on")
     return raster.component_stats(c, 100, 64)
 
 
-@query()
+@query(f"""WITH {CELLS}, sea AS MATERIALIZED (SELECT grid_id, row, col FROM cells WHERE wc >= 5 OR io = 8), {labelled('lab', 'sea')},
+big AS (SELECT grid_id, component FROM lab GROUP BY ALL HAVING count(*) >= 64 AND bool_or(row IN (0, 99) OR col IN (0, 63))) SELECT lab.* FROM lab JOIN big USING (grid_id, component)""")
 def coastal_components(spark, d):
-    return raster.coastal_water(raster.components(i.cells(spark, d), "water"), 100, 64)
+    c = i.cells(spark, d).withColumn("sea", F.expr("wc >= 5 OR io = 8"))
+    return raster.coastal_water(raster.components(c, "sea"), 100, 64).select("grid_id", "row", "col", "component")
 
 
-@query()
+@query(f"""WITH {EXPOSED_CELLS}, {labelled('lab', 'bare')}, marks AS (SELECT grid_id, row, col FROM cells WHERE (row * 17 + col * 5) % 97 = 0),
+hit AS (SELECT DISTINCT l.grid_id, l.component FROM lab l JOIN marks m ON m.grid_id = l.grid_id AND abs(m.row - l.row) <= 1 AND abs(m.col - l.col) <= 1) SELECT lab.* FROM lab JOIN hit USING (grid_id, component)""")
 def anchored_components(spark, d):
     c = i.cells(spark, d)
-    return raster.anchored(raster.components(c.withColumn("on", geo.exposed(F.col("wc"))), "on"), c.where("osm"))
-
-
-@query()
+    return raster.anchored(raster.components(c.withColumn("on", geo.exposed(F.col("wc"))), "on"), c.where("(row * 17 + col * 5) % 97 = 0")).select("grid_id", "row", "col", "component")
+
+
+@query(f"""WITH {CELLS}, c0 AS MATERIALIZED (SELECT grid_id, row, col, wc, wc BETWEEN 2 AND 7 AND NOT (water OR wc = 8) AS on_, water OR wc = 8 AS wet, water FROM cells),
+c1 AS MATERIALIZED (SELECT c.grid_id, c.row, c.col, c.wc, c.water, c.wet, ((c.on_ AND coalesce(n, 0) >= 1) OR (NOT c.on_ AND coalesce(n, 0) >= 6)) AND NOT c.wet AS on_ FROM c0 c LEFT JOIN
+  (SELECT grid_id, row + dr AS row, col + dc AS col, count(*) AS n FROM c0, (SELECT unnest([-1,-1,-1,0,0,1,1,1]) AS dr, unnest([-1,0,1,-1,1,-1,0,1]) AS dc) WHERE on_ GROUP BY ALL) k USING (grid_id, row, col)),
+isles AS MATERIALIZED (SELECT grid_id, row, col FROM c1 WHERE on_), {labelled('isle', 'isles')},
+small AS (SELECT grid_id, component FROM isle GROUP BY ALL HAVING count(*) * 0.16e0 < 0.5e0 AND greatest(max(row) - min(row) + 1, max(col) - min(col) + 1) * 0.4e0 < 2e0),
+c2 AS MATERIALIZED (SELECT c.* EXCLUDE (on_), c.on_ AND s.component IS NULL AS on_ FROM c1 c LEFT JOIN isle i USING (grid_id, row, col) LEFT JOIN small s ON s.grid_id = i.grid_id AND s.component = i.component),
+gaps AS MATERIALIZED (SELECT grid_id, row, col FROM c2 WHERE NOT on_ AND NOT wet), {labelled('gap', 'gaps')},
+holes AS (SELECT grid_id, component FROM gap GROUP BY ALL HAVING NOT bool_or(row IN (0, 99) OR col IN (0, 63)) AND count(*) * 0.16e0 <= 0.5e0)
+SELECT c.grid_id, c.row, c.col, wc AS class, water, (c.on_ OR h.component IS NOT NULL) AND NOT wet AS cleaned FROM c2 c LEFT JOIN gap g USING (grid_id, row, col) LEFT JOIN holes h ON h.grid_id = g.grid_id AND h.component = g.component""")
 def cleaned_mask(spark, d):
-    return raster.clean_exposed(i.cells(spark, d).withColumnRenamed("wc", "class"))
+    return raster.clean_exposed(i.cells(spark, d).withColumnRenamed("wc", "class"), cell_w=0.4, cell_h=0.4)
 
 
 @query(f"""WITH {CELLS}, k AS (SELECT grid_id, row, col, elev, (row * col) % 5 = 1 AS gone FROM cells), o AS (SELECT unnest([-1,-1,-1,0,0,1,1,1]) AS dr, unnest([-1,0,1,-1,1,-1,0,1]) AS dc),

@@ -31,8 +31,8 @@ def test_matches_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_gives_rows(spark, name):
+    assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
 def test_spatial_joins_do_not_compare_all_pairs(spark):

@@ -220,13 +220,15 @@ def surface_skins(spark, d):
     return _volume(overlay.surface_skin(c.selectExpr("grid_id", "row", "col", "double(col) AS x", "double(99 - row) AS y", "elev / 1000 + 2 AS h_mm"), on), "grid_id").withColumn("grid_id", F.col("grid_id").cast("int"))
 
 
-@query()
+@query(f"""WITH {CELLS} SELECT grid_id, row, col FROM cells WHERE col > grid_id % 5 + greatest(25 + 4 * (row // 10 % 3), CASE WHEN row % 10 = 0 AND row > 0 THEN 25 + 4 * ((row // 10 - 1) % 3) ELSE 0 END)""")
 def ocean_cells(spark, d):
-    """Sea behind a coast that winds from the lower to the upper border of every grid, with the sea on its right."""
+    """Sea behind a coast that climbs every grid in steps, with the sea on its right."""
     c = i.cells(spark, d)
-    bends = c.select("grid_id", "row").distinct().where("row < 99").selectExpr("grid_id", "25e0 + grid_id % 5 + (row % 7) AS x0", "double(row) AS y0", "25e0 + grid_id % 5 + ((row + 1) % 7) AS x1", "row + 1e0 AS y1")
-    ends = c.select("grid_id").distinct().selectExpr("grid_id", "25e0 + grid_id % 5 + 1 AS x0", "99e0 AS y0", "25e0 + grid_id % 5 + 1 AS x1", "100e0 AS y1")
-    return water.ocean(c.select("grid_id", "row", "col"), bends.unionByName(ends), 1.0, 1.0, 100, 64).where("ocean").select("grid_id", "row", "col")
+    x = lambda band: f"(25.5e0 + grid_id % 5 + 4 * (({band}) % 3))"
+    bands = c.select("grid_id", F.floor(F.col("row") / 10).cast("int").alias("b")).distinct()
+    up = bands.selectExpr("grid_id", f"{x('b')} AS x0", "b * 10e0 AS y0", f"{x('b')} AS x1", "b * 10e0 + 10 AS y1")
+    across = bands.where("b > 0").selectExpr("grid_id", f"{x('b - 1')} AS x0", "b * 10e0 AS y0", f"{x('b')} AS x1", "b * 10e0 AS y1")
+    return water.ocean(c.select("grid_id", "row", "col"), up.unionByName(across), 1.0, 1.0, 100, 64).where("ocean").select("grid_id", "row", "col")
 
 
 @query("""WITH s AS (SELECT s_suppkey, s_suppkey * 29 % 200 + 10e0 AS y FROM supplier), c AS (SELECT s_suppkey * 10 + j AS vid, s_suppkey, y, st FROM s, (VALUES (0, 0e0), (1, 37.5e0), (2, 90e0)) v(j, st) UNION ALL SELECT (s_suppkey - 1) * 10 + 1, s_suppkey, y, 20e0 FROM s WHERE s_suppkey > 1),

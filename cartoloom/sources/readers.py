@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.geo import exposed, plausible_elevation, recode
+from ..operators.spatial import inside_ring, point_inside
 
 _POINT = T.StructType([T.StructField("_lat", T.DoubleType()), T.StructField("_lon", T.DoubleType()), T.StructField("ele", T.DoubleType())])
 
@@ -22,17 +24,20 @@ def _gpx_schema(prefix: str) -> T.StructType:
 def read_gpx(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
     """``route_id, seq, lat, lon, ele`` of every track point in document order, over all tracks and segments.
 
-    A file is a route, named by its path. Documents with and without a namespace are read, and those that
-    prefix their elements with ``gpx:``. Without any point and with ``required`` it is an error.
+    A file is a route, named by its path. Documents with and without a namespace are read, whatever prefix their elements
+    have; the prefixes are found by a pass over the files' lines. Without any point and with ``required`` it is an error.
     """
+    opening = r"<((?:[A-Za-z_][A-Za-z0-9_.-]*:)?)gpx(?:[\s>]|$)"
+    lines = spark.read.text(path).where(F.col("value").rlike(opening))
+    found = lines.select(F.regexp_extract("value", opening, 1).alias("prefix")).distinct().limit(100).collect()
     parts = []
-    for prefix in ("", "gpx:"):
+    for prefix in sorted(r["prefix"] for r in found) or [""]:
         raw = spark.read.format("xml").option("rowTag", f"{prefix}gpx").schema(_gpx_schema(prefix)).load(path)
         trk, seg, pt = f"{prefix}trk", f"{prefix}trkseg", f"{prefix}trkpt"
         nested = F.transform(F.coalesce(F.col(f"`{trk}`"), F.array()), lambda t: F.flatten(F.transform(F.coalesce(t[seg], F.array()), lambda s: F.coalesce(s[pt], F.array()))))
         points = raw.select(F.col("_metadata.file_path").alias("route_id"), F.posexplode(F.flatten(nested)).alias("seq", "p"))
         parts.append(points.select("route_id", "seq", F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.col("p")[f"{prefix}ele"].alias("ele")))
-    out = parts[0].unionByName(parts[1]).where("lat is not null and lon is not null")
+    out = reduce(DataFrame.unionByName, parts).where("lat is not null and lon is not null")
     if required and out.isEmpty():
         raise ValueError(f"no track points in {path}")
     return out
@@ -78,16 +83,19 @@ _ELEMENT = "struct<type:string,id:long,tags:map<string,string>,geometry:array<st
 def read_overpass(spark: SparkSession, path: str) -> DataFrame:
     """Polygons of a stored query answer: ``feature_id, osm_type, osm_id, tags, part_id, rings``.
 
-    A way of three or more points is a ring; a relation gives a part for each outer member and takes all
-    inner members as holes of it (exact where holes lie inside their part; touching outers stay apart).
-    Nodes have no shape.
+    A way of three or more points is a ring; a relation gives a part for each outer member, with those inner
+    members as holes that lie in it (by a point inside each). Outers that touch stay apart; ``overlay.union`` makes them
+    one. Nodes have no shape.
     """
     raw = spark.read.option("multiLine", True).schema(f"elements array<{_ELEMENT}>").json(path)
     e = raw.select(F.explode("elements").alias("e")).select("e.*")
     ring = lambda g: F.transform(g, lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y")))
     fit = lambda m, role: F.transform(F.filter(F.coalesce(m, F.array()), lambda x: (x["role"] == role) & (F.size(x["geometry"]) >= 3)), lambda x: ring(x["geometry"]))
     way = F.when(F.size("geometry") >= 3, F.array(F.array(ring(F.col("geometry")))))
-    relation = F.transform(fit(F.col("members"), "outer"), lambda o: F.concat(F.array(o), fit(F.col("members"), "inner")))
+    marked = lambda r: F.struct(r.alias("ring"), point_inside(F.array(r)).alias("at"))
+    inners = F.transform(fit(F.col("members"), "inner"), marked)
+    held = lambda o: F.transform(F.filter(inners, lambda h: inside_ring(h["at"]["x"], h["at"]["y"], o)), lambda h: h["ring"])
+    relation = F.transform(fit(F.col("members"), "outer"), lambda o: F.concat(F.array(o), held(o)))
     parts = F.when(F.col("type") == "way", way).when(F.col("type") == "relation", relation)
     own = e.select(F.concat("type", F.lit("/"), F.col("id").cast("string")).alias("feature_id"), F.col("type").alias("osm_type"), F.col("id").alias("osm_id"), F.coalesce("tags", F.create_map().cast("map<string,string>")).alias("tags"), parts.alias("parts"))
     return own.select("feature_id", "osm_type", "osm_id", "tags", F.posexplode("parts").alias("part_id", "rings"))

@@ -13,7 +13,7 @@ from cartoloom.streaming import sessions
 GPX = '<?xml version="1.0"?><{p}gpx{ns}><{p}trk><{p}trkseg><{p}trkpt lat="29.7" lon="-95.4"><{p}ele>3.5</{p}ele></{p}trkpt><{p}trkpt lat="29.8" lon="-95.3"/></{p}trkseg></{p}trk><{p}trk><{p}trkseg><{p}trkpt lat="29.9" lon="-95.2"><{p}ele>7</{p}ele></{p}trkpt></{p}trkseg></{p}trk></{p}gpx>'
 
 
-@pytest.mark.parametrize("prefix,ns", [("", ""), ("", ' xmlns="http://www.topografix.com/GPX/1/1"'), ("gpx:", ' xmlns:gpx="http://www.topografix.com/GPX/1/1"')])
+@pytest.mark.parametrize("prefix,ns", [("", ""), ("", ' xmlns="http://www.topografix.com/GPX/1/1"'), ("gpx:", ' xmlns:gpx="http://www.topografix.com/GPX/1/1"'), ("my-1.x:", ' xmlns:my-1.x="urn:other"')])
 def test_gpx(spark, tmp_path, prefix, ns):
     (tmp_path / "t.gpx").write_text(GPX.format(p=prefix, ns=ns))
     got = [tuple(r)[1:] for r in readers.read_gpx(spark, str(tmp_path / "t.gpx")).orderBy("seq").collect()]
@@ -45,6 +45,10 @@ def test_overpass(spark, tmp_path):
     (tmp_path / "e.json").write_text(json.dumps({"elements": []}))
     got = {r["feature_id"]: len(r["rings"]) for r in readers.read_overpass(spark, str(tmp_path / "*.json")).collect()}
     assert got == {"way/1": 1, "relation/4": 2}
+    box = lambda at, size: [{"lat": at + a * size, "lon": at + b * size} for a, b in ((0, 0), (0, 1), (1, 1), (1, 0), (0, 0))]
+    two = {"type": "relation", "id": 5, "members": [{"type": "way", "role": r, "geometry": g} for r, g in (("outer", box(0.0, 4.0)), ("outer", box(10.0, 4.0)), ("inner", box(11.0, 1.0)), ("inner", box(50.0, 1.0)))]}
+    (tmp_path / "two.json").write_text(json.dumps({"elements": [two]}))
+    assert [len(r["rings"]) for r in readers.read_overpass(spark, str(tmp_path / "two.json")).orderBy("part_id").collect()] == [1, 2]
 
 
 def test_fallbacks(spark):

@@ -12,6 +12,7 @@ from .inner_product_search import nearest_by_product
 from .minhash_dedup import near_duplicates
 from .mixing import ORACLE_MIX, mix_sources
 from .pieces import encode_pieces
+from .secret_scan import ORACLE_SECRETS, find_secrets, secret_digests
 from .sharding import balanced_shards
 from .suffix_dedup import remove_repeats
 from .tokenstore import token_table
@@ -70,6 +71,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(find_secrets(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_toxicity": op9_toxicity,
     "op10_tokens": op10_tokens,
+    "op11_secrets": op11_secrets,
 }
 
-ORACLES: dict[str, str] = {"op8_mix": ORACLE_MIX}
+ORACLES: dict[str, str] = {"op8_mix": ORACLE_MIX, "op11_secrets": ORACLE_SECRETS}

@@ -24,7 +24,7 @@ def narrow(x: np.ndarray) -> np.ndarray:
     return small if np.array_equal(small.astype(np.float64), x) else x
 
 
-_types = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.int8, np.bool_, np.int32, np.uint32, np.int64, np.uint64, np.float32, np.float64)}
+_types = {np.dtype(t).num: np.dtype(t) for t in (np.uint8, np.int8, np.bool_, np.uint16, np.int32, np.uint32, np.int64, np.uint64, np.float32, np.float64)}
 
 
 def unpack(cell: bytes) -> list[np.ndarray]:

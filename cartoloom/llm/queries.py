@@ -15,6 +15,7 @@ from .pieces import encode_pieces
 from .secret_scan import ORACLE_SECRETS, find_secrets, secret_digests
 from .sharding import balanced_shards
 from .suffix_dedup import remove_repeats
+from .token_alignment import align_tokens
 from .tokenstore import token_table
 
 
@@ -75,6 +76,10 @@ def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(find_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_tokens": op10_tokens,
     "op11_secrets": op11_secrets,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES: dict[str, str] = {"op8_mix": ORACLE_MIX, "op11_secrets": ORACLE_SECRETS}

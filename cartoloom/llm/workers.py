@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 
 #: Modules of this package that keep engines with caches, by the name of the stage that uses them.
-CACHED = ("pieces", "tokenstore")
+CACHED = ("pieces", "tokenstore", "token_alignment")
 _last = [0.0]
 
 

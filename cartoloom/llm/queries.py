@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality, toxicity
 from .embedding_dedup import embedding_groups
+from .hard_negatives import ORACLE_NEGATIVES, hard_negatives
 from .inner_product_search import nearest_by_product
 from .minhash_dedup import near_duplicates
 from .mixing import ORACLE_MIX, mix_sources
@@ -80,6 +82,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_minhash": op2_minhash,
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tokens": op10_tokens,
     "op11_secrets": op11_secrets,
     "op12_alignment": op12_alignment,
+    "op13_negatives": op13_negatives,
 }
 
-ORACLES: dict[str, str] = {"op8_mix": ORACLE_MIX, "op11_secrets": ORACLE_SECRETS}
+ORACLES: dict[str, str] = {"op8_mix": ORACLE_MIX, "op11_secrets": ORACLE_SECRETS, "op13_negatives": ORACLE_NEGATIVES}

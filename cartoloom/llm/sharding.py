@@ -24,13 +24,14 @@ SHARDS = 16
 RANGES, ROWS_PER_RANGE, MOST_RANGES = 256, 100_000, 1 << 16
 DRAWS = 32
 TOGETHER = 0.005
+FIRST = -(2**63)  # before every id; stands for a null one
 
 
 def _draw(rows: DataFrame, weight: float, draws: float, seed: int) -> list[tuple[int, int, float]]:
     """Sampled ``(hash, id, bytes it stands for)``, each row with probability ``size * draws / weight``."""
     chance = F.col("size") * F.lit(draws / weight)
     unit = F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = rows.where(unit < chance).select("h", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.greatest(F.col("size").cast("double"), F.lit(weight / draws)).alias("w"))
+    picked = rows.where(unit < chance).select("h", F.coalesce("doc_id", F.lit(FIRST)).alias("d"), F.greatest(F.col("size").cast("double"), F.lit(weight / draws)).alias("w"))
     return [tuple(r) for r in picked.collect()]
 
 
@@ -44,13 +45,25 @@ def quantile_keys(sample: list[tuple[int, int, float]], parts: int) -> list[tupl
     return sorted({sample[i][:2] for i in np.minimum(at, len(sample) - 1)})
 
 
+def _around(rows: DataFrame, keys: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
+    """Splitters inside a group of equal texts of at most ``least`` bytes move to the group's start, so that it stays whole."""
+    inside = sorted({h for h, d in keys if d > FIRST})
+    if not inside:
+        return keys
+    # As many rows as splitters at most.
+    asked = rows.sparkSession.createDataFrame([(h,) for h in inside], "h long")
+    whole = rows.join(F.broadcast(asked), "h", "left_semi").groupBy("h").agg(F.sum("size").alias("size")).where(F.col("size") <= least)
+    small = {r["h"] for r in whole.collect()}
+    return sorted({(h, FIRST if h in small else d) for h, d in keys})
+
+
 def _place(keys: list[tuple[int, int]]):
     hs, ds = np.array([k[0] for k in keys], np.int64), np.array([k[1] for k in keys], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             h = rows.column(rows.schema.get_field_index("h")).to_numpy()
-            doc = rows.column(rows.schema.get_field_index("doc_id")).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+            doc = rows.column(rows.schema.get_field_index("doc_id")).fill_null(FIRST).to_numpy(zero_copy_only=False)
             low, high = np.searchsorted(hs, h, "left"), np.searchsorted(hs, h, "right")
             for x in np.unique(h[high > low]):  # splitters inside a group of equal texts
                 at = np.flatnonzero(h == x)
@@ -81,7 +94,8 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count, total = rows.agg(F.count("*"), F.sum("size")).first()
     parts = min(max(ranges, -(-count // ROWS_PER_RANGE)), MOST_RANGES)
     total = total or 1
-    keys = quantile_keys(_draw(rows, total, DRAWS * parts, 1), parts)
+    least = together * total / shards
+    keys = _around(rows, quantile_keys(_draw(rows, total, DRAWS * parts, 1), parts), least)
     for turn in range(rounds + 1):
         placed = rows.mapInArrow(lean(_place(keys)), "doc_id long, size long, text_crc32 long, h long, range int")
         sums = {r[0]: (r[1], r[2]) for r in placed.groupBy("range").agg(F.sum("size"), F.count("*")).collect()}
@@ -98,9 +112,10 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for k, own in spots.items():
             if k in sums:
                 more |= set(quantile_keys(own, int(np.ceil(sums[k][0] * parts / total)) + 1))
-        if more == set(keys):
+        moved = _around(rows, sorted(more), least)
+        if moved == keys:
             break
-        keys = sorted(more)
+        keys = moved
 
     order = sorted(sums)
     starts = np.cumsum([0, *(sums[k][0] for k in order)])
@@ -113,7 +128,7 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = placed.withColumn("end", F.col("base") + F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     placed = placed.withColumn("index", F.col("first") + F.row_number().over(along) - 1)
     placed = placed.withColumn("g_size", F.sum("size").over(group)).withColumn("g_end", F.max("end").over(group))
-    small = F.col("g_size") <= F.lit(together * total / shards)
+    small = F.col("g_size") <= F.lit(least)
     middle = F.when(small, 2 * F.col("g_end") - F.col("g_size")).otherwise(2 * F.col("end") - F.col("size"))
     placed = placed.withColumn("shard", F.least(F.floor(middle * shards / (2 * F.lit(total))), F.lit(shards - 1)).cast("int"))
     placed = staged(placed.select("doc_id", "size", "text_crc32", "shard", "index"), "placed")

@@ -17,7 +17,7 @@ from cartoloom.llm.minhash_dedup import near_duplicates, superminhash
 from cartoloom.llm.mixing import ORACLE_MIX, mix_sources
 from cartoloom.llm.pieces import PieceCodec, PieceModel, codec, decode_pieces, encode_pieces
 from cartoloom.llm.queries import tokenizer_file
-from cartoloom.llm.sharding import balanced_shards
+from cartoloom.llm.sharding import FIRST, _around, balanced_shards
 from cartoloom.llm.suffix_dedup import remove_repeats
 from cartoloom.llm.tokenstore import ByteLevelEncoder, read_tokens, token_table, write_tokens
 
@@ -227,6 +227,16 @@ def test_shards_equal_a_plain_placement(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_shards_keep_small_groups_whole(spark):
+    # Splitters of many ranges fall inside groups of eight copies, each below the share that may be parted.
+    t = spark.createDataFrame([(8 * g + k, f"text {g:05d} " + "y" * 40) for g in range(3400) for k in range(8)], "doc_id long, text string")
+    got = balanced_shards(t, ranges=2000)
+    assert got.count() == 27_200 and got.groupBy("text_crc32").agg(F.count_distinct("shard").alias("n"), F.count("*").alias("c")).where("c = 8 and n > 1").count() == 0
+    keys = [(h, d) for h, d in zip(range(5), (3, FIRST, 9, 4, 1), strict=True)]
+    sized = spark.createDataFrame([(0, 10), (2, 6), (2, 5), (3, 7), (4, 10)], "h long, size long")
+    assert _around(sized, keys, 10) == [(0, FIRST), (1, FIRST), (2, 9), (3, FIRST), (4, FIRST)]
+
+
 M = (1 << 64) - 1
 
 
@@ -397,6 +407,24 @@ def test_pieces_equal_the_library_and_come_back(docs, empty):
     assert encode_pieces(empty, path).count() == 0
 
 
+def test_text_without_cuts_is_walked_as_it_comes():
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), codec(path)
+    rng = random.Random(3)
+    laid = []
+    plain, own._laid_out = own._laid_out, lambda texts, **how: laid.append(sum(map(len, texts))) or plain(texts, **how)
+    try:
+        for letters, size in (("abcdeortinsh", 9000), ("abcdeortinsh  ", 6000), ("a", 4000), ("etaoinAX,9日 ", 6000)):
+            text = "".join(rng.choice(letters) for _ in range(size // 2)) + "the of " * 40 + "".join(rng.choice(letters) for _ in range(size // 2))
+            laid.clear()
+            assert np.concatenate(list(own.stream(own.normal(text), 300))).tolist() == library.encode(text)
+            assert sum(laid) < 2.5 * len(text)
+    finally:
+        del own._laid_out
+
+
 def unigram(pieces):
     def field(n, data):
         return bytes([n << 3 | 2, len(data)]) + data
@@ -422,3 +450,5 @@ def test_unigram_paths_are_best_and_stream():
         for window in (None, 1, 5):
             path = list(own.path(text, window))
             assert "".join(path) == text and sum(score[p] for p in path) == pytest.approx(best[-1])
+            cut = sorted(rng.randint(0, len(text)) for _ in range(3))
+            assert list(own.walk([text[a:b] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)], window)) == path

@@ -13,14 +13,14 @@ boundary, and its ids equal those of merging the whole text.
 Some neighbours never meet inside a piece (a letter and the space mark after it, say). There all paths
 converge at once, so a window of texts is cut there for all texts together, and each distinct part runs
 through the lattice once a worker as long as the bounded cache holds it. A text longer than a window is walked
-window by window, and what follows the last such cut is carried into the next one, so beside the text and its ids
-memory is that of one window.
+window by window, and what follows the last such cut is carried into the next one; a part that no window cuts goes through the
+lattice as it comes, so beside the text and its ids memory is that of two windows and work grows with the text.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,68 +147,79 @@ class PieceCodec:
 
     def path(self, text: str, window: int | None = None) -> Iterator[str]:
         """Pieces of the best path, each as soon as it is settled."""
+        return self.walk([text], window)
+
+    def walk(self, parts: Iterable[str], window: int | None = None) -> Iterator[str]:
+        """Like :meth:`path` for a text that comes in parts; only what is not yet settled is held of it."""
         model, longest = self.model, self.model.longest
         bpe, endings, scores, pairs = model.kind == BPE, model.endings, model.scores, self._pairs
-        every, size = window or longest, len(text)
-        back, total = {0: 0}, {0: 0.0}
+        every = window or longest
+        text, back, total = "", {0: 0}, {0: 0.0}
         done = 0
-        for end in range(1, size + 1):
-            best, top = -1, 0.0
-            # Walk back as long as some piece ends in what was passed.
-            for start in range(end - 1, max(done, end - longest) - 1, -1):
-                piece = text[start:end]
-                known = endings.get(piece)
-                if known is None:
-                    if end - start > 1:
-                        break
-                    known = -1
-                if start not in back or (known == -1 and end - start > 1):
+
+        def trail(end: int) -> list[str]:
+            cut = []
+            while end > done:
+                cut.append(text[back[end] : end])
+                end = back[end]
+            return cut[::-1]
+
+        for part in parts:
+            end, text = len(text), text + part
+            while end < len(text):
+                end += 1
+                best, top = -1, 0.0
+                # Walk back as long as some piece ends in what was passed.
+                for start in range(end - 1, max(done, end - longest) - 1, -1):
+                    piece = text[start:end]
+                    known = endings.get(piece)
+                    if known is None:
+                        if end - start > 1:
+                            break
+                        known = -1
+                    if start not in back or (known == -1 and end - start > 1):
+                        continue
+                    if bpe:
+                        before = text[back[start] : start]
+                        fits = pairs.get((before, piece))
+                        if fits or (fits is None and self.admissible(before, piece)):
+                            best = start
+                            break
+                    else:
+                        score = total[start] + (self.penalty if known == -1 else scores[known])
+                        if best < 0 or score >= top:
+                            best, top = start, score
+                if best >= 0:
+                    back[end] = best
+                    if not bpe:
+                        total[end] = top
+                if (end - done) % every:
                     continue
-                if bpe:
-                    before = text[back[start] : start]
-                    fits = pairs.get((before, piece))
-                    if fits or (fits is None and self.admissible(before, piece)):
-                        best = start
-                        break
-                else:
-                    score = total[start] + (self.penalty if known == -1 else scores[known])
-                    if best < 0 or score >= top:
-                        best, top = start, score
-            if best >= 0:
-                back[end] = best
-                if not bpe:
-                    total[end] = top
-            if end == size:
-                cut = []
-                while end > done:
-                    cut.append(text[back[end] : end])
-                    end = back[end]
-                yield from reversed(cut)
-            elif end % every == 0:
                 common = None
-                for p in range(end - longest + 1, end + 1):
+                for p in range(max(end - longest + 1, done), end + 1):
                     if p not in back:
                         continue
-                    trail = set()
+                    met = set()
                     while p > done:
-                        trail.add(p)
+                        met.add(p)
                         p = back[p]
-                    common = trail if common is None else common & trail
+                    common = met if common is None else common & met
                 if common:
-                    stop, cut = max(common), []
-                    p = stop
-                    while p > done:
-                        cut.append(text[back[p] : p])
-                        p = back[p]
-                    yield from reversed(cut)
+                    stop = max(common)
+                    yield from trail(stop)
                     # Keep the state behind the settled boundary: BPE asks which piece led to it.
-                    back = {p: b for p, b in back.items() if p >= stop}
-                    total = {p: t for p, t in total.items() if p >= stop}
-                    done = stop
+                    keep = back[stop]
+                    back = {p - keep: b - keep for p, b in back.items() if p >= stop}
+                    total = {p - keep: t for p, t in total.items() if p >= stop}
+                    text, end, done = text[keep:], end - keep, stop - keep
+        yield from trail(len(text))
 
     def encode_part(self, part: str) -> list[int]:
+        return self.ids_of(self.path(part))
+
+    def ids_of(self, pieces: Iterable[str]) -> list[int]:
         out: list[int] = []
-        for piece in self.path(part):
+        for piece in pieces:
             known = self.model.ids.get(piece)
             if known is not None:
                 out.append(known)
@@ -242,7 +253,11 @@ class PieceCodec:
         return out + self._laid_out(held)[0]
 
     def stream(self, text: str, window: int = WINDOW) -> Iterator[np.ndarray]:
-        """Ids of a normal text as they are settled."""
+        """Ids of a normal text as they are settled.
+
+        What follows the last cut of a window is carried into the next one. A part that spans more than a window is
+        walked as it comes, so no character is laid out more than twice and walked more than once.
+        """
         at, carried = 0, ""
         while at < len(text):
             part = carried + text[at : at + window]
@@ -250,17 +265,44 @@ class PieceCodec:
             (ids,), last = self._laid_out([part], open_end=at < len(text))
             carried = part[last:]
             yield ids
+            if len(carried) >= window:
+                rest: list[str] = []
+
+                def uncut(first: str = carried, rest: list[str] = rest) -> Iterator[str]:
+                    nonlocal at
+                    yield first
+                    before = first[-1]
+                    while at < len(text):
+                        more = text[at : at + window]
+                        at += len(more)
+                        cuts = np.flatnonzero(self._starts(code_points([before + more])[1])[1:])
+                        if len(cuts):
+                            yield more[: cuts[0]]
+                            rest.append(more[cuts[0] :])
+                            return
+                        yield more
+                        before = more[-1]
+
+                yield np.array(self.ids_of(self.walk(uncut())), np.int32)
+                carried = "".join(rest)
+                if at >= len(text) and carried:
+                    yield self._laid_out([carried])[0][0]
+
+    def _starts(self, cp: np.ndarray) -> np.ndarray:
+        """Where neighbours never meet inside a piece, the first character included."""
+        row = np.minimum(cp, 1025).astype(np.int64)
+        row[cp == ord(MARK)] = 1024
+        row[(cp == 1024)] = 1025
+        start = np.ones(len(cp), bool)
+        start[1:] = ~self.joined[row[:-1], row[1:]]
+        return start
 
     def _laid_out(self, texts: list[str], open_end: bool = False) -> tuple[list[np.ndarray], int]:
         """Ids of texts that are cut together; with ``open_end`` without what follows the last cut, and where that is."""
         whole, cp, bounds = code_points(texts)
         if not len(cp):
             return [np.zeros(0, np.int32) for _ in texts], 0
-        row = np.minimum(cp, 1025).astype(np.int64)
-        row[cp == ord(MARK)] = 1024
-        row[(cp == 1024)] = 1025
-        start = np.ones(len(cp), bool)
-        start[1:] = ~self.joined[row[:-1], row[1:]]
+        start = self._starts(cp)
         start[bounds[:-1][bounds[:-1] < len(cp)]] = True
         starts, stop = np.flatnonzero(start), len(cp)
         if open_end:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stage import staged
+from .components import reachable
 from .quantiles import percentiles
 from .spatial import centroid, point_inside
 from .tags import OVERRIDE_KEY, classify, first_value, number_m
@@ -232,23 +233,13 @@ def supported_parts(parts: DataFrame, overlaps: DataFrame) -> DataFrame:
     """Parts with a path of overlapping, high enough supports to the ground.
 
     ``parts``: ``part_id, min_height_m, total_height_m``; ``overlaps``: ``a, b`` pairs whose footprints share
-    area. Each round adds the parts that a supported one carries; the result of a round is small compared
-    with ``overlaps``, and rounds end when nothing is added.
+    area. Parts that carry each other fall together first; rounds then follow the one-way links.
     """
-    carries = overlaps.unionByName(overlaps.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    carries = overlaps.unionByName(overlaps.select(F.col("b").alias("a"), F.col("a").alias("b")))
     top = parts.select(F.col("part_id").alias("a"), F.col("total_height_m").alias("top"))
     foot = parts.select(F.col("part_id").alias("b"), F.col("min_height_m").alias("foot"))
-    carries = staged(carries.join(top, "a").join(foot, "b").where("top >= foot - 0.5").select("a", "b"), "carries")
-    known = parts.where("min_height_m <= 1e-9").select("part_id")
-    size = known.count()
-    while True:
-        more = carries.join(known, F.col("a") == F.col("part_id"), "left_semi").select(F.col("b").alias("part_id"))
-        known = staged(known.unionByName(more).distinct(), "supported")
-        now = known.count()
-        if now == size:
-            break
-        size = now
-    return known
+    carries = carries.join(top, "a").join(foot, "b").where("top >= foot - 0.5").select("a", "b")
+    return reachable(carries, parts.where("min_height_m <= 1e-9").select(F.col("part_id").alias("node"))).select(F.col("node").alias("part_id"))
 
 
 def footprint_ground(footprints: DataFrame, sample, rings: str = "rings", key: str = "feature_id", out: str = "ground_mm") -> DataFrame:

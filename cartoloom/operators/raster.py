@@ -1,8 +1,8 @@
 """Raster algebra on cell tables ``grid_id, row, col, ...``; every grid of a table is handled at once.
 
-Neighbourhoods are hash joins of shifted cells, so a grid of any size is spread over tasks. Where each
-step depends on the one before (connected components, hole filling, no-data growth) a grid is one
-group for a numpy kernel: one giant grid is one task, many grids run side by side.
+Neighbourhoods are hash joins of shifted cells, so a grid of any size is spread over tasks, and components are
+labelled tile by tile and joined at the rims. Where each step depends on the one before (hole filling, no-data growth)
+a grid is one group for a numpy kernel: one giant grid is one task, many grids run side by side.
 """
 
 from __future__ import annotations
@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import CLASSES, exposed, plausible_elevation
+from ..sources.stage import staged
+from .components import contract, renamed, roots
 
 # Cleanup presets (least island mm2, narrow span mm, greatest hole mm2, passes) and score thresholds.
 CLEANUP = {"conservative": (0.8, 2.5, 0.25, 0), "balanced": (0.5, 2.0, 0.5, 1), "broad": (0.25, 1.5, 1.0, 1)}
 THRESHOLDS = {"conservative": 80, "balanced": 55, "broad": 40}
+TILE = 512  # rows and columns of a part of a grid that one task labels
 EIGHT = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)]
 
 
@@ -243,17 +246,7 @@ def label(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
         b = (slice(dr, rows), slice(max(0, dc), columns + min(0, dc)))
         both = mask[a] & mask[b]
         pairs.append(np.stack([index[a][both], index[b][both]]))
-    left, right = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), int)
-    root = np.arange(mask.size)
-    while len(left):
-        low, high = root[left], root[right]
-        open_ = low != high
-        if not open_.any():
-            break
-        left, right, low, high = left[open_], right[open_], low[open_], high[open_]
-        np.minimum.at(root, np.maximum(low, high), np.minimum(low, high))
-        while not np.array_equal(root, root[root]):
-            root = root[root]
+    root = roots(*np.concatenate(pairs, axis=1), mask.size)
     return np.where(mask, root.reshape(mask.shape), -1)
 
 
@@ -264,16 +257,45 @@ def dense(pdf: pd.DataFrame, column: str, fill) -> np.ndarray:
     return out
 
 
-def components(cells: DataFrame, mask: str, diagonal: bool = True) -> DataFrame:
-    """``grid_id, row, col, component`` of set cells, connected 8 ways, or 4 ways without ``diagonal``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = label(dense(pdf, mask, False).astype(bool), diagonal)
-        at = np.argwhere(own >= 0)
-        return pd.DataFrame({"grid_id": pdf["grid_id"].iloc[0], "row": at[:, 0].astype("int32"), "col": at[:, 1].astype("int32"), "component": own[own >= 0]})
+def components(cells: DataFrame, mask: str, diagonal: bool = True, tile: int = TILE) -> DataFrame:
+    """``grid_id, row, col, component`` of set cells, connected 8 ways, or 4 ways without ``diagonal``.
 
+    A component is named by its smallest flat index. Grids above ``tile`` rows or columns are labelled tile by tile; the tiles' parts meet
+    through the cells at their rims, and the links found there are contracted. The largest extent is looked up first.
+    """
     kind = dict(cells.dtypes)["grid_id"]
-    return cells.select("grid_id", "row", "col", mask).groupBy("grid_id").applyInPandas(run, f"grid_id {kind}, row int, col int, component long")
+    own = cells.select("grid_id", "row", "col", mask)
+    most = own.agg(F.max(F.greatest("row", "col"))).first()[0]
+    if most is None or most < tile:
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            found = label(dense(pdf, mask, False).astype(bool), diagonal)
+            at = np.argwhere(found >= 0)
+            return pd.DataFrame({"grid_id": pdf["grid_id"].iloc[0], "row": at[:, 0].astype("int32"), "col": at[:, 1].astype("int32"), "component": found[found >= 0]})
+
+        return own.groupBy("grid_id").applyInPandas(whole, f"grid_id {kind}, row int, col int, component long")
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(pdf["row"].min()), int(pdf["col"].min())
+        found = label(dense(pdf.assign(row=pdf["row"] - top, col=pdf["col"] - left), mask, False).astype(bool), diagonal)
+        at = np.argwhere(found >= 0)
+        first = found[found >= 0]
+        wide = found.shape[1]
+        name = (first // wide + top) << 32 | (first % wide + left)
+        return pd.DataFrame({"grid_id": pdf["grid_id"].iloc[0], "row": (at[:, 0] + top).astype("int32"), "col": (at[:, 1] + left).astype("int32"), "component": name})
+
+    tiles = own.where(mask).groupBy("grid_id", F.floor(F.col("row") / tile), F.floor(F.col("col") / tile))
+    # Names hold the row and column of a part's first cell, so they are in the order of flat indices.
+    parts = staged(tiles.applyInPandas(part, f"grid_id {kind}, row int, col int, component long"), "parts")
+    rim = parts.where((F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1))
+    ahead = [(0, 1), (1, 0), (1, 1), (1, -1)] if diagonal else [(0, 1), (1, 0)]
+    spots = F.explode(F.array(*(F.struct((F.col("row") + r).alias("row"), (F.col("col") + c).alias("col")) for r, c in ahead)))
+    links = rim.select("grid_id", F.col("component").alias("u"), spots.alias("at")).select("grid_id", "at.row", "at.col", "u").join(rim.withColumnRenamed("component", "v"), ["grid_id", "row", "col"])
+    names = contract(links.where("u <> v").select("grid_id", "u", "v").distinct(), ["grid_id"])
+    wide = own.groupBy("grid_id").agg((F.max("col") + 1).cast("long").alias("_wide"))
+    named = renamed(parts, names, "component", ["grid_id"]).join(wide, "grid_id")
+    flat = F.shiftright("component", 32) * F.col("_wide") + F.col("component").bitwiseAND(0xFFFFFFFF)
+    return named.select("grid_id", "row", "col", flat.alias("component"))
 
 
 def anchored(labelled: DataFrame, anchors: DataFrame) -> DataFrame:

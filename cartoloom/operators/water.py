@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.stage import staged
+from .components import contract, renamed
 from .mesh import terrain_solid
 from .overlay import TRIANGLES, as_rings, boxed, slabs, triangulated
 from .profile import body_levels, flatten_under
@@ -32,7 +33,7 @@ def ocean(cells: DataFrame, coast: DataFrame, cell_w: float, cell_h: float, rows
 
     Cells that a line crosses part the grid (row 0 at y = 0); of the regions left, connected 4 ways, those are sea that touch
     the border and have more line to whose right they lie (at half a ``strip``, or one cell) than to whose left.
-    ``coast``: ``grid_id, x0, y0, x1, y1``. Regions are exact to the size of a cell; a grid is one group.
+    ``coast``: ``grid_id, x0, y0, x1, y1``. Regions are exact to the size of a cell.
     """
     marks = _along(coast, min(cell_w, cell_h) / 4)
     spot = lambda d: (F.floor((F.col("y") + d * F.col("ry")) / cell_h).cast("int").alias("row"), F.floor((F.col("x") + d * F.col("rx")) / cell_w).cast("int").alias("col"))
@@ -50,18 +51,11 @@ def ocean(cells: DataFrame, coast: DataFrame, cell_w: float, cell_h: float, rows
 def clusters(polygons: DataFrame, cell: float, key: str = "water_id") -> DataFrame:
     """``key, cluster``: polygons whose boxes overlap, directly or by others, named by their smallest key.
 
-    The smallest name spreads one overlap a round, until none changes.
+    Overlaps are contracted, so a long row of ponds takes few rounds.
     """
     flat = boxed(polygons).select(key, "min_x", "min_y", "max_x", "max_y")
-    pairs = staged(box_overlaps(flat, cell, key, least=0.0).select("a", "b"), "overlaps")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    names = flat.select(key, F.col(key).alias("cluster"))
-    while True:
-        told = both.join(names, F.col("a") == F.col(key)).groupBy(F.col("b").alias(key)).agg(F.min("cluster").alias("_told"))
-        new = staged(names.join(told, key, "left").select(key, F.least("cluster", "_told").alias("cluster"), (F.col("_told") < F.col("cluster")).alias("_moved")), "clusters")
-        names = new.select(key, "cluster")
-        if new.where("_moved").isEmpty():
-            return names
+    names = contract(box_overlaps(flat, cell, key, least=0.0).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return renamed(flat.select(key, F.col(key).alias("cluster")), names, "cluster")
 
 
 def merged_bodies(polygons: DataFrame, plate: tuple[float, float, float, float], tolerance: float = 0.1, cell: float = 16.0, key: str = "water_id") -> DataFrame:

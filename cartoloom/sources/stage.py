@@ -39,13 +39,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more; other DataFrames are passed over."""
+    for table in tables:
+        files = set(table.inputFiles())
+        for own in [m for m in _made if any(f"/{m[1].rsplit('/', 1)[1]}/" in f for f in files)]:
+            _made.remove(own)
+            _delete(*own)
+
+
+def _delete(spark, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session may have ended
+        pass
+
+
 def _clear() -> None:
-    for spark, path in _made:
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may have ended
-            pass
+    for made in _made:
+        _delete(*made)
     for path in _own:
         shutil.rmtree(path, ignore_errors=True)
 

@@ -231,6 +231,22 @@ def route_membership(cells: DataFrame, pairs: DataFrame, width: float, key: str
     return kept.select(*cells.columns, key).distinct()
 
 
+def near_stations(points: DataFrame, pairs: DataFrame, reach: float, key: str = "route_id", point_key: str = "vid") -> DataFrame:
+    """Nearest station of each point on its own line, for points within ``reach`` of it; of equal distances the earliest segment.
+
+    Points and segments meet through grid bins, so a long line costs no more than its neighbourhoods. Points further away have no row.
+    """
+    boxed = pairs.select(key, "seq", "x0", "y0", "x1", "y1", "length", "station", *((f(a, b) + s * reach).alias(n) for n, f, a, b, s in (("min_x", F.least, "x0", "x1", -1), ("max_x", F.greatest, "x0", "x1", 1), ("min_y", F.least, "y0", "y1", -1), ("max_y", F.greatest, "y0", "y1", 1))))
+    asked = points.select(F.col(key).alias("_own"), point_key, "x", "y")
+    both = points_in_boxes(asked, boxed, max(4 * reach, 1.0), closed=True).where(F.col("_own") == F.col(key))
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    size = dx * dx + dy * dy
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / F.when(size > 0, size))), F.lit(0.0))
+    gap = F.hypot(F.col("x") - F.col("x0") - t * dx, F.col("y") - F.col("y0") - t * dy)
+    best = F.min(F.struct(gap.alias("distance"), F.col("seq").alias("seq"), (F.col("station") + t * F.col("length")).alias("station")))
+    return both.groupBy(key, point_key).agg(best.alias("b")).where(F.col("b.distance") <= reach).select(key, point_key, "b.station")
+
+
 def roads_without_route(cells: DataFrame, roads: DataFrame, route: DataFrame, road_width: float, route_width: float, cell: float | None = None) -> DataFrame:
     """Cells of roads (round ends) that no route (flat ends) covers; ``roads`` and ``route`` are segments."""
     road = route_membership(cells, roads, road_width, flat=False, cell=cell).select(*cells.columns).distinct()

@@ -10,6 +10,17 @@ from ..sources.settings import merged
 from ..sources.stage import staged
 
 
+def draped_body(body: DataFrame, pairs: DataFrame, sample, width: float, visible: float, longest: float, distance: float, slope: float, key: str = "route_id") -> DataFrame:
+    """Triangles of a line's body, made finer and set on the ground along the line, thickness kept."""
+    kind = dict(pairs.dtypes)[key]
+    vertices, faces = mesh.refine(*mesh.indexed(body, key), longest)
+    own = vertices.select(F.col("layer").cast(kind).alias(key), "vid", "x", "y", "z")
+    stations = spatial.near_stations(own, pairs, width, key)
+    lifted = profile.drape_route(own.select(key, "vid", "z"), stations, pairs, sample, width, visible, distance, slope, key)
+    vertices = staged(vertices.drop("z").join(lifted.select(F.col(key).cast("string").alias("layer"), "vid", "z"), ["layer", "vid"]), "draped")
+    return mesh.corners(vertices, faces).select(F.col("layer").cast(kind).alias(key), "fid", "a", "b", "c", *(f"{p}{k}" for p in "abc" for k in "xyz"))
+
+
 def plan_map(points: DataFrame, elevation: DataFrame | None = None, roads: DataFrame | None = None, houses: DataFrame | None = None, waters: DataFrame | None = None, overrides: dict | None = None, shape: tuple[int, int] | None = None) -> dict[str, DataFrame]:
     """Tables of a map of one route.
 
@@ -53,7 +64,8 @@ def plan_map(points: DataFrame, elevation: DataFrame | None = None, roads: DataF
     slope = spark.range(1).select(frames.route_slope(F.lit(cfg["route_layer_height_mm"]))).first()[0]
     out["route_profile"] = profile.slope_limited(need, slope)
     levels = out["frame"].select("route_id", F.lit(-float(cfg["feature_embed_depth"])).alias("bottom"), F.lit(float(height)).alias("top"))
-    out["route_body"] = overlay.region_prisms(overlay.union(overlay.corridors(pairs, cfg["route_width"]), "route_id"), levels, "route_id")
+    body = overlay.region_prisms(overlay.union(overlay.corridors(pairs, cfg["route_width"]), "route_id"), levels, "route_id")
+    out["route_body"] = draped_body(body, pairs, ground, cfg["route_width"], float(height), cfg["route_mesh_max_edge_mm"], cfg["route_terrain_smoothing_distance_mm"], slope)
     out["markers"] = frames.markers(out["route"], cfg["route_markers"], cfg["route_marker_diameter_mm"])
     if roads is not None:
         out["roads"] = tags.printable_roads(roads, cfg["style_profile"], tuple(cfg["excluded_road_service_types"]), tuple(cfg["excluded_road_access"]))

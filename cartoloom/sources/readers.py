@@ -3,46 +3,45 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.geo import exposed, plausible_elevation, recode
 from ..operators.spatial import inside_ring, point_inside
 
-_POINT = T.StructType([T.StructField("_lat", T.DoubleType()), T.StructField("_lon", T.DoubleType()), T.StructField("ele", T.DoubleType())])
-
-
-def _gpx_schema(prefix: str) -> T.StructType:
-    nest = lambda name, inner: T.StructType([T.StructField(prefix + name, T.ArrayType(inner))])
-    point = T.StructType([*_POINT.fields[:2], T.StructField(prefix + "ele", T.DoubleType())])
-    return nest("trk", nest("trkseg", nest("trkpt", point)))
+_GPX = "trk array<struct<trkseg: array<struct<trkpt: array<struct<_lat: double, _lon: double, ele: double>>>>>>"
 
 
 def read_gpx(spark: SparkSession, path: str, required: bool = True) -> DataFrame:
     """``route_id, seq, lat, lon, ele`` of every track point in document order, over all tracks and segments.
 
-    A file is a route, named by its path. Documents with and without a namespace are read, whatever prefix their elements
-    have; the prefixes are found by a pass over the files' lines. Without any point and with ``required`` it is an error.
+    A file is a route, named by its path. Without any point and with ``required`` it is an error.
     """
-    opening = r"<((?:[A-Za-z_][A-Za-z0-9_.-]*:)?)gpx(?:[\s>]|$)"
-    lines = spark.read.text(path).where(F.col("value").rlike(opening))
-    found = lines.select(F.regexp_extract("value", opening, 1).alias("prefix")).distinct().limit(100).collect()
-    parts = []
-    for prefix in sorted(r["prefix"] for r in found) or [""]:
-        raw = spark.read.format("xml").option("rowTag", f"{prefix}gpx").schema(_gpx_schema(prefix)).load(path)
-        trk, seg, pt = f"{prefix}trk", f"{prefix}trkseg", f"{prefix}trkpt"
-        nested = F.transform(F.coalesce(F.col(f"`{trk}`"), F.array()), lambda t: F.flatten(F.transform(F.coalesce(t[seg], F.array()), lambda s: F.coalesce(s[pt], F.array()))))
-        points = raw.select(F.col("_metadata.file_path").alias("route_id"), F.posexplode(F.flatten(nested)).alias("seq", "p"))
-        parts.append(points.select("route_id", "seq", F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.col("p")[f"{prefix}ele"].alias("ele")))
-    out = reduce(DataFrame.unionByName, parts).where("lat is not null and lon is not null")
+    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("route_id"), "value")
+    out = gpx_points(files, "route_id", "value")
     if required and out.isEmpty():
         raise ValueError(f"no track points in {path}")
     return out
 
 
+def gpx_points(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``route_id, seq, lat, lon, ele`` of the track points of GPX documents held as texts, one pass over them.
+
+    Documents with and without a namespace are read, whatever prefix their root and elements have: it is taken off the element names
+    before parsing. Points without a position, and documents that are null or no well-formed GPX, give no rows.
+    """
+    text = F.regexp_replace(text_col, "^\\uFEFF", "")
+    prefix = F.regexp_extract(text, r"<([A-Za-z_][A-Za-z0-9_.-]*:)gpx[\s>]", 1)
+    plain = F.replace(F.replace(text, F.concat(F.lit("<"), prefix), F.lit("<")), F.concat(F.lit("</"), prefix), F.lit("</"))
+    is_gpx = plain.rlike(r"<gpx[\s/>]")
+    read = F.from_xml(F.when(is_gpx, F.when(prefix == "", text).otherwise(plain)), _GPX)
+    each = lambda items, f: F.flatten(F.transform(F.coalesce(items, F.array()), f))
+    points = each(F.col("_gpx.trk"), lambda t: each(t["trkseg"], lambda s: F.coalesce(s["trkpt"], F.array())))
+    rows = documents.select(F.col(id_col).alias("route_id"), read.alias("_gpx")).select("route_id", F.posexplode(points).alias("seq", "p"))
+    return rows.select("route_id", "seq", F.col("p._lat").alias("lat"), F.col("p._lon").alias("lon"), F.col("p.ele").alias("ele")).where("lat is not null and lon is not null")
+
+
 _FEATURES = "features array<struct<id:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 
 

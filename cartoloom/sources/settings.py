@@ -17,6 +17,7 @@ DEFAULTS: dict = {
     "route_height": None,
     "route_width": 1.2,
     "route_layer_height_mm": 0.16,
+    "route_mesh_max_edge_mm": 2.4,
     "route_terrain_smoothing_distance_mm": 1.5,
     "route_markers": "none",
     "route_marker_diameter_mm": 3.2,

@@ -267,15 +267,52 @@ def test_open_mesh_is_reported(spark):
     assert "inconsistent_winding" in {r["code"] for r in mesh.audit(v, turned).collect()}
 
 
-def test_refinement_keeps_surface_closed():
-    v = np.array([[0, 0, 0], [4, 0, 0], [0, 4, 0], [0, 0, 4]], float)
-    f = np.array([[0, 2, 1], [0, 1, 3], [1, 2, 3], [2, 0, 3]])
-    points, faces = mesh.refine(v, f, 1.5)
-    edges = np.stack([faces, np.roll(faces, -1, axis=1)], axis=2).reshape(-1, 2)
-    assert np.linalg.norm(points[edges[:, 0]] - points[edges[:, 1]], axis=1).max() <= 1.5 + 1e-9
-    assert (np.unique(np.sort(edges, axis=1), axis=0, return_counts=True)[1] == 2).all()
-    tri = points[faces]
-    assert np.einsum("ij,ij->i", tri[:, 0], np.cross(tri[:, 1], tri[:, 2])).sum() / 6 == pytest.approx(64 / 6)
+def refined_plainly(points, faces, longest):
+    """Halve edges face by face, with the middles in a dictionary."""
+    points, faces = [tuple(p) for p in points], [tuple(f) for f in faces]
+    size = lambda p, q: sum((a - b) ** 2 for a, b in zip(points[p], points[q], strict=True)) ** 0.5
+    middle = {}
+    for f in faces:
+        for p, q in zip(f, f[1:] + f[:1], strict=True):
+            if size(p, q) > longest and (min(p, q), max(p, q)) not in middle:
+                middle[min(p, q), max(p, q)] = len(points)
+                points.append(tuple((a + b) / 2 for a, b in zip(points[p], points[q], strict=True)))
+    return points, {(min(p, q), max(p, q)) for f in faces for p, q in zip(f, f[1:] + f[:1], strict=True)}, middle
+
+
+def tetrahedron(spark, layer="t", shift=0.0):
+    at = [(0.0, 0.0, 0.0), (4.0, 0.0, 0.0), (0.0, 4.0, 0.0), (0.0, 0.0, 4.0)]
+    v = spark.createDataFrame([(layer, k, x + shift, y, z) for k, (x, y, z) in enumerate(at)], mesh.VERTICES)
+    return v, spark.createDataFrame([(layer, k, *f) for k, f in enumerate([(0, 2, 1), (0, 1, 3), (1, 2, 3), (2, 0, 3)])], mesh.FACES)
+
+
+def test_refinement_keeps_surface_closed(spark):
+    (v, f), (v2, f2) = tetrahedron(spark), tetrahedron(spark, "u", 9.0)
+    points, faces = mesh.refine(v.unionByName(v2), f.unionByName(f2), 1.5)
+    tri = mesh.corners(points, faces)
+    assert mesh.edge_defects(faces).where("open_edges + overused_edges + winding_defects > 0").count() == 0
+    assert {r["layer"]: round(r["volume_mm3"], 9) for r in mesh.volumes(tri).collect()} == {"t": round(64 / 6, 9), "u": round(64 / 6, 9)}
+    size = F.sqrt(sum((F.col(f"a{k}") - F.col(f"b{k}")) ** 2 for k in "xyz"))
+    assert tri.agg(F.max(size)).first()[0] <= 1.5 + 1e-9
+    assert points.groupBy("layer", "vid").count().where("count > 1").count() == 0 and faces.groupBy("layer", "fid").count().where("count > 1").count() == 0
+    # One pass puts in exactly the middles of the edges above the limit, and keeps the others.
+    once, cut = mesh.refine(v, f, 4.5, passes=1, partial=True)
+    want, _, middle = refined_plainly([r[2:] for r in v.orderBy("vid").collect()], [r[2:] for r in f.orderBy("fid").collect()], 4.5)
+    assert sorted(tuple(r[2:]) for r in once.collect()) == sorted(want) and len(middle) == 3
+    assert cut.count() == 4 + 3 + 3 and mesh.edge_defects(cut).where("open_edges + overused_edges + winding_defects > 0").count() == 0
+    with pytest.raises(ValueError, match="pass limit"):
+        mesh.refine(v, f, 0.5, passes=1)
+
+
+def test_refinement_stays_in_its_region(spark):
+    v, f = mesh.base_plate(spark, 16.0, 4.0)
+    ring = [[(-1.0, -1.0), (3.0, -1.0), (3.0, 5.0), (-1.0, 5.0)]]
+    region = spark.createDataFrame([(ring,)], "rings array<array<struct<x: double, y: double>>>")
+    points, faces = mesh.refine(v, f, 1.0, passes=3, partial=True, region=region)
+    assert mesh.edge_defects(faces).where("open_edges + overused_edges + winding_defects > 0").count() == 0
+    tri = mesh.corners(points, faces)
+    left, right = (tri.where(w).count() for w in ("greatest(ax, bx, cx) <= 4", "least(ax, bx, cx) >= 8"))
+    assert left > right > 0 and mesh.volumes(tri).first()["volume_mm3"] == pytest.approx(128.0)
 
 
 def test_fans_on_overused_edges_are_parted():

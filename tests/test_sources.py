@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from cartoloom.operators import buildings, mesh
+from cartoloom.operators import buildings, frames, mesh, raster
 from cartoloom.plans.mapmaker import plan_map
 from cartoloom.sources import readers, settings, sinks
 from cartoloom.streaming import sessions
@@ -26,6 +26,16 @@ def test_gpx_without_points(spark, tmp_path):
         readers.read_gpx(spark, str(tmp_path / "t.gpx"))
 
 
+def test_gpx_of_any_prefix_in_one_pass(spark, tmp_path):
+    for k in range(150):
+        (tmp_path / f"{k}.gpx").write_text(GPX.format(p=f"ns{k}:", ns=f' xmlns:ns{k}="urn:x"').replace("<?xml version", "\ufeff<?xml version" if k % 50 == 0 else "<?xml version"))
+    (tmp_path / "broken.gpx").write_text("<gpx><trk>")
+    (tmp_path / "other.gpx").write_text("<kml></kml>")
+    got = readers.read_gpx(spark, str(tmp_path / "*.gpx"))
+    assert got.count() == 450 and got.select("route_id").distinct().count() == 150
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_geojson_mixes_types(spark, tmp_path):
     square = [[0, 0], [2, 0], [2, 2], [0, 0]]
     shapes = [("LineString", [[0, 0], [1, 1]], {"highway": "primary", "name": None}), ("Polygon", [square, [[1, 0.5], [1.2, 0.5], [1.2, 0.6], [1, 0.5]]], {"height": 9, "building:levels": 4}), ("MultiPolygon", [[square], [square]], {"natural": "water"}), ("Point", [3, 4], {})]
@@ -113,6 +123,25 @@ def test_whole_map(spark):
     assert out["buildings"].first()["height_source"] == "height"
 
 
+def test_route_body_stands_on_a_slope(spark):
+    shape = (12, 15)
+    pts = spark.createDataFrame([("r", k, 29.7 + 0.01 * k, -95.4 + 0.013 * ((k * k) % 5)) for k in range(5)], "route_id string, seq int, lat double, lon double")
+    hills = spark.createDataFrame([(0, r, c, 40.0 * r + 25.0 * c + 300.0 * ((r + c) % 3 == 0)) for r in range(shape[0]) for c in range(shape[1])], "grid_id int, row int, col int, elev double")
+    cfg = settings.merged(None)
+    out = plan_map(pts, elevation=hills, shape=shape)
+    body = out["route_body"].withColumn("layer", F.col("route_id"))
+    assert mesh.edge_defects(body.select("layer", "fid", "a", "b", "c")).where("open_edges + overused_edges + winding_defects > 0").count() == 0
+    assert mesh.volumes(body).first()["volume_mm3"] > 0
+    size = frames.Plate(cfg[o := frames.orientation(pts).first()["orientation"]]["map_width"], cfg[o]["map_height"], cfg["margin"]).for_border(cfg["flat_border_enabled"])
+    up = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
+    v, _ = mesh.indexed(body.where(up > 1e-9), "route_id")
+    at = v.select("vid", "x", "y", "z", F.lit(0).alias("grid_id"), ((size.height - F.col("y")) * (shape[0] - 1) / size.height).alias("f_row"), (F.col("x") * (shape[1] - 1) / size.width).alias("f_col"))
+    met = raster.bilinear(at, out["surface"], "h_mm", *shape).select(F.col("z").alias("top"), F.col("sample").alias("ground")).collect()
+    visible = frames.route_height(cfg["style_profile"], cfg["route_height"])
+    assert len(met) > 50 and max(r["ground"] for r in met) > 1.0
+    assert min(r["top"] - r["ground"] for r in met) > 0.98 * visible
+
+
 def test_sessions_stream_like_batches(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     batch = {tuple(r) for r in sessions.tumbling_counts(events).select("start", "event_type", "n").collect()}

@@ -6,8 +6,9 @@ on that (union, difference, intersection) leaves trapezoids. Corners on the line
 by both sides, which makes the trapezoids one conforming set of triangles, and a triangulation without a
 library: holes, several parts and touching corners need no special care.
 
-Kernels are numpy and work on one group (an outline with its parts, a cluster of water polygons, one
-footprint); groups are dealt by their key. Rings are ``ARRAY<STRUCT<x,y>>``, even-odd within a polygon.
+Kernels are numpy and work on one tile of a group (a route, an outline with its parts), on a cluster of water polygons or one
+footprint; groups are dealt by key and tile. Polygons are cut along tile borders before, and trapezoids of neighbouring
+tiles are sewn together where a body is made of them. Rings are ``ARRAY<STRUCT<x,y>>``, even-odd within a polygon.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .spatial import binned
 
 Rings = list[np.ndarray]
 SNAP = 1e-9
+TILE = 32.0  # side of the squares in which groups of polygons are overlaid
 TRAPEZOIDS = "x0 double, x1 double, low0 double, low1 double, high0 double, high1 double"
 TRIANGLES = "fid long, a long, b long, c long, " + ", ".join(f"{p}{k} double" for p in "abc" for k in "xyz")
 
@@ -104,19 +106,85 @@ def slabs(polygons: list[Rings], keep: Callable[[np.ndarray], bool], creases: li
     return made[_areas(made) > 1e-12]
 
 
+def swept(polygons: list[Rings], role: np.ndarray, rule: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 1 << 20) -> np.ndarray:
+    """Like :func:`slabs` for a rule on how many polygons of role 0 and of role 1 hold a place; all slabs at once, ``most`` edges at a time."""
+    lines, owner, xs = _edges(polygons, [])
+    if not len(lines):
+        return np.zeros((0, 6))
+    xs = np.sort(np.concatenate([xs, _crossings(lines)]))
+    xs = xs[np.concatenate([[True], np.diff(xs) > SNAP])]
+    middle = (xs[:-1] + xs[1:]) / 2
+    slope = (lines[:, 3] - lines[:, 1]) / (lines[:, 2] - lines[:, 0])
+    first, last = np.searchsorted(middle, lines[:, 0], "right"), np.searchsorted(middle, lines[:, 2], "left")
+    open_ = np.cumsum(np.bincount(first, minlength=len(xs) + 1) - np.bincount(last, minlength=len(xs) + 1))[: len(middle)]
+    part = np.cumsum(open_) // most
+    out = [np.zeros((0, 6))]
+    for a, b in ((int(c[0]), int(c[-1]) + 1) for c in np.split(np.arange(len(middle)), np.flatnonzero(np.diff(part)) + 1) if len(c)):
+        edge = np.flatnonzero((first < b) & (last > a))
+        start, size = np.maximum(first[edge], a), np.minimum(last[edge], b) - np.maximum(first[edge], a)
+        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size)
+        edge = np.repeat(edge, size)
+        at = lambda e, x: lines[e, 1] + slope[e] * (x - lines[e, 0])
+        order = np.lexsort((at(edge, middle[k]), k))
+        edge, k = edge[order], k[order]
+        # Going up, a polygon's first edge enters it, its second one leaves it, and so on.
+        by = np.lexsort((owner[edge], k))
+        group = np.flatnonzero(np.diff(owner[edge][by], prepend=-2) | np.diff(k[by], prepend=-1))
+        rank = np.arange(len(by)) - np.repeat(group, np.diff(np.append(group, len(by))))
+        sign = np.empty(len(by), np.int64)
+        sign[by] = 1 - 2 * (rank % 2)
+        kind = role[owner[edge]]
+        kept = rule(np.cumsum(np.where(kind == 0, sign, 0)), np.cumsum(np.where(kind == 1, sign, 0)))
+        before = np.concatenate([[False], kept[:-1]])
+        low, high = np.flatnonzero(kept & ~before), np.flatnonzero(~kept & before)
+        x0, x1 = xs[k[low]], xs[k[low] + 1]
+        out.append(np.stack([x0, x1, at(edge[low], x0), at(edge[low], x1), at(edge[high], x0), at(edge[high], x1)], 1))
+    made = np.concatenate(out)
+    return made[_areas(made) > 1e-12]
+
+
 def _areas(traps: np.ndarray) -> np.ndarray:
     return (traps[:, 1] - traps[:, 0]) * (traps[:, 4] - traps[:, 2] + traps[:, 5] - traps[:, 3]) / 2 if len(traps) else np.zeros(0)
 
 
+def _snapped(x: np.ndarray) -> np.ndarray:
+    """Numbers that differ by rounding only, made equal."""
+    order = np.argsort(x, kind="stable")
+    own = x[order]
+    first = np.concatenate([[True], np.diff(own) > 10 * SNAP])
+    out = np.empty_like(x)
+    out[order] = own[first][np.cumsum(first) - 1]
+    return out
+
+
 def triangulated(traps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points and counter-clockwise triangles that fill the trapezoids and meet corner to corner."""
+    """Points and counter-clockwise triangles that fill the trapezoids and meet corner to corner.
+
+    Trapezoids of several tiles may come together: a level edge gets the corners that its neighbours across it have.
+    """
     if not len(traps):
         return np.zeros((0, 2)), np.zeros((0, 3), int)
+    traps = traps.copy()
+    traps[:, :2] = _snapped(traps[:, :2].ravel()).reshape(-1, 2)
+    traps = traps[traps[:, 1] > traps[:, 0]]
     # Heights on a line between slabs come from different edges; those that differ by rounding only are one corner.
     marks: dict[float, np.ndarray] = {}
     for x in np.unique(traps[:, :2]):
         ys = np.sort(np.concatenate([traps[traps[:, 0] == x][:, [2, 4]].ravel(), traps[traps[:, 1] == x][:, [3, 5]].ravel()]))
         marks[x] = ys[np.concatenate([[True], np.diff(ys) > 10 * SNAP])]
+    level: dict[float, np.ndarray] = {}
+    for low in (2, 4):
+        flat = traps[np.abs(traps[:, low] - traps[:, low + 1]) <= SNAP]
+        for y in np.unique(np.round(flat[:, low], 7)):
+            own = flat[np.abs(flat[:, low] - y) < 1e-6][:, :2].ravel()
+            level[y] = np.unique(np.concatenate([level.get(y, own[:0]), own]))
+
+    def between(x0: float, x1: float, y0: float, y1: float) -> list[float]:
+        if abs(y0 - y1) > SNAP:
+            return []
+        own = level[np.round(y0, 7)]
+        return own[np.searchsorted(own, x0, "right") : np.searchsorted(own, x1, "left")].tolist()
+
     points: dict[tuple[float, float], int] = {}
     number = lambda x, y: points.setdefault((x, y), len(points))
     faces = []
@@ -128,11 +196,21 @@ def triangulated(traps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             sides.append([(x, y) for y in ys[max(first, 0) : max(first, last, 0) + 1].tolist()])
         left, right = sides
         i = j = 0
+        made = len(faces)
         while i < len(left) - 1 or j < len(right) - 1:
             up_left = i < len(left) - 1 and (j == len(right) - 1 or (left[i + 1][1] - low0) * max(high1 - low1, SNAP) <= (right[j + 1][1] - low1) * max(high0 - low0, SNAP))
             third = left[i + 1] if up_left else right[j + 1]
             faces.append((number(*left[i]), number(*right[j]), number(*third)))
             i, j = (i + 1, j) if up_left else (i, j + 1)
+        for inner, a, b, first in ((between(x0, x1, low0, low1), left[0], right[0], True), (between(x0, x1, high0, high1)[::-1], right[-1], left[-1], False)):
+            if inner and a[0] != b[0] and len(faces) > made:
+                # The face on the level edge becomes a fan of its third corner.
+                at = made if first else len(faces) - 1
+                p, q = number(*a), number(*b)
+                apex = next(v for v in faces[at] if v not in (p, q))
+                chain = [p, *(number(x, a[1]) for x in inner), q]
+                fan = [(u, v, apex) for u, v in zip(chain, chain[1:], strict=False)]
+                faces[at : at + 1] = fan if first else fan[::-1]
     return np.array(list(points), float), np.array(faces, int).reshape(-1, 3)
 
 
@@ -514,23 +592,81 @@ def stadiums(table: DataFrame, rings: str = "rings", recipe: StadiumRecipe | Non
     return _bodies(table, key, [rings], make)
 
 
-def _overlaid(table: DataFrame, key: str, rule: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
-    """Trapezoids of each group of ``key, role, rings`` where ``rule(role of each polygon, inside)`` holds."""
+def _side(ring: np.ndarray, axis: int, at: float, above: bool) -> np.ndarray:
+    """The part of a ring on one side of a line ``x = at`` or ``y = at``, closed along the line."""
+    gap = ring[:, axis] - at
+    kept = gap >= 0 if above else gap <= 0
+    if kept.all():
+        return ring
+    after, there = np.roll(ring, -1, axis=0), np.roll(kept, -1)
+    share = np.where(kept != there, gap / np.where(kept != there, gap - np.roll(gap, -1), 1.0), 0.0)
+    cut = ring + share[:, None] * (after - ring)
+    cut[:, axis] = at
+    return np.stack([ring, cut], 1).reshape(-1, 2)[np.stack([kept, kept != there], 1).ravel()]
+
+
+def parted(rings: Rings, tile: float) -> Iterator[tuple[int, int, Rings]]:
+    """A polygon cut along the borders of square tiles: column, row and the rings inside. Halves are halved again, so a corner is cut few times."""
+    own = [r for r in rings if len(r) > 2]
+    if not own:
+        return
+    every = np.concatenate(own)
+    low, high = np.floor(every.min(axis=0) / tile).astype(int), np.maximum(np.ceil(every.max(axis=0) / tile).astype(int) - 1, np.floor(every.min(axis=0) / tile).astype(int))
+    stack = [(low.tolist(), high.tolist(), own)]
+    while stack:
+        first, last, held = stack.pop()
+        if first == last:
+            yield first[0], first[1], held
+            continue
+        axis = 0 if last[0] - first[0] >= last[1] - first[1] else 1
+        middle = (first[axis] + last[axis] + 1) // 2
+        for above in (False, True):
+            side = [r for r in (_side(x, axis, middle * tile, above) for x in held) if len(r) > 2]
+            if side:
+                ends = [first.copy(), last.copy()]
+                ends[0 if above else 1][axis] = middle if above else middle - 1
+                stack.append((*ends, side))
+
+
+RINGS = "array<array<struct<x: double, y: double>>>"
+
+
+def _overlaid(table: DataFrame, key: str, rule: Callable[[np.ndarray, np.ndarray], np.ndarray], tile: float) -> DataFrame:
+    """Trapezoids of each group of ``key, role, rings`` where a rule on the number of polygons of role 0 and 1 holds.
+
+    Polygons are cut along the borders of tiles first, and a task gets what lies in one tile of one group.
+    """
+    kind = dict(table.dtypes)[key]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                rows = [(r[key], c, d, r["role"], held) for r in batch.slice(start, 256).to_pylist() for c, d, held in parted(as_rings(r["rings"]), tile)]
+                own = [ring for r in rows for ring in r[4]]
+                at = np.concatenate([*own, np.zeros((0, 2))])
+                points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(at[:, i])) for i in (0, 1)], ["x", "y"])
+                ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]).astype(np.int32))
+                lists = pa.ListArray.from_arrays(ends([len(r[4]) for r in rows]), pa.ListArray.from_arrays(ends([len(x) for x in own]), points))
+                names = [key, "_column", "_row", "role", "rings"]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], batch.schema.field(key).type), *(pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2, 3)), lists], names)
 
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(group.select(["role", "rings"]).to_pylist(), key=lambda r: (r["role"], str(r["rings"])))
         polygons, role = [as_rings(r["rings"]) for r in rows], np.array([r["role"] for r in rows])
-        traps = slabs(polygons, lambda s: rule(role, s))
+        traps = swept(polygons, role, rule)
         names = ["x0", "x1", "low0", "low1", "high0", "high1"]
         own = group.column(key)[0].as_py()
         return pa.table({key: pa.array([own] * len(traps), group.schema.field(key).type), **{n: pa.array(np.ascontiguousarray(traps[:, i], dtype=float)) for i, n in enumerate(names)}})
 
-    return table.select(key, "role", "rings").groupBy(key).applyInArrow(run, f"{key} {dict(table.dtypes)[key]}, {TRAPEZOIDS}")
+    if tile <= 0:
+        raise ValueError("tiles need a size")
+    pieces = table.select(key, F.col("role").cast("int").alias("role"), F.col("rings").cast(RINGS).alias("rings")).mapInArrow(cut, f"{key} {kind}, _column int, _row int, role int, rings {RINGS}")
+    return pieces.groupBy(key, "_column", "_row").applyInArrow(run, f"{key} {kind}, {TRAPEZOIDS}")
 
 
-def union(polygons: DataFrame, key: str) -> DataFrame:
-    """Trapezoids of the union of each group's polygons (``rings``); overlaps count once."""
-    return _overlaid(polygons.withColumn("role", F.lit(0)), key, lambda role, s: bool(s.any()))
+def union(polygons: DataFrame, key: str, tile: float = TILE) -> DataFrame:
+    """Trapezoids of the union of each group's polygons (``rings``), tile by tile; overlaps count once."""
+    return _overlaid(polygons.withColumn("role", F.lit(0)), key, lambda outer, inner: outer > 0, tile)
 
 
 def corridors(pairs: DataFrame, width: float, key: str = "route_id", flat: bool = True, sides: int = 32) -> DataFrame:
@@ -561,10 +697,10 @@ def boxed(polygons: DataFrame) -> DataFrame:
     return polygons.select("*", *(at(f, c).alias(f"{n}_{c}") for c in "xy" for n, f in (("min", F.array_min), ("max", F.array_max))))
 
 
-def remainders(outlines: DataFrame, parts: DataFrame, cell: float, key: str = "outline_id") -> DataFrame:
+def remainders(outlines: DataFrame, parts: DataFrame, cell: float, key: str = "outline_id", tile: float = TILE) -> DataFrame:
     """Trapezoids of each outline without the parts that stand in it; nothing is left of an outline that parts cover.
 
-    ``outlines``: ``key, rings``; ``parts``: ``rings``. Parts meet outlines through grid cells of their boxes, and an
+    ``outlines``: ``key, rings``; ``parts``: ``rings``. Parts meet outlines through grid cells of their boxes, and a tile of an
     outline is one group with the parts near it.
     """
     box = ("min_x", "min_y", "max_x", "max_y")
@@ -573,7 +709,7 @@ def remainders(outlines: DataFrame, parts: DataFrame, cell: float, key: str = "o
     near = left.join(right, ["_cx", "_cy"]).where("p_min_x < max_x AND min_x < p_max_x AND p_min_y < max_y AND min_y < p_max_y")
     near = near.select(key, F.lit(1).alias("role"), F.col("part").alias("rings")).distinct()
     both = outlines.select(key, F.lit(0).alias("role"), "rings").unionByName(near)
-    return _overlaid(both, key, lambda role, s: bool(s[role == 0].any() and not s[role == 1].any()))
+    return _overlaid(both, key, lambda outer, inner: (outer > 0) & (inner <= 0), tile)
 
 
 def region_areas(trapezoids: DataFrame, key: str) -> DataFrame:

@@ -64,7 +64,7 @@ def plan_map(points: DataFrame, elevation: DataFrame | None = None, roads: DataF
     slope = spark.range(1).select(frames.route_slope(F.lit(cfg["route_layer_height_mm"]))).first()[0]
     out["route_profile"] = profile.slope_limited(need, slope)
     levels = out["frame"].select("route_id", F.lit(-float(cfg["feature_embed_depth"])).alias("bottom"), F.lit(float(height)).alias("top"))
-    body = overlay.region_prisms(overlay.union(overlay.corridors(pairs, cfg["route_width"]), "route_id"), levels, "route_id")
+    body = overlay.region_prisms(overlay.union(overlay.corridors(pairs, cfg["route_width"]), "route_id", 16.0), levels, "route_id")
     out["route_body"] = draped_body(body, pairs, ground, cfg["route_width"], float(height), cfg["route_mesh_max_edge_mm"], cfg["route_terrain_smoothing_distance_mm"], slope)
     out["markers"] = frames.markers(out["route"], cfg["route_markers"], cfg["route_marker_diameter_mm"])
     if roads is not None:

@@ -332,6 +332,47 @@ def body_volume(body):
     return float(np.einsum("ij,ij->i", p[f[:, 0]], np.cross(p[f[:, 1]], p[f[:, 2]])).sum() / 6)
 
 
+def test_sweep_of_all_slabs_equals_one_by_one():
+    rng = np.random.default_rng(21)
+    for _ in range(12):
+        polygons = [[rng.random((rng.integers(3, 9), 2)) * 10 for _ in range(rng.integers(1, 3))] for _ in range(7)]
+        role = np.array([0, 0, 0, 0, 1, 1, 1])
+        plain = overlay.slabs(polygons, lambda s: bool(s[role == 0].any() and not s[role == 1].any()))
+        for most in (50, 1 << 20):
+            got = overlay.swept(polygons, role, lambda a, b: (a > 0) & (b <= 0), most)
+            assert overlay._areas(got).sum() == pytest.approx(overlay._areas(plain).sum()) and len(got) == len(plain)
+
+
+def test_parts_of_a_polygon_fill_it():
+    rng = np.random.default_rng(3)
+    area = lambda rings: abs(sum(float(np.dot(r[:, 0], np.roll(r[:, 1], -1)) - np.dot(r[:, 1], np.roll(r[:, 0], -1))) / 2 for r in rings))
+    for _ in range(30):
+        angle = np.sort(rng.random(17)) * 2 * np.pi
+        ring = np.stack([np.cos(angle), np.sin(angle)], 1) * (4 + 9 * rng.random((17, 1))) + rng.normal(size=2) * 5
+        hole = (ring - ring.mean(axis=0)) * 0.2 + ring.mean(axis=0)
+        parts = list(overlay.parted([ring, hole[::-1]], 2.5))
+        assert sum(area(p) for _, _, p in parts) == pytest.approx(area([ring, hole[::-1]])) and len({p[:2] for p in parts}) == len(parts) > 4
+        for column, row, own in parts:
+            at = np.concatenate(own) - np.array([column, row]) * 2.5
+            assert at.min() >= -1e-9 and at.max() <= 2.5 + 1e-9
+
+
+def test_tiles_give_the_union_of_the_whole(spark):
+    rng = np.random.default_rng(12)
+    walk = np.cumsum(rng.normal(size=(60, 2)) * 2.0, axis=0) + 20
+    points = spark.createDataFrame([("r", k, float(x), float(y)) for k, (x, y) in enumerate(walk)], "route_id string, seq int, x_mm double, y_mm double")
+    flat = overlay.corridors(spatial.segments(points), 1.2)
+    polygons = [overlay.as_rings(r["rings"]) for r in flat.collect()]
+    want = float(overlay._areas(overlay.slabs(polygons, lambda s: bool(s.any()))).sum())
+    levels = spark.createDataFrame([("r", 0.0, 2.0)], "route_id string, bottom double, top double")
+    for tile in (3.0, 7.0):
+        traps = overlay.union(flat, "route_id", tile)
+        assert overlay.region_areas(traps, "route_id").first()["area"] == pytest.approx(want, abs=1e-7)
+        body = overlay.region_prisms(traps, levels, "route_id").withColumn("layer", F.col("route_id"))
+        assert mesh.edge_defects(body.select("layer", "fid", "a", "b", "c")).where("open_edges + overused_edges + winding_defects > 0").count() == 0
+        assert mesh.volumes(body).first()["volume_mm3"] == pytest.approx(2 * want, abs=1e-6)
+
+
 def test_overlays_equal_cell_counts():
     rng = np.random.default_rng(7)
     for _ in range(25):

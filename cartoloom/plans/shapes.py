@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import buildings, frames, mesh, overlay, profile, raster, spatial, tags, water
+from ..operators import buildings, frames, mesh, outlines, overlay, profile, raster, spatial, tags, water
 from ..sources import readers
 from . import inputs as i
-from .inputs import BOXES, CELLS, LINES, SEGMENTS, SPOTS
+from .inputs import BOXES, CELLS, LINES, SEGMENTS, SPOTS, TRACKS
 from .registry import query, r6
 
 
@@ -294,3 +294,58 @@ def repaired_rings(spark, d):
     hole = F.when(F.expr("p_partkey % 2 = 0"), _box("1", "1", "2", "2")).otherwise(flat)
     fixed = i.table(spark, d, "part").select("p_partkey", spatial.repaired_rings(F.array(outline, hole)).alias("r"))
     return fixed.select("p_partkey", F.when(F.col("r").isNotNull(), F.size("r").cast("double")).alias("n_rings"), F.when(F.col("r").isNotNull(), F.size(F.col("r")[0]).cast("double")).alias("n_points"))
+
+
+@query(f"""WITH {CELLS}, c AS (SELECT grid_id, row, col FROM cells WHERE wc >= 5), n AS (SELECT grid_id, count(*) AS n FROM c GROUP BY grid_id),
+p AS (SELECT a.grid_id, count(*) AS p FROM c a JOIN c b ON a.grid_id = b.grid_id AND ((b.row = a.row AND b.col = a.col + 1) OR (b.col = a.col AND b.row = a.row + 1)) GROUP BY a.grid_id),
+corner AS (SELECT grid_id, row + dr AS r, col + dc AS k, list(dr * 2 + dc) AS held FROM c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS d(dr, dc) GROUP BY ALL),
+k AS (SELECT grid_id, sum(CASE WHEN len(held) IN (1, 3) THEN 1 WHEN len(held) = 2 AND list_sum(held) = 3 THEN 2 ELSE 0 END)::BIGINT AS corners, count(*) FILTER (WHERE len(held) = 4) AS b FROM corner GROUP BY grid_id)
+SELECT grid_id, n::DOUBLE AS area, 4 * n - 2 * p AS length, corners, n - p + b AS balance FROM n JOIN p USING (grid_id) JOIN k USING (grid_id)""")
+def mask_outlines(spark, d):
+    """Rings around the parts of a mask: enclosed area, length, corners, and outer rings less holes."""
+    rings = outlines.ring_areas(outlines.ring_points(i.cells(spark, d).withColumn("on", F.col("wc") >= 5), "on"))
+    return rings.groupBy("grid_id").agg(F.sum("area").alias("area"), F.sum("length").alias("length"), F.sum("corners").alias("corners"), F.sum(F.signum("area")).cast("long").alias("balance"))
+
+
+@query(f"""WITH RECURSIVE {LINES}, ends AS (SELECT route_id, min(seq) AS i, max(seq) AS j FROM lines GROUP BY route_id),
+cut(route_id, i, j) AS (SELECT route_id, i, j FROM ends UNION ALL
+  SELECT route_id, CASE WHEN side = 0 THEN i ELSE k END, CASE WHEN side = 0 THEN k ELSE j END FROM (
+    SELECT route_id, i, j, arg_max(seq, struct_pack(g := gap, s := -seq)) AS k, max(gap) AS gap FROM (
+      SELECT route_id, i, j, seq, (x - px - t * dx) * (x - px - t * dx) + (y - py - t * dy) * (y - py - t * dy) AS gap FROM (
+        SELECT *, coalesce(greatest(0e0, least(1e0, ((x - px) * dx + (y - py) * dy) / nullif(dx * dx + dy * dy, 0e0))), 0e0) AS t FROM (
+          SELECT cut.route_id, cut.i, cut.j, m.seq, m.x_mm AS x, m.y_mm AS y, a.x_mm AS px, a.y_mm AS py, b.x_mm - a.x_mm AS dx, b.y_mm - a.y_mm AS dy
+          FROM cut JOIN lines m ON m.route_id = cut.route_id AND m.seq > cut.i AND m.seq < cut.j JOIN lines a ON a.route_id = cut.route_id AND a.seq = cut.i JOIN lines b ON b.route_id = cut.route_id AND b.seq = cut.j)))
+    GROUP BY route_id, i, j), (VALUES (0), (1)) AS s(side) WHERE gap > 2500e0)
+SELECT DISTINCT route_id, seq FROM (SELECT route_id, i AS seq FROM cut UNION ALL SELECT route_id, j FROM cut)""")
+def simplified_lines(spark, d):
+    """Points of lines that are needed to stay within 50 mm."""
+    points = i.lines(spark, d).select("route_id", "seq", F.col("x_mm").alias("x"), F.col("y_mm").alias("y"))
+    return outlines.simplified(points, 50.0, "route_id").select("route_id", "seq")
+
+
+@query("""SELECT p_partkey * 8 AS component, p_partkey % 5 > 0 AND p_partkey % 4 <> 3 AS stands FROM part""")
+def shell_supports(spark, d):
+    """Boxes that rest on a strip of another one's top, or hang beside or above it."""
+    p = i.table(spark, d, "part").selectExpr("p_partkey AS p", "cast(p_partkey % 100 * 40 AS double) AS x", "floor(p_partkey / 100) * 40e0 AS y", "p_partkey % 5 * 0.3e0 AS s", "element_at(array(-1e0, 0e0, 0.02e0, 0.1e0), cast(p_partkey % 4 + 1 AS int)) AS gap")
+    boxes = {"low": ("x", "x + 10", "y", "y + 10", "0e0", "5e0"), "top": ("x + 10 - s", "x + 20 - s", "y + 2", "y + 8", "5 + gap", "9 + gap")}
+    quads = ((0, 2, 3, 1), (4, 5, 7, 6), (0, 1, 5, 4), (1, 3, 7, 5), (3, 2, 6, 7), (2, 0, 4, 6))
+    sides = [t for a, b, c, e in quads for t in ((a, b, c), (a, c, e))]
+    vertices, faces = [], []
+    for layer, (x0, x1, y0, y1, z0, z1) in boxes.items():
+        at = ", ".join(f"struct(p * 8 + {k} AS vid, cast({(x0, x1)[k & 1]} AS double) AS x, cast({(y0, y1)[k >> 1 & 1]} AS double) AS y, cast({(z0, z1)[k >> 2]} AS double) AS z)" for k in range(8))
+        vertices.append(p.selectExpr(f"'{layer}' AS layer", f"inline(array({at}))"))
+        three = ", ".join(f"struct(p * 12 + {n} AS fid, p * 8 + {a} AS a, p * 8 + {b} AS b, p * 8 + {c} AS c)" for n, (a, b, c) in enumerate(sides))
+        faces.append(p.selectExpr(f"'{layer}' AS layer", f"inline(array({three}))"))
+    found = mesh.supports(vertices[0].unionByName(vertices[1]), faces[0].unionByName(faces[1])).where("layer = 'top' AND s_layer = 'low'")
+    held = found.select("component", F.lit(True).alias("stands"))
+    return p.select((F.col("p") * 8).alias("component")).join(held, "component", "left").select("component", F.coalesce("stands", F.lit(False)).alias("stands"))
+
+
+@query(f"WITH {TRACKS} SELECT route_id, seq - 1 AS seq, lat, lon, (point_id % 500)::DOUBLE AS ele FROM tracks")
+def gpx_texts(spark, d):
+    """Tracks written as GPX texts, most with a prefix of their own, and read back."""
+    own = i.tracks(spark, d).withColumn("pre", F.expr("CASE WHEN route_id % 3 = 0 THEN '' ELSE concat('n', route_id, ':') END"))
+    point = F.expr("""concat('<', pre, 'trkpt lat="', lat, '" lon="', lon, '"><', pre, 'ele>', point_id % 500, '</', pre, 'ele></', pre, 'trkpt>')""")
+    whole = own.withColumn("point", point).groupBy("route_id", "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "point"))), lambda s: s["point"]), "").alias("points"))
+    text = whole.selectExpr("route_id", "concat('<', pre, 'gpx><', pre, 'trk><', pre, 'trkseg>', points, '</', pre, 'trkseg></', pre, 'trk></', pre, 'gpx>') AS text")
+    return readers.gpx_points(text, "route_id", "text").withColumn("seq", F.col("seq").cast("long"))

@@ -315,6 +315,22 @@ def test_refinement_stays_in_its_region(spark):
     assert left > right > 0 and mesh.volumes(tri).first()["volume_mm3"] == pytest.approx(128.0)
 
 
+def test_common_areas_of_triangles_equal_the_sweep():
+    rng = np.random.default_rng(13)
+    low, high = rng.random((300, 3, 2)) * 4, rng.random((300, 3, 2)) * 4
+    high[:20], low[20:40, 0] = low[:20], high[20:40, 0]
+    turn = np.cross(high[:, 1] - high[:, 0], high[:, 2] - high[:, 0])
+    high[turn < 0] = high[turn < 0][:, ::-1]
+    area, at = mesh.clipped_triangles(low, high)
+    for k in range(300):
+        want = float(overlay._areas(overlay.slabs([[low[k]], [high[k]]], lambda s: bool(s.all()))).sum())
+        assert area[k] == pytest.approx(want, abs=1e-9)
+        if want > 1e-9:
+            for tri in (low[k], high[k]):
+                side = np.cross(np.roll(tri, -1, axis=0) - tri, at[k] - tri)
+                assert (side > -1e-9).all() or (side < 1e-9).all()
+
+
 def test_fans_on_overused_edges_are_parted():
     tetra = lambda p, q, r, s: [[p, r, q], [p, q, s], [q, r, s], [r, p, s]]
     faces = np.array([*tetra(0, 1, 2, 3), *tetra(0, 1, 4, 5)])

@@ -424,23 +424,50 @@ class StadiumRecipe:
     closed_roof_band_height_mm: float = 0.48
 
     def problems(self) -> list[str]:
-        least, roofed = self.minimum_feature_mm, self.roof_style != "none"
-        closed = self.roof_style == "closed"
-        checks = [
-            (least >= 0.8, "the smallest feature must be at least 0.8 mm"),
-            (self.bowl_height_mm > 0, "the bowl must have a height"),
-            (self.tier_count >= 1, "there must be a tier"),
-            (self.roof_style in ("none", "asymmetric", "retractable", "closed"), f"unsupported roof style {self.roof_style!r}"),
-            (not roofed or self.roof_thickness_mm >= least, "the roof is thinner than the smallest feature"),
-            (not roofed or self.roof_support_width_mm >= least, "the roof's support is narrower than the smallest feature"),
-            (not roofed or self.roof_height_mm > self.bowl_height_mm, "the roof must be above the bowl"),
-            (not roofed or closed or 0.05 <= self.roof_coverage <= 0.9, "roof coverage must be within 0.05 and 0.9"),
-            (not roofed or 0 < self.support_overlap_mm < self.roof_thickness_mm, "the support's overlap must be positive and thinner than the roof"),
-            (not closed or self.closed_roof_band_count in (2, 3), "a closed roof has two or three bands"),
-            (not closed or self.closed_roof_band_width_mm >= least, "a band is narrower than the smallest feature"),
-            (not closed or self.closed_roof_band_height_mm > 0, "a band must have a height"),
-        ]
-        return [text for good, text in checks if not good]
+        """What :data:`LIMITS` forbid, as texts."""
+        given = vars(self)
+        value = lambda bound: given[bound] if isinstance(bound, str) else bound
+        found = [] if self.roof_style in STYLES else [f"roof_style must be one of {', '.join(STYLES)}"]
+        for limit in LIMITS:
+            own, low, high = given[limit.field], value(limit.low), value(limit.high)
+            inside = (low < own < high) if limit.strict else (low <= own <= high)
+            if self.roof_style in limit.styles and not inside:
+                found.append(limit.text)
+        return found
+
+
+@dataclass(frozen=True)
+class Limit:
+    """A field's range for some roof styles; bounds are numbers or names of other fields, and belong to the range unless ``strict``."""
+
+    field: str
+    low: float | str = -np.inf
+    high: float | str = np.inf
+    strict: bool = False
+    styles: tuple[str, ...] = ("none", "asymmetric", "retractable", "closed")
+
+    @property
+    def text(self) -> str:
+        ends = [f"{'above' if self.strict else 'at least'} {self.low}"] * (self.low != -np.inf) + [f"{'below' if self.strict else 'at most'} {self.high}"] * (self.high != np.inf)
+        return f"{self.field} must be {' and '.join(ends)}"
+
+
+# Roof styles, and the ranges within which a recipe can be printed.
+STYLES = ("none", "asymmetric", "retractable", "closed")
+OPENED = ("asymmetric", "retractable")
+LIMITS = (
+    Limit("bowl_height_mm", 0, strict=True),
+    Limit("closed_roof_band_count", 2, 3, styles=("closed",)),
+    Limit("closed_roof_band_height_mm", 0, strict=True, styles=("closed",)),
+    Limit("closed_roof_band_width_mm", "minimum_feature_mm", styles=("closed",)),
+    Limit("minimum_feature_mm", 0.8),
+    Limit("roof_coverage", 0.05, 0.9, styles=OPENED),
+    Limit("roof_height_mm", "bowl_height_mm", strict=True, styles=(*OPENED, "closed")),
+    Limit("roof_support_width_mm", "minimum_feature_mm", styles=(*OPENED, "closed")),
+    Limit("roof_thickness_mm", "minimum_feature_mm", styles=(*OPENED, "closed")),
+    Limit("support_overlap_mm", 0, "roof_thickness_mm", strict=True, styles=(*OPENED, "closed")),
+    Limit("tier_count", 1),
+)
 
 
 #: Roof style of each landmark recipe.
@@ -496,19 +523,28 @@ def stadium_bodies(outer: np.ndarray, recipe: StadiumRecipe, inner: np.ndarray |
         inner = mitred(outer, -max(3 * r.minimum_feature_mm, 0.2 * float((outer.max(axis=0) - outer.min(axis=0)).min())))
     if len(slabs([[outer], [inner]], lambda s: s[1] and not s[0])) or ring_gap(outer, inner) < r.minimum_feature_mm - 1e-6:
         raise ValueError("the opening must leave the smallest feature of bowl on every side")
-    turn = np.radians(r.roof_orientation_degrees)
     centre = area_and_centroid(slabs([[outer]], lambda s: s[0]))[1]
-    spin = np.array([[np.cos(turn), np.sin(turn)], [-np.sin(turn), np.cos(turn)]])
-    away = lambda ring: (ring - centre) @ spin.T
-    back = lambda body: (np.column_stack([body[0][:, :2] @ spin + centre, body[0][:, 2]]), body[1])
-    strip = lambda x0, x1, ring: np.array([(x0, ring[:, 1].min() - r.minimum_feature_mm), (x1, ring[:, 1].min() - r.minimum_feature_mm), (x1, ring[:, 1].max() + r.minimum_feature_mm), (x0, ring[:, 1].max() + r.minimum_feature_mm)])
-    out, own, hole = [], away(outer), away(inner)
+
+    def band(plan: np.ndarray, angle: float, first: float, last: float, of: np.ndarray, rule: Callable, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+        """A body over what a rule makes of the plan, the opening and a band across the plan, in a frame whose first axis has the angle."""
+        axis = np.array([np.cos(angle), np.sin(angle)])
+        frame = np.column_stack([axis, [-axis[1], axis[0]]])
+        flat, cut, limit = ((x - centre) @ frame for x in (plan, inner, of))
+        ends = limit[:, 1].min() - r.minimum_feature_mm, limit[:, 1].max() + r.minimum_feature_mm
+        start = limit[:, 0].min()
+        across = np.array([(start + first, ends[0]), (start + last, ends[0]), (start + last, ends[1]), (start + first, ends[1])])
+        points, faces = prism([[flat], [across], [cut]], rule, low, high)
+        return np.column_stack([points[:, :2] @ frame.T + centre, points[:, 2]]), faces
+
+    turn = np.radians(r.roof_orientation_degrees)
+    length = lambda ring: float(np.ptp((ring - centre) @ np.array([np.cos(turn), np.sin(turn)])))
+    out = []
     if r.roof_style == "closed":
         out.append(prism([[outer]], lambda s: s[0], 0.0, r.roof_height_mm))
-        x0, x1, half = own[:, 0].min(), own[:, 0].max(), r.closed_roof_band_width_mm / 2
-        for k in range(1, r.closed_roof_band_count + 1):
-            x = x0 + (x1 - x0) * k / (r.closed_roof_band_count + 1)
-            out.append(back(prism([[own], [strip(x - half, x + half, own)]], lambda s: s[0] and s[1], r.roof_height_mm - r.support_overlap_mm, r.roof_height_mm + r.closed_roof_band_height_mm)))
+        low, high = r.roof_height_mm - r.support_overlap_mm, r.roof_height_mm + r.closed_roof_band_height_mm
+        for share in np.arange(1, r.closed_roof_band_count + 1) / (r.closed_roof_band_count + 1):
+            middle, half = share * length(outer), r.closed_roof_band_width_mm / 2
+            out.append(band(outer, turn, middle - half, middle + half, outer, lambda s: s[0] and s[1], low, high))
         return out
     gap = ring_gap(outer, inner)
     if gap + 1e-6 < r.tier_count * r.minimum_feature_mm:
@@ -516,14 +552,13 @@ def stadium_bodies(outer: np.ndarray, recipe: StadiumRecipe, inner: np.ndarray |
     rims = [inner, *(mitred(inner, k * gap / r.tier_count) for k in range(1, r.tier_count)), outer]
     for k in range(r.tier_count):
         out.append(prism([[outer], [rims[k]], [rims[k + 1]]], lambda s: s[0] and s[2] and not s[1], 0.0, r.bowl_height_mm * (k + 1) / r.tier_count))
-    if r.roof_style != "none":
-        x0, x1, both = hole[:, 0].min(), hole[:, 0].max(), r.roof_style == "retractable"
-        cover, wide, lap = (x1 - x0) * r.roof_coverage / (2 if both else 1), r.roof_support_width_mm, r.support_overlap_mm
-        low = r.roof_height_mm - r.roof_thickness_mm
-        for side in ("west", "east") if both else (r.roof_side,):
-            panel, wall = ((x0 - wide, x0 + cover), (x0 - wide, x0 + lap)) if side == "west" else ((x1 - cover, x1 + wide), (x1 - lap, x1 + wide))
-            out.append(back(prism([[own], [hole], [strip(*wall, hole)]], lambda s: s[0] and s[2] and not s[1], 0.0, low + lap)))
-            out.append(back(prism([[own], [strip(*panel, hole)]], lambda s: s[0] and s[1], low, r.roof_height_mm)))
+    # A panel starts behind the opening's edge and reaches over it; seen from the other end, with the plan turned round, so does the second one.
+    behind = {"asymmetric": [r.roof_side != "west"], "retractable": [False, True]}.get(r.roof_style, [])
+    for opposite in behind:
+        angle, reach = turn + np.pi * opposite, length(inner) * r.roof_coverage / len(behind)
+        under = r.roof_height_mm - r.roof_thickness_mm
+        out.append(band(outer, angle, -r.roof_support_width_mm, r.support_overlap_mm, inner, lambda s: s[0] and s[1] and not s[2], 0.0, under + r.support_overlap_mm))
+        out.append(band(outer, angle, -r.roof_support_width_mm, reach, inner, lambda s: s[0] and s[1], under, r.roof_height_mm))
     return [b for b in out if len(b[1])]
 
 
@@ -578,18 +613,39 @@ def roofs(table: DataFrame, rings: str = "rings", shape: str = "roof_shape", eav
 
 
 def stadiums(table: DataFrame, rings: str = "rings", recipe: StadiumRecipe | None = None, key: str = "layer") -> DataFrame:
-    """Triangles of stadium masses; a second ring is the opening. A footprint that the recipe does not fit gives none."""
+    """Triangles of stadium masses; a second ring is the opening. A footprint that the recipe does not fit gives none; :func:`unfit_stadiums` tells why."""
+    own = _checked(recipe)
+    return _bodies(table, key, [rings], lambda r: _stadium(as_rings(r[rings]), own)[0])
 
-    def make(r: dict) -> list[tuple[np.ndarray, np.ndarray]]:
-        own = as_rings(r[rings])
-        try:
-            return stadium_bodies(own[0], recipe or StadiumRecipe(), own[1] if len(own) > 1 else None) if own else []
-        except ValueError:
-            return []
 
-    if recipe and recipe.problems():
-        raise ValueError("; ".join(recipe.problems()))
-    return _bodies(table, key, [rings], make)
+def unfit_stadiums(table: DataFrame, rings: str = "rings", recipe: StadiumRecipe | None = None, key: str = "layer") -> DataFrame:
+    """``key, problem`` of the footprints from which :func:`stadiums` makes no body."""
+    own, kind = _checked(recipe), dict(table.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(r[key], problem) for r in batch.to_pylist() if (problem := _stadium(as_rings(r[rings]), own)[1])]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], batch.schema.field(key).type), pa.array([f[1] for f in found], pa.string())], [key, "problem"])
+
+    return table.select(key, rings).mapInArrow(run, f"{key} {kind}, problem string")
+
+
+def _checked(recipe: StadiumRecipe | None) -> StadiumRecipe:
+    own = recipe or StadiumRecipe()
+    if own.problems():
+        raise ValueError("; ".join(own.problems()))
+    return own
+
+
+def _stadium(rings: Rings, recipe: StadiumRecipe) -> tuple[list[tuple[np.ndarray, np.ndarray]], str]:
+    """Bodies over a footprint, or why there are none."""
+    if not rings:
+        return [], "the footprint has no ring"
+    try:
+        made = stadium_bodies(rings[0], recipe, rings[1] if len(rings) > 1 else None)
+    except ValueError as problem:
+        return [], str(problem)
+    return made, "" if made else "the footprint has no area"
 
 
 def _side(ring: np.ndarray, axis: int, at: float, above: bool) -> np.ndarray:

@@ -429,6 +429,14 @@ def test_stadium_bodies_are_closed_and_stand_on_each_other(style, bodies):
         assert sum(map(body_volume, made)) == pytest.approx(sum(4 * k / 3 * ((60 - 16 + 16 / 3 * k) * (40 - 16 + 16 / 3 * k) - (60 - 16 + 16 / 3 * (k - 1)) * (40 - 16 + 16 / 3 * (k - 1))) for k in (1, 2, 3)))
 
 
+def test_unfit_stadiums_are_told(spark):
+    ring = lambda w, h: [[(0.0, 0.0), (w, 0.0), (w, h), (0.0, h)]]
+    t = spark.createDataFrame([(1, ring(60.0, 40.0)), (2, ring(3.0, 2.0)), (3, []), (4, ring(60.0, 40.0) + [[(0.2, 0.2), (59.0, 0.2), (59.0, 39.0), (0.2, 39.0)]])], "layer int, rings array<array<struct<x: double, y: double>>>")
+    made = {r["layer"] for r in overlay.stadiums(t).select("layer").distinct().collect()}
+    told = {r["layer"]: r["problem"] for r in overlay.unfit_stadiums(t).collect()}
+    assert made == {1} and set(told) == {2, 3, 4} and "opening" in told[4] and "ring" in told[3]
+
+
 def test_stadium_recipes():
     assert overlay.recipe_of({"type": "procedural_recipe", "recipe": "stadium_closed_roof", "parameters": {"tier_count": "2", "roof_height_mm": 9}}) == overlay.StadiumRecipe(roof_style="closed", tier_count=2, roof_height_mm=9.0)
     assert overlay.recipe_of({"type": "procedural_recipe", "recipe": "x"}) is None and overlay.recipe_of(None) is None

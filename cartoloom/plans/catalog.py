@@ -646,21 +646,41 @@ sampled AS (SELECT spot.*, (a.elev * (1 - (fc - floor(fc))) + b.elev * (fc - flo
   JOIN ground c ON c.row = least(floor(fr)::INT + 1, 99) AND c.col = floor(fc)::INT JOIN ground e ON e.row = least(floor(fr)::INT + 1, 99) AND e.col = least(floor(fc)::INT + 1, 63))"""
 
 
-@query()
+#: Support of each station of the lines: three places along the line, five across it at each, the highest sample of those.
+PROFILE = f"""{SEGMENTS}, {CELLS},
+seg AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS station FROM segs),
+size AS (SELECT route_id, sum(length) AS l FROM seg GROUP BY route_id),
+own AS (SELECT *, least(1e0, greatest(0.05e0, l / 500)) AS delta FROM (SELECT DISTINCT route_id, station AS mark FROM seg) JOIN size USING (route_id)),
+spread AS (SELECT *, greatest(0e0, least(l, mark + d)) AS s FROM own, (VALUES (1e0, -1.5e0), (2e0, 0e0), (1e0, 1.5e0)) AS v(w, d)),
+three AS (SELECT *, CASE i WHEN 0 THEN s WHEN 1 THEN greatest(0e0, s - delta) ELSE least(l, s + delta) END AS q FROM spread, (VALUES (0), (1), (2)) AS k(i)),
+head AS (SELECT route_id, station, arg_max(struct_pack(x0 := x0, y0 := y0, x1 := x1, y1 := y1, n := length), seq) AS g FROM seg GROUP BY ALL),
+met AS (SELECT three.*, g, CASE WHEN g.n > 0 THEN least(1e0, (q - station) / g.n) ELSE 0e0 END AS t FROM three ASOF JOIN head ON three.route_id = head.route_id AND three.q >= head.station),
+wide AS (SELECT route_id, mark, w, d, max(g.x0 + t * (g.x1 - g.x0)) FILTER (i = 0) AS x, max(g.y0 + t * (g.y1 - g.y0)) FILTER (i = 0) AS y,
+  max(g.x0 + t * (g.x1 - g.x0)) FILTER (i = 2) - max(g.x0 + t * (g.x1 - g.x0)) FILTER (i = 1) AS tx, max(g.y0 + t * (g.y1 - g.y0)) FILTER (i = 2) - max(g.y0 + t * (g.y1 - g.y0)) FILTER (i = 1) AS ty FROM met GROUP BY route_id, mark, w, d),
+turned AS (SELECT *, CASE WHEN sqrt(tx * tx + ty * ty) <= 1e-9 THEN 1e0 ELSE tx / sqrt(tx * tx + ty * ty) END AS ux, CASE WHEN sqrt(tx * tx + ty * ty) <= 1e-9 THEN 0e0 ELSE ty / sqrt(tx * tx + ty * ty) END AS uy FROM wide),
+pts AS (SELECT route_id, mark, w, d, x - uy * o AS x, y + ux * o AS y FROM turned, (VALUES (-0.6e0), (-0.3e0), (0e0), (0.3e0), (0.6e0)) AS v(o)),
+{sampled("pts")},
+support AS (SELECT route_id, mark, w, d, max(sample) AS support FROM sampled GROUP BY route_id, mark, w, d),
+need AS (SELECT route_id, mark AS station, sum(w * support) / 4 AS smooth, max(support) FILTER (w = 2) AS local FROM support GROUP BY route_id, mark),
+limited AS (SELECT *, greatest(max(greatest(smooth, local) + 2 + 0.3e0 * station) OVER (PARTITION BY route_id ORDER BY station) - 0.3e0 * station,
+  max(greatest(smooth, local) + 2 - 0.3e0 * station) OVER (PARTITION BY route_id ORDER BY station DESC) + 0.3e0 * station) AS limited FROM need)"""
+
+
+@query(f"WITH {PROFILE} SELECT route_id, round(station, 6) AS station, round(smooth, 6) AS smooth, round(local, 6) AS local, round(limited, 6) AS limited FROM limited")
 def route_profile(spark, d):
     """Cross-sections of every line over the terrain, smoothed along it and held to a slope."""
     pairs = spatial.segments(i.lines(spark, d))
     support = profile.smoothed_support(pairs.select("route_id", "station"), pairs, 1.2, 1.5, _ground(spark, d))
-    return profile.slope_limited(support.withColumn("height", F.greatest("smooth", "local") + 2.0), 0.3)
+    return profile.slope_limited(support.withColumn("height", F.greatest("smooth", "local") + 2.0), 0.3).select("route_id", *r6("station", "smooth", "local", "limited"))
 
 
-@query()
+@query(f"WITH {PROFILE} SELECT seg.route_id, seq * 2 + k AS vid, round(seg.station, 6) AS station, round(limited - 2 + k, 6) AS z FROM seg JOIN limited ON seg.route_id = limited.route_id AND seg.station = limited.station, (VALUES (0), (1)) AS v(k)")
 def draped_route(spark, d):
     ln = i.lines(spark, d)
     pairs = spatial.segments(ln)
     v = pairs.select("route_id", F.explode(F.array(*(F.struct((F.col("seq") * 2 + k).alias("vid"), F.lit(float(k)).alias("z")) for k in (0, 1)))).alias("v"), "station")
     v = v.select("route_id", "v.vid", "v.z", "station")
-    return profile.drape_route(v.select("route_id", "vid", "z"), v.select("route_id", "vid", "station"), pairs, _ground(spark, d), 1.2, 1.0)
+    return profile.drape_route(v.select("route_id", "vid", "z"), v.select("route_id", "vid", "station"), pairs, _ground(spark, d), 1.2, 1.0).select("route_id", "vid", *r6("station", "z"))
 
 
 @query(f"""WITH {LINES}, {CELLS}, ends AS (SELECT route_id, arg_min(x_mm, seq) AS sx, arg_min(y_mm, seq) AS sy, arg_max(x_mm, seq) AS fx, arg_max(y_mm, seq) AS fy FROM lines GROUP BY route_id),

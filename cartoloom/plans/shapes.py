@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import buildings, frames, mesh, outlines, overlay, profile, raster, spatial, tags, water
+from ..operators import buildings, decimate, frames, mesh, outlines, overlay, profile, raster, spatial, tags, water
 from ..sources import readers
 from . import inputs as i
 from .inputs import BOXES, CELLS, LINES, SEGMENTS, SPOTS, TRACKS
@@ -349,3 +349,18 @@ def gpx_texts(spark, d):
     whole = own.withColumn("point", point).groupBy("route_id", "pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "point"))), lambda s: s["point"]), "").alias("points"))
     text = whole.selectExpr("route_id", "concat('<', pre, 'gpx><', pre, 'trk><', pre, 'trkseg>', points, '</', pre, 'trkseg></', pre, 'trk></', pre, 'gpx>') AS text")
     return readers.gpx_points(text, "route_id", "text").withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("""WITH f AS (SELECT (o_orderkey % 4)::VARCHAR AS layer, o_orderkey AS fid, o_custkey % 97 AS a, o_orderkey % 89 + 100 AS b, o_orderkey * 7 % 83 + 200 AS c FROM orders),
+v AS (SELECT DISTINCT layer, vid FROM (SELECT layer, unnest([a, b, c]) AS vid FROM f)),
+cube AS (SELECT layer, vid, min(vid) OVER w AS low, avg((vid % 13)::DOUBLE) OVER w AS x FROM v WINDOW w AS (PARTITION BY layer, vid % 13 // 2, vid % 7 // 2, vid % 5 // 2)),
+t AS (SELECT f.layer, min(fid) AS fid, list_sort([p.low, q.low, r.low]) AS k, min(p.x + q.x + r.x) AS x FROM f JOIN cube p ON p.layer = f.layer AND p.vid = a JOIN cube q ON q.layer = f.layer AND q.vid = b JOIN cube r ON r.layer = f.layer AND r.vid = c
+  WHERE p.low <> q.low AND q.low <> r.low AND r.low <> p.low GROUP BY f.layer, list_sort([p.low, q.low, r.low]))
+SELECT layer, fid, k[1] AS low, k[3] AS high, round(x, 6) AS x FROM t""")
+def collapsed_mesh(spark, d):
+    """Faces left where the corners in a cube of side 2 are one, with the sum of their new corners' x."""
+    f = i.table(spark, d, "orders").selectExpr("string(o_orderkey % 4) AS layer", "o_orderkey AS fid", "o_custkey % 97 AS a", "o_orderkey % 89 + 100 AS b", "o_orderkey * 7 % 83 + 200 AS c")
+    v = f.selectExpr("layer", "explode(array(a, b, c)) AS vid").distinct().selectExpr("layer", "vid", "double(vid % 13) AS x", "double(vid % 7) AS y", "double(vid % 5) AS z")
+    points, faces = decimate.collapsed(v, f, f.select("layer", F.lit(2.0).alias("cell")).distinct())
+    whole = mesh.corners(points, faces)
+    return whole.select("layer", "fid", F.least("a", "b", "c").alias("low"), F.greatest("a", "b", "c").alias("high"), F.round(F.col("ax") + F.col("bx") + F.col("cx"), 6).alias("x"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import buildings, decimate, frames, mesh, outlines, overlay, profile, raster, spatial, tags, water
+from ..operators import buildings, decimate, frames, mesh, offsets, outlines, overlay, profile, raster, spatial, tags, water
 from ..sources import readers
 from . import inputs as i
 from .inputs import BOXES, CELLS, LINES, SEGMENTS, SPOTS, TRACKS
@@ -364,3 +364,21 @@ def collapsed_mesh(spark, d):
     points, faces = decimate.collapsed(v, f, f.select("layer", F.lit(2.0).alias("cell")).distinct())
     whole = mesh.corners(points, faces)
     return whole.select("layer", "fid", F.least("a", "b", "c").alias("low"), F.greatest("a", "b", "c").alias("high"), F.round(F.col("ax") + F.col("bx") + F.col("cx"), 6).alias("x"))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 5 < 2 AND s_suppkey % 3 < 2")
+def narrow_parts(spark, d):
+    """Of angles made of two bars, those that are nowhere 0.7 wide."""
+    t = i.table(spark, d, "supplier")
+    bars = [t.select("s_suppkey", F.array(_box("0", "0", w, h)).alias("rings")) for w, h in (("(s_suppkey % 5 + 1) * 0.25", "3 + s_suppkey % 4"), ("3", "(s_suppkey % 3 + 1) * 0.25"))]
+    return offsets.narrow(overlay.union(bars[0].unionByName(bars[1]), "s_suppkey"), 0.7, "s_suppkey")
+
+
+@query("SELECT s_suppkey, s_suppkey % 6 < 4 AS closed FROM supplier")
+def closed_gaps(spark, d):
+    """Pairs of boxes 0.1 to 0.6 apart, and whether closing by 0.23 joins them."""
+    t = i.table(spark, d, "supplier")
+    boxes = [t.select("s_suppkey", F.array(_box(x0, "0", x1, "3")).alias("rings")) for x0, x1 in (("0", "4"), ("4 + (s_suppkey % 6 + 1) * 0.1", "8"))]
+    apart = overlay.union(boxes[0].unionByName(boxes[1]), "s_suppkey")
+    both = overlay.region_areas(apart, "s_suppkey").withColumnRenamed("area", "before").join(overlay.region_areas(offsets.closed(apart, 0.23, "s_suppkey"), "s_suppkey"), "s_suppkey")
+    return both.selectExpr("s_suppkey", "area > before + (s_suppkey % 6 + 1) * 0.1e0 AS closed")

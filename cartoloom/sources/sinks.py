@@ -10,7 +10,7 @@ from xml.sax.saxutils import quoteattr
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.mesh import audit, centred, mesh_stats
+from ..operators.mesh import audit, centred, mesh_stats, without_floaters
 from .settings import palette
 
 CORE = "http://schemas.microsoft.com/3dmanufacturing/core/2015/02"
@@ -27,11 +27,15 @@ def write_3mf(vertices: DataFrame, faces: DataFrame, path: str, style: str = "ur
     """One printable model: an object a layer with its colour, all in one assembly.
 
     A model is a file of a bounded number of faces (checked before anything is fetched); rows are
-    streamed to it. The file appears under its name only when it is complete. Audit issues are errors.
+    streamed to it. The file appears under its name only when it is complete. Beside a ``base``, tiny shells that nothing carries are
+    left out first. Audit issues are errors, larger floating shells among them.
     """
     if faces.limit(most_faces + 1).count() > most_faces:
         raise ValueError(f"a model holds at most {most_faces} faces")
-    issues = audit(vertices, faces).collect()
+    held, floating = {r[0] for r in faces.select("layer").distinct().collect()}, None
+    if "base" in held and len(held) > 1:
+        vertices, faces, floating = without_floaters(vertices, faces)
+    issues = audit(vertices, faces, floating).collect()
     if issues:
         raise ValueError("printability validation failed: " + "; ".join(r["message"] for r in issues))
     if plate:

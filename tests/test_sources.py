@@ -36,6 +36,19 @@ def test_gpx_of_any_prefix_in_one_pass(spark, tmp_path):
     assert got._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
 
 
+def test_3mf_leaves_out_tiny_floating_shells(spark, tmp_path):
+    v, f = mesh.base_plate(spark, 20.0, 20.0)
+    box = lambda layer, shift, z: (v.selectExpr(f"'{layer}' AS layer", f"vid + {shift} AS vid", "x / 5 + 4 AS x", "y / 5 + 4 AS y", f"z + {z} AS z"), f.selectExpr(f"'{layer}' AS layer", f"fid + {shift} AS fid", f"a + {shift} AS a", f"b + {shift} AS b", f"c + {shift} AS c"))
+    stands, floats, road = box("buildings", 0, 1.9), box("buildings", 100, 30.0), box("roads", 0, 50.0)
+    points, sides = v.unionByName(stands[0]).unionByName(floats[0]), f.unionByName(stands[1]).unionByName(floats[1])
+    sinks.write_3mf(points, sides, str(tmp_path / "m.3mf"))
+    with zipfile.ZipFile(tmp_path / "m.3mf") as archive:
+        model = archive.read("3D/3dmodel.model").decode()
+    assert model.count("<triangle ") == 24 and model.count("<vertex ") == 16
+    with pytest.raises(ValueError, match="floating"):
+        sinks.write_3mf(points.unionByName(road[0]), sides.unionByName(road[1]), str(tmp_path / "n.3mf"))
+
+
 def test_geojson_mixes_types(spark, tmp_path):
     square = [[0, 0], [2, 0], [2, 2], [0, 0]]
     shapes = [("LineString", [[0, 0], [1, 1]], {"highway": "primary", "name": None}), ("Polygon", [square, [[1, 0.5], [1.2, 0.5], [1.2, 0.6], [1, 0.5]]], {"height": 9, "building:levels": 4}), ("MultiPolygon", [[square], [square]], {"natural": "water"}), ("Point", [3, 4], {})]

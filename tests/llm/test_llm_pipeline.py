@@ -90,7 +90,17 @@ def test_run_does_all_stages(spark, staged):
     assert sorted(map(str, corpus_pipeline.run(spark, str(root)).collect())) == sorted(map(str, out["sentencepiece"].collect()))
 
 
-def test_all_ten_are_registered():
+def test_empty_tables_go_through(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns == ["doc_id", "n_pieces", "round_trip", "ids"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, work in corpus_pipeline.STAGES[:4]:
+        assert work(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_all_thirteen_are_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {x.split("_")[0] + "_" for x in names} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= names

@@ -104,12 +104,12 @@ def trim_border(cells: DataFrame, x: str, y: str, height: str, width: float, dep
     return cells.join(low, "grid_id").withColumn(height, F.when(edge, F.col("_low")).otherwise(F.col(height))).drop("_low")
 
 
-def axis(length: float, count: int, margin: float = 0.0, descending: bool = False) -> Column:
-    """Evenly spaced positions, with the inner trim lines put in."""
-    at = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: i.cast("double") * (length / (count - 1)))
-    if margin > 0:
-        at = F.array_union(at, F.array(F.lit(float(margin)), F.lit(float(length - margin))))
-    return F.sort_array(at, not descending)
+def axis(length: float | Column, count: int | Column, margin: float | Column = 0.0, descending: bool = False) -> Column:
+    """Evenly spaced positions, with the inner trim lines put in where there is a margin. Numbers, or columns of a table of plates."""
+    length, margin = (x if isinstance(x, Column) else F.lit(float(x)) for x in (length, margin))
+    last = (count if isinstance(count, Column) else F.lit(count)) - 1
+    at = F.transform(F.sequence(last * 0, last), lambda i: i.cast("double") * (length / last))
+    return F.sort_array(F.when(margin > 0, F.array_union(at, F.array(margin, length - margin))).otherwise(at), not descending)
 
 
 def bilinear(points: DataFrame, cells: DataFrame, value: str, rows: int, columns: int, out: str = "sample") -> DataFrame:

@@ -382,3 +382,11 @@ def closed_gaps(spark, d):
     apart = overlay.union(boxes[0].unionByName(boxes[1]), "s_suppkey")
     both = overlay.region_areas(apart, "s_suppkey").withColumnRenamed("area", "before").join(overlay.region_areas(offsets.closed(apart, 0.23, "s_suppkey"), "s_suppkey"), "s_suppkey")
     return both.selectExpr("s_suppkey", "area > before + (s_suppkey % 6 + 1) * 0.1e0 AS closed")
+
+
+@query("""WITH p AS (SELECT s_suppkey, 100e0 + s_suppkey % 150 AS length, 20 + s_suppkey % 30 AS n, (s_suppkey % 4)::DOUBLE AS margin FROM supplier)
+SELECT DISTINCT s_suppkey, round(v, 9) AS at FROM (SELECT s_suppkey, k * (length / (n - 1)) AS v FROM (SELECT *, unnest(generate_series(0, n - 1)) AS k FROM p) UNION ALL SELECT s_suppkey, unnest([margin, length - margin]) FROM p WHERE margin > 0)""")
+def plate_axes(spark, d):
+    """Grid lines of many plates, with trim lines where a plate has a margin."""
+    t = i.table(spark, d, "supplier").selectExpr("s_suppkey", "100e0 + s_suppkey % 150 AS length", "cast(20 + s_suppkey % 30 AS int) AS n", "cast(s_suppkey % 4 AS double) AS margin")
+    return t.select("s_suppkey", F.explode(raster.axis(F.col("length"), F.col("n"), F.col("margin"))).alias("v")).select("s_suppkey", F.round("v", 9).alias("at")).distinct()

@@ -331,6 +331,13 @@ def test_common_areas_of_triangles_equal_the_sweep():
                 assert (side > -1e-9).all() or (side < 1e-9).all()
 
 
+def test_names_do_not_meet_given_ones(spark):
+    given = ["a", "a", "a_2", "a", "b", "a_2", "a_x", "a_02", "a_4", "b"]
+    got = mesh.unique_names(spark.createDataFrame(list(enumerate(given)), "n int, name string")).orderBy("n").collect()
+    assert [r["unique_name"] for r in got] == ["a", "a_3", "a_2", "a_5", "b", "a_2_2", "a_x", "a_02", "a_4", "b_2"]
+    assert got[0].asDict().keys() == {"n", "name", "unique_name"}
+
+
 def test_fans_on_overused_edges_are_parted():
     tetra = lambda p, q, r, s: [[p, r, q], [p, q, s], [q, r, s], [r, p, s]]
     faces = np.array([*tetra(0, 1, 2, 3), *tetra(0, 1, 4, 5)])

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .spatial import binned
@@ -725,24 +725,25 @@ def union(polygons: DataFrame, key: str, tile: float = TILE) -> DataFrame:
     return _overlaid(polygons.withColumn("role", F.lit(0)), key, lambda outer, inner: outer > 0, tile)
 
 
-def corridors(pairs: DataFrame, width: float, key: str = "route_id", flat: bool = True, sides: int = 32) -> DataFrame:
+def corridors(pairs: DataFrame, width: float | Column, key: str = "route_id", flat: bool = True, sides: int = 32) -> DataFrame:
     """``key, rings``: a rectangle for each segment of a line and a regular polygon at each joint, to be united.
 
     With ``flat`` the line's ends are cut square; otherwise they get a polygon as well. Round joints are ``sides``-cornered.
+    ``width`` is a number or a column of the segments.
     """
-    if width <= 0 or sides < 4:
+    if (not isinstance(width, Column) and width <= 0) or sides < 4:
         raise ValueError("a corridor needs a width and joints of four corners at least")
-    half = width / 2
+    half = F.col("_half")
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     dx, dy = (F.col("x1") - F.col("x0")) / F.col("length"), (F.col("y1") - F.col("y0")) / F.col("length")
-    own = pairs.where("length > 0")
+    own = pairs.where("length > 0").withColumn("_half", width / 2 if isinstance(width, Column) else F.lit(width / 2))
     corner = lambda n, s: point(F.col(f"x{n}") - s * half * dy, F.col(f"y{n}") + s * half * dx)
     boxes = own.select(key, F.array(F.array(corner(0, -1), corner(1, -1), corner(1, 1), corner(0, 1))).alias("rings"))
     ends = own.groupBy(key).agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"))
     turns = own.join(ends, key)
-    spots = turns.where((F.col("seq") != F.col("_last")) | F.lit(not flat)).select(key, F.col("x1").alias("x"), F.col("y1").alias("y"))
+    spots = turns.where((F.col("seq") != F.col("_last")) | F.lit(not flat)).select(key, F.col("x1").alias("x"), F.col("y1").alias("y"), "_half")
     if not flat:
-        spots = spots.unionByName(turns.where("seq = _first").select(key, F.col("x0").alias("x"), F.col("y0").alias("y")))
+        spots = spots.unionByName(turns.where("seq = _first").select(key, F.col("x0").alias("x"), F.col("y0").alias("y"), "_half"))
     around = F.array(*(point(F.col("x") + half * float(np.cos(2 * np.pi * k / sides)), F.col("y") + half * float(np.sin(2 * np.pi * k / sides))) for k in range(sides)))
     return boxes.unionByName(spots.distinct().select(key, F.array(around).alias("rings")))
 

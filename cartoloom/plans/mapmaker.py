@@ -21,11 +21,34 @@ def draped_body(body: DataFrame, pairs: DataFrame, sample, width: float, visible
     return mesh.corners(vertices, faces).select(F.col("layer").cast(kind).alias(key), "fid", "a", "b", "c", *(f"{p}{k}" for p in "abc" for k in "xyz"))
 
 
+def road_bodies(roads: DataFrame, route: DataFrame, sample, cfg: dict, route_width: float, key: str = "feature_id") -> DataFrame:
+    """Triangles of roads ``key, width_mm, points`` less the route's corridor, set on graded ground.
+
+    Tops follow the road's smoothed profile, taken across the widest road's width, and undersides the ground itself.
+    """
+    kind, height, embed = dict(roads.dtypes)[key], float(cfg["road_height"]), float(cfg["feature_embed_depth"])
+    points = roads.select(key, F.posexplode("points").alias("seq", "p")).select(key, "seq", F.col("p.x").alias("x_mm"), F.col("p.y").alias("y_mm"))
+    pairs = staged(spatial.segments(points, key).join(roads.select(key, "width_mm"), key), "roads")
+    wide = pairs.agg(F.max("width_mm")).first()[0] or 1.0
+    flat = overlay.remainders(overlay.corridors(pairs, F.col("width_mm"), key, flat=False), overlay.corridors(route, route_width), 16.0, key, 16.0)
+    levels = roads.select(key, F.lit(-embed).alias("bottom"), F.lit(height).alias("top"))
+    body = overlay.region_prisms(flat, levels, key)
+    vertices, faces = mesh.refine(*mesh.indexed(body, key), cfg["road_terrain_max_edge_mm"], cfg["road_terrain_refinement_passes"], partial=True)
+    # Numbers of vertices are a body's own; together with the road they tell all vertices apart.
+    own = staged(sample(vertices.select("layer", F.col("layer").cast(kind).alias(key), F.col("vid").alias("_no"), F.concat_ws("/", "layer", "vid").alias("vid"), "x", "y", F.col("z").alias("_z"))), "corners")
+    stations = spatial.near_stations(own, pairs, wide, key).select("vid", key, "station")
+    tops = profile.drape_roads(own.select("vid", (F.col("sample") + height).alias("z")), stations, pairs, sample, height, cfg["road_terrain_min_visible_height_mm"], cfg["road_terrain_smoothing_radius_mm"], wide, key)
+    share, low = (F.col("_z") + embed) / (height + embed), F.col("sample") - embed
+    placed = own.join(tops, "vid").select("layer", F.col("_no").alias("vid"), "x", "y", (low + share * (F.col("z") - low)).alias("z"))
+    return mesh.corners(staged(placed, "draped"), faces).select(F.col("layer").cast(kind).alias(key), "fid", "a", "b", "c", *(f"{p}{k}" for p in "abc" for k in "xyz"))
+
+
 def plan_map(points: DataFrame, elevation: DataFrame | None = None, roads: DataFrame | None = None, houses: DataFrame | None = None, waters: DataFrame | None = None, overrides: dict | None = None, shape: tuple[int, int] | None = None) -> dict[str, DataFrame]:
     """Tables of a map of one route.
 
     ``points``: ``route_id, seq, lat, lon``; ``elevation``: cells ``grid_id, row, col, elev`` already on the
     plate (row 0 north; missing: flat ground, with a warning); ``roads`` and ``houses``: features with ``tags``;
+    roads may have ``feature_id`` and ``points`` (``x, y`` on the plate) and then get bodies on the ground, less the route's corridor;
     houses may have ``feature_id`` and ``rings`` on the plate and then get bodies and roofs, as ``waters`` (``water_id, rings``)
     get bodies at their levels with the terrain lowered beneath them. Tables that several others read are stored once.
     """
@@ -69,6 +92,8 @@ def plan_map(points: DataFrame, elevation: DataFrame | None = None, roads: DataF
     out["markers"] = frames.markers(out["route"], cfg["route_markers"], cfg["route_marker_diameter_mm"])
     if roads is not None:
         out["roads"] = tags.printable_roads(roads, cfg["style_profile"], tuple(cfg["excluded_road_service_types"]), tuple(cfg["excluded_road_access"]))
+        if {"feature_id", "points"} <= set(roads.columns):
+            out["road_bodies"] = road_bodies(staged(out["roads"].select("feature_id", "width_mm", "points"), "printed"), pairs, ground, cfg, cfg["route_width"])
     if houses is not None:
         dims = buildings.dimensions(houses, cfg["building_default_height_m"], cfg["building_levels_to_m"], cfg["building_max_real_height_m"])
         out["buildings"] = buildings.rendered_heights(dims, cfg["max_print_height_mm"])

@@ -23,6 +23,11 @@ DEFAULTS: dict = {
     "route_marker_diameter_mm": 3.2,
     "route_marker_height_mm": 1.0,
     "route_marker_sections": 32,
+    "road_height": 0.8,
+    "road_terrain_smoothing_radius_mm": 2.0,
+    "road_terrain_min_visible_height_mm": 0.4,
+    "road_terrain_max_edge_mm": 4.0,
+    "road_terrain_refinement_passes": 5,
     "base_thickness": 1.6,
     "feature_embed_depth": 0.2,
     "terrain_target_cell_size_mm": 0.55,

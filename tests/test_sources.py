@@ -136,6 +136,24 @@ def test_whole_map(spark):
     assert out["buildings"].first()["height_source"] == "height"
 
 
+def test_road_bodies_leave_the_route_and_follow_the_ground(spark):
+    from cartoloom.operators import spatial
+    from cartoloom.plans.mapmaker import road_bodies
+
+    roads = spark.createDataFrame([(1, 1.2, [(0.0, 5.0), (6.0, 5.0), (12.0, 7.0)]), (2, 0.8, [(2.0, 0.0), (2.0, 9.0)])], "feature_id long, width_mm double, points array<struct<x: double, y: double>>")
+    route = spatial.segments(spark.createDataFrame([("r", 0, 6.0, -2.0), ("r", 1, 6.0, 12.0)], "route_id string, seq int, x_mm double, y_mm double"))
+    sample = lambda p: p.withColumn("sample", 0.1 * F.col("x") + 0.05 * F.col("y"))
+    cfg = settings.merged(None)
+    body = road_bodies(roads, route, sample, cfg, 1.2).withColumn("layer", F.col("feature_id").cast("string"))
+    assert mesh.edge_defects(body.select("layer", "fid", "a", "b", "c")).where("open_edges + overused_edges + winding_defects > 0").count() == 0
+    assert mesh.volumes(body).where("volume_mm3 > 0").count() == 2
+    v, _ = mesh.indexed(body, "layer")
+    got = v.withColumn("rise", F.col("z") - 0.1 * F.col("x") - 0.05 * F.col("y")).collect()
+    assert min(r["rise"] for r in got) == pytest.approx(-cfg["feature_embed_depth"])
+    tops = [r for r in got if r["rise"] > 0.39]
+    assert len(tops) > 20 and all(abs(r["x"] - 6.0) >= 0.6 - 1e-6 for r in got)
+
+
 def test_route_body_stands_on_a_slope(spark):
     shape = (12, 15)
     pts = spark.createDataFrame([("r", k, 29.7 + 0.01 * k, -95.4 + 0.013 * ((k * k) % 5)) for k in range(5)], "route_id string, seq int, lat double, lon double")
